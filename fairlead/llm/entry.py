@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fairlead.llm.minhash import near_duplicates
+from fairlead.llm.mixing import mix_documents
+from fairlead.llm.packing import pack_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +17,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer())
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op5_minhash_near_dedup": op5_minhash_near_dedup}
+    return {
+        "op3_best_fit_packing": op3_best_fit_packing,
+        "op5_minhash_near_dedup": op5_minhash_near_dedup,
+        "op9_source_mixing": op9_source_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

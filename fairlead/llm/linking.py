@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.llm.components import connected_components
@@ -22,42 +22,64 @@ def shared_members(buckets: DataFrame) -> DataFrame:
     return buckets.join(keys, "key").select("key", "id")
 
 
+def _spanning(rows: DataFrame) -> DataFrame:
+    """Rows (key, id, root) whose key has more than one root."""
+    keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    return rows.join(keys, "key").select("key", "id", "root")
+
+
 def link_components(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], star_rounds: int = 2, slack: int = 4
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    narrow: Callable[[DataFrame], DataFrame] | None = None,
+    close: Column | None = None,
+    star_rounds: int = 2,
+    large: int = 64,
 ) -> DataFrame:
-    """``members(key, id)`` (staged, distinct) -> ``(id, root)`` of every id with a link.
+    """``members(key, id, ...)`` (staged, distinct) -> ``(id, root)`` of every id with a link.
 
-    ``verify(pairs(a, b))`` returns the rows of its input that are links.  After each star round the keys whose
-    ids all lie in one component are dropped.  The exact step starts when its pairs number at most ``slack``
-    times the remaining rows, when a star round finds no link, or after ``star_rounds`` rounds.
+    ``verify(pairs(a, b))`` returns the rows of its input that are links.  A star round pairs each id with the id
+    of its buckets that most others meet; keys within one component are then dropped.  Of the rest every pair from
+    different components is tested.  In keys of more than ``large`` ids those pairs come from
+    ``narrow(ids(id, root))``, which must return every link between different roots among its ids, and may
+    return more.  ``close`` is a cheap necessary condition on columns of the two sides, named one.x and two.x.
     """
-    rows = members.withColumn("root", F.col("id"))
-    links = None
-    for turn in range(star_rounds):
-        top = rows.groupBy("key").agg(F.min(F.struct("root", "id")).alias("lo"), F.max(F.struct("root", "id")).alias("hi"))
-        rep = F.when(F.col("root") != F.col("lo.root"), F.col("lo.id")).otherwise(F.col("hi.id") if turn else F.col("lo.id"))
+    extra = [c for c in members.columns if c not in ("key", "id")]
+    rows, links = members.select("key", "id").withColumn("root", F.col("id")), None
+    for _ in range(star_rounds):
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+        met = rows.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("met"))
+        ranked = stage(rows.join(met, "id").select("key", "id", "root", F.struct("met", "id", "root").alias("me")), "ranked")
+        top = ranked.groupBy("key").agg(F.max("me").alias("top"))
         pairs = (
-            rows.join(top, "key").select("id", "root", F.col("lo"), F.col("hi"), rep.alias("rep"))
-            .where("id <> rep").groupBy("id", "rep").agg(F.count("*").alias("n"))
-            .groupBy("id").agg(F.max(F.struct("n", "rep")).alias("best"))
+            ranked.join(top, "key").where("root <> top.root").groupBy("id", F.col("top.id").alias("rep"))
+            .agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", "rep")).alias("best"))
             .select(F.least("id", "best.rep").alias("a"), F.greatest("id", "best.rep").alias("b")).distinct()
         )
         found = stage(verify(pairs), "links")
-        any_found = bool(found.head(1))
+        drop(ranked)
         links = found if links is None else links.unionByName(found)
-        if any_found:
-            roots = stage(connected_components(links), "roots")
-            rows = members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        rows = stage(rows.join(keys, "key").select("key", "id", "root"), "members")
-        sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
-        left = sizes.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("p")).first()
-        if not left["n"]:
-            return connected_components(links)
-        if not any_found or left["p"] <= slack * left["n"]:
+        if not found.head(1):
+            break
+        roots = stage(connected_components(links), "roots")
+        joined = members.select("key", "id").join(roots, "id", "left")
+        rows = stage(_spanning(joined.select("key", "id", F.coalesce("root", "id").alias("root"))), "members")
+        if not rows.head(1):
             break
-    one = rows.select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
-    two = rows.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
-    pairs = one.join(two, "key").where("a < b and ra <> rb").select("a", "b").distinct()
-    return connected_components(links.unionByName(stage(verify(pairs), "links")))
+    rows = rows.join(members, ["key", "id"]) if extra else rows
+    if narrow is not None:
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+        sized = stage(rows.join(sizes, "key"), "sized")
+        pairs = _across(sized.where(F.col("n") <= large), extra, close)
+        many = stage(sized.where(F.col("n") > large).select("id", "root").distinct(), "many")
+        if many.head(1):
+            pairs = pairs.unionByName(narrow(many))
+    else:
+        pairs = _across(rows, extra, close)
+    return connected_components(links.unionByName(stage(verify(pairs.distinct()), "links")))
+
+
+def _across(rows: DataFrame, extra: list[str], close: Column | None) -> DataFrame:
+    one, two = (rows.select("key", "id", "root", *extra).alias(x) for x in ("one", "two"))
+    on = (F.col("one.key") == F.col("two.key")) & (F.col("one.id") < F.col("two.id")) & (F.col("one.root") != F.col("two.root"))
+    return one.join(two, on if close is None else on & close).select(F.col("one.id").alias("a"), F.col("two.id").alias("b"))

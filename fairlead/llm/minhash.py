@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fairlead.llm.linking import link_components, shared_members
 from fairlead.llm.stage import semi, stage
@@ -64,6 +65,32 @@ def jaccard_links(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataF
     )
 
 
+def prefix_pairs(ids: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
+    """Pairs (a, b) of ``ids(id, root)`` with different roots that may be links; none that is a link is missing.
+
+    Each set is ordered by how many of these sets hold an element, rarest first.  Two sets with the wanted overlap
+    share an element early in both orders, so copies that differ by more than that never meet, however many
+    there are: what they changed is theirs alone and fills the start of their order.
+    """
+    p = percent
+    cells = stage(
+        sets.join(ids, "id").select("id", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("h")), "cells")
+    held = cells.groupBy("h").agg(F.count("*").alias("held"))
+    order = Window.partitionBy("id").orderBy("held", "h")
+    probe = F.col("n") - F.ceil(F.lit(p) * F.col("n") / 100) + 1
+    early = cells.join(held, "h").withColumn("at", F.row_number().over(order)).where((F.col("at") <= probe) & (F.col("held") > 1))
+    early = stage(early.select("h", "id", "root", "n", "at"), "early")
+    index = F.col("n") - F.ceil(F.lit(2 * p) * F.col("n") / (100 + p)) + 1
+    x, y = early.where(F.col("at") <= index).alias("x"), early.alias("y")
+    on = (
+        (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root"))
+        & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id"))))
+        & (100 * F.col("x.n") >= p * F.col("y.n"))
+        & ((100 + p) * (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) + 1) >= p * (F.col("x.n") + F.col("y.n")))
+    )
+    return x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> doc_id, n_shingles, component_id, kept.
 
@@ -83,7 +110,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     ids = stage(members.select("id").distinct(), "ids")
     texts = semi(docs.select("doc_id", "text"), ids.withColumnRenamed("id", "doc_id"), "doc_id")
     sets = stage(texts.mapInPandas(_sets, "id long, hashes array<long>"), "sets")
-    roots = stage(link_components(members, lambda p: jaccard_links(p, sets, percent)), "roots")
+    roots = stage(link_components(
+        members, lambda p: jaccard_links(p, sets, percent), narrow=lambda many: prefix_pairs(many, sets, percent)), "roots")
     named = stage(classes.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("component_id")), "named")
     out = sigs.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
