@@ -34,7 +34,7 @@ def link_components(
     narrow: Callable[[DataFrame], DataFrame] | None = None,
     close: Column | None = None,
     star_rounds: int = 2,
-    large: int = 64,
+    large: int = 12,
 ) -> DataFrame:
     """``members(key, id, ...)`` (staged, distinct) -> ``(id, root)`` of every id with a link.
 

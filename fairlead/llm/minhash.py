@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,8 @@ from fairlead.llm.stage import semi, stage
 from fairlead.llm.words import minhashes, shingles
 
 CHUNKS, WIDTH = 10, 4
+#: Bits of a set's bitmap, a power of two.
+BITMAP = 1024
 
 
 def chunk_keys(signature: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -52,6 +56,16 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": pdf["doc_id"], "hashes": [shingles((t or "").encode().lower()).view(np.int64) for t in pdf["text"]]})
 
 
+def _bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for h in pdf["hashes"]:
+            bits = np.zeros(BITMAP, np.uint8)
+            bits[np.asarray(h, np.int64).view(np.uint64) >> np.uint64(64 - BITMAP.bit_length() + 1)] = 1
+            out.append(np.packbits(bits).view(np.int64))
+        yield pd.DataFrame({"id": pdf["id"], "bits": out})
+
+
 def jaccard_links(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
     """Pairs (a, b) whose sets in ``sets(id, hashes)`` have 100 * intersection >= percent * union."""
     one = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
@@ -70,16 +84,19 @@ def prefix_pairs(ids: DataFrame, sets: DataFrame, percent: int = 75) -> DataFram
 
     Each set is ordered by how many of these sets hold an element, rarest first.  Two sets with the wanted overlap
     share an element early in both orders, so copies that differ by more than that never meet, however many
-    there are: what they changed is theirs alone and fills the start of their order.
+    there are: what they changed is theirs alone and fills the start of their order.  For those that differ by
+    just about that much, bitmaps of the sets bound the overlap from above: a bit that one set has and the
+    other lacks is an element that they do not share.
     """
     p = percent
+    marked = sets.join(ids.select("id"), "id").mapInPandas(_bitmaps, "id long, bits array<long>")
     cells = stage(
         sets.join(ids, "id").select("id", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("h")), "cells")
     held = cells.groupBy("h").agg(F.count("*").alias("held"))
     order = Window.partitionBy("id").orderBy("held", "h")
     probe = F.col("n") - F.ceil(F.lit(p) * F.col("n") / 100) + 1
     early = cells.join(held, "h").withColumn("at", F.row_number().over(order)).where((F.col("at") <= probe) & (F.col("held") > 1))
-    early = stage(early.select("h", "id", "root", "n", "at"), "early")
+    early = stage(early.select("h", "id", "root", "n", "at").join(marked, "id"), "early")
     index = F.col("n") - F.ceil(F.lit(2 * p) * F.col("n") / (100 + p)) + 1
     x, y = early.where(F.col("at") <= index).alias("x"), early.alias("y")
     on = (
@@ -88,6 +105,10 @@ def prefix_pairs(ids: DataFrame, sets: DataFrame, percent: int = 75) -> DataFram
         & (100 * F.col("x.n") >= p * F.col("y.n"))
         & ((100 + p) * (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) + 1) >= p * (F.col("x.n") + F.col("y.n")))
     )
+    xb, yb = ([F.col(f"{side}.bits")[i] for i in range(BITMAP // 64)] for side in "xy")
+    only_x = reduce(add, (F.bit_count(a.bitwiseAND(F.bitwise_not(b))) for a, b in zip(xb, yb, strict=True)))
+    only_y = reduce(add, (F.bit_count(b.bitwiseAND(F.bitwise_not(a))) for a, b in zip(xb, yb, strict=True)))
+    on &= (100 + p) * F.least(F.col("x.n") - only_x, F.col("y.n") - only_y) >= p * (F.col("x.n") + F.col("y.n"))
     return x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
