@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from fairlead.llm.minhash import near_duplicates
 from fairlead.llm.mixing import mix_documents
 from fairlead.llm.packing import pack_documents
+from fairlead.llm.paragraphs import repeated_paragraphs
+from fairlead.llm.toxicity import score_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +29,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -35,11 +41,17 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_toxicity": op4_toxicity,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op9_source_mixing": op9_source_mixing,
+        "op10_paragraph_dedup": op10_paragraph_dedup,
     }
 
 

@@ -27,6 +27,7 @@ KNOWN_WORDS = 800_000
 #: Parts of one length that are ranked apart.
 SALTS = 256
 _BIG = np.int64(1) << np.int64(44)
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _encoders: dict[str, Callable] = {}
 
 
@@ -34,8 +35,8 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit bytes, for the tokenizer file at ``path``.
 
     The tokenizer drops white space and never joins across it, so words between spaces or line ends are encoded
-    apart and remembered.  A full stop or comma after a letter is a token of its own.  Texts that may hold
-    special tokens are encoded as they are.
+    apart and remembered.  A run of marks after a letter is a unit of its own.  Texts that may hold special tokens
+    are encoded as they are.
     """
     if path in _encoders:
         return _encoders[path]
@@ -48,15 +49,35 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     def ids(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    end = dict(zip(".,", ids([".", ","]), strict=True))
+    suffix = getattr(tok.model, "end_of_word_suffix", None)
+    last = np.zeros(max(tok.get_vocab().values()) + 1, bool)  # ids that end a word
+    if suffix:
+        last[[i for t, i in tok.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def alone(words: list[str]) -> None:
+        """Remember words of letters only: each is one unit of the tokenizer, so many are encoded as one text."""
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            lots = [some[i : i + 40] for i in range(0, len(some), 40)]
+            for lot, data in zip(lots, ids([" ".join(lot) for lot in lots]), strict=True):
+                cuts = (np.flatnonzero(last[np.frombuffer(data, "<u4")]) + 1) * 4
+                if len(cuts) != len(lot):
+                    known.update(zip(lot, ids(lot), strict=True))
+                    continue
+                a = 0
+                for w, b in zip(lot, cuts.tolist(), strict=True):
+                    known[w] = data[a:b]
+                    a = b
 
     def learn(words: list[str]) -> None:
-        stems = [w[:-1] if w[-1:] in end and w[-2:-1].isalpha() else w for w in words]
-        new = list({s for s in stems if s not in known})
-        known.update(zip(new, ids(new), strict=True))
-        for w, s in zip(words, stems, strict=True):
-            if s is not w and s != w:
-                known[w] = known[s] + end[w[-1]]
+        parts = [(w, s, w[len(s) :]) for w in words if (s := w.rstrip(_MARKS)) is not w and s.isalpha()]
+        whole = {s for _, s, _ in parts} | {w for w in words if w.isalpha()}
+        alone([w for w in whole if w not in known] if suffix else [])
+        rest = {t for _, _, t in parts} | {w for w in words if not w.rstrip(_MARKS).isalpha()}
+        rest = [w for w in (rest if suffix else rest | whole) if w not in known]
+        known.update(zip(rest, ids(rest), strict=True))
+        for w, s, t in parts:
+            known[w] = known[s] + known[t]
 
     def encode(texts: list[str]) -> list[bytes]:
         if len(known) > KNOWN_WORDS:
@@ -70,10 +91,11 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
                 split[i] = t.encode().lower().decode().replace("\n", " ").split(" ")
         words: set[str] = set()
         words.update(*split.values())
-        learn([w for w in words if w not in known])
+        new = [w for w in words if w not in known]
+        learn(new)
         for i, ws in split.items():
             out[i] = b"".join(map(known.__getitem__, ws))
-        for w in words:
+        for w in new:
             if len(w) > 256:  # too long to be worth keeping
                 known.pop(w)
         return out
