@@ -25,7 +25,7 @@ from fairlead.llm.words import minhashes, shingles
 
 CHUNKS, WIDTH = 10, 4
 #: Bits of a set's bitmap, a power of two.
-BITMAP = 1024
+BITMAP = 2048
 
 
 def chunk_keys(signature: np.ndarray, width: int = WIDTH) -> np.ndarray:
