@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fairlead.llm.fuzzylines import dedup_lines
+from fairlead.llm.media import media_documents
 from fairlead.llm.minhash import near_duplicates
 from fairlead.llm.mixing import mix_documents
 from fairlead.llm.packing import pack_documents
 from fairlead.llm.paragraphs import repeated_paragraphs
+from fairlead.llm.quality import judge
+from fairlead.llm.quotes import link_conversations
 from fairlead.llm.toxicity import score_documents
+from fairlead.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +30,14 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_documents(_table(spark, sf_dir, "documents"))
+
+
+def op2_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _tokenizer())
 
@@ -37,6 +50,18 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed_lines")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_table(spark, sf_dir, "documents"))
 
@@ -45,14 +70,18 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_paragraphs(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {
-        "op3_best_fit_packing": op3_best_fit_packing,
-        "op4_toxicity": op4_toxicity,
-        "op5_minhash_near_dedup": op5_minhash_near_dedup,
-        "op9_source_mixing": op9_source_mixing,
-        "op10_paragraph_dedup": op10_paragraph_dedup,
-    }
+    found = [
+        op1_media_chunks, op2_quote_linking, op3_best_fit_packing, op4_toxicity, op5_minhash_near_dedup, op6_quality_rules,
+        op7_fuzzy_line_dedup, op8_warc, op9_source_mixing, op10_paragraph_dedup, pipeline,
+    ]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -50,6 +50,11 @@ def semi(big: DataFrame, ids: DataFrame, on: list[str] | str) -> DataFrame:
     return big.join(_checked(ids), on, "left_semi")
 
 
+def anti(big: DataFrame, ids: DataFrame, on: list[str] | str) -> DataFrame:
+    """Rows of ``big`` whose key is not in ``ids``, under the same size check as ``semi``."""
+    return big.join(_checked(ids), on, "left_anti")
+
+
 def attach(big: DataFrame, small: DataFrame, on: list[str] | str, how: str = "left") -> DataFrame:
     """``big`` with the columns of ``small``, under the same size check as ``semi``."""
     return big.join(_checked(small), on, how)
