@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from fairlead.llm.stage import stage
 from fairlead.llm.words import mix, word_hashes
 
-BITS = 20
+BITS = 18
 #: Labelled rows that are learned from at most, in the order of a hash of doc_id.
 SAMPLE = 20_000
 SHARDS, PASSES = 4, 4
