@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fairlead.llm.linking import link_components, shared_members
 from fairlead.llm.minhash import jaccard_links, prefix_pairs
-from fairlead.llm.stage import stage
+from fairlead.llm.stage import attach, stage
 from fairlead.llm.words import mix, minhashes, shingles
 
 #: Paragraphs of fewer words are left alone.
@@ -21,7 +21,7 @@ MIN_WORDS = 25
 RECALL = 0.9995
 
 
-def tune_bands(threshold: float = 0.75, recall: float = RECALL, most: int = 24) -> tuple[int, int]:
+def tune_bands(threshold: float = 0.75, recall: float = RECALL, most: int = 16) -> tuple[int, int]:
     """(bands, rows): the most rows a band whose bands, at most ``most``, find a pair at ``threshold`` with ``recall``."""
     for rows in range(8, 0, -1):
         bands = int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows)))
@@ -54,12 +54,22 @@ def _paragraphs(min_words: int, bands: int, rows: int):
                     key = np.arange(bands, dtype=np.uint64)
                     for r in range(rows):
                         key = mix(key ^ sig[:, r]) + sig[:, r]
-                    out.append((doc, n, a, b, hashlib.blake2b(h.tobytes(), digest_size=16).digest(), h.view(np.int64), key.view(np.int64)))
-            yield pd.DataFrame(out, columns=["doc_id", "paragraph", "start", "end", "digest", "hashes", "keys"])
+                    out.append((doc, n, a, b, hashlib.blake2b(h.tobytes(), digest_size=16).digest(), key.view(np.int64)))
+            yield pd.DataFrame(out, columns=["doc_id", "paragraph", "start", "end", "digest", "keys"])
 
     return run
 
 
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        ids, sets = [], []
+        for text, wanted in zip(pdf["text"], pdf["wanted"], strict=True):
+            for w in wanted:
+                ids.append(w["id"])
+                sets.append(shingles(text[w["start"] : w["end"]].encode().lower()).view(np.int64))
+        yield pd.DataFrame({"id": ids, "hashes": sets})
+
+
 def repeated_paragraphs(docs: DataFrame, percent: int = 75, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> doc_id, paragraph, start, end, component_id, n_copies, kept.
 
@@ -71,14 +81,17 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 75, min_words: int = MIN
     are separate occurrences, of which one is kept.  Other columns are not read.
     """
     bands, rows = tune_bands(percent / 100)
-    schema = "doc_id long, paragraph int, start int, end int, digest binary, hashes array<long>, keys array<long>"
+    schema = "doc_id long, paragraph int, start int, end int, digest binary, keys array<long>"
     found = stage(
         docs.select("doc_id", "text").mapInPandas(_paragraphs(min_words, bands, rows), schema)
         .withColumn("pid", F.monotonically_increasing_id()), "paragraphs")
     classes = stage(found.groupBy("digest").agg(F.min("pid").alias("id"), F.count("*").alias("n")), "classes")
-    reps = found.select(F.col("pid").alias("id"), "hashes", "keys").join(classes.select("id"), "id", "left_semi")
+    reps = found.select(F.col("pid").alias("id"), "doc_id", "start", "end", "keys").join(classes.select("id"), "id", "left_semi")
     members = stage(shared_members(reps.select(F.explode("keys").alias("key"), "id")), "members")
-    sets = stage(reps.select("id", "hashes").join(members.select("id").distinct(), "id", "left_semi"), "sets")
+    wanted = reps.drop("keys").join(members.select("id").distinct(), "id", "left_semi").groupBy("doc_id").agg(
+        F.collect_list(F.struct("id", "start", "end")).alias("wanted"))
+    texts = attach(docs.select("doc_id", "text"), stage(wanted, "wanted"), "doc_id", "inner")
+    sets = stage(texts.mapInPandas(_sets, "id long, hashes array<long>"), "sets")
     roots = stage(
         link_components(members, lambda p: jaccard_links(p, sets, percent), narrow=lambda many: prefix_pairs(many, sets, percent)),
         "roots")
