@@ -8,6 +8,7 @@ most ``2 ** BITS``, and these are broadcast for scoring.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,15 @@ def distinct(text: str | None, bits: int = BITS) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int32)
 
 
+def packed(at: np.ndarray) -> bytes:
+    """Sorted coordinates as compressed steps from one to the next."""
+    return zlib.compress(np.diff(at, prepend=0).astype("<u4").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<u4")).astype(np.int64)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
@@ -66,7 +76,7 @@ def _learner(state: Broadcast, turn: int, size: int):
         order = np.random.default_rng(turn).permutation(len(pdf))
         pdf = pdf.sort_values("doc_id", kind="stable").iloc[order]
         for at, y in zip(pdf["at"], pdf["toxic"], strict=True):
-            at = np.append(np.asarray(at, np.int64), size)
+            at = np.append(unpacked(at), size)
             w = weights_of(z[at], n[at])
             g = (1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - y) * (POSITIVE if y else 1.0)
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
@@ -89,18 +99,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "at": [distinct(t, bits) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "at": [packed(distinct(t, bits)) for t in pdf["text"]]})
 
     data = stage(
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
-        .mapInPandas(rows, "doc_id long, toxic int, at array<int>")
+        .mapInPandas(rows, "doc_id long, toxic int, at binary")
         .withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(SHARDS))),
         "labelled",
     )
     z, n = np.zeros(size + 1), np.zeros(size + 1)  # the last coordinate is the constant
     for turn in range(PASSES):
         state = spark.sparkContext.broadcast((z, n))
-        deltas = data.groupBy("shard").applyInPandas(_learner(state, turn, size), "at long, dz double, dn double")
+        deltas = data.groupBy("shard").applyInPandas(_learner(state, turn, size), "at int, dz float, dn float")
         merged = deltas.groupBy("at").agg(F.sum("dz").alias("dz"), F.sum("dn").alias("dn")).toPandas()  # bounded by the coordinates
         z[merged["at"]] += merged["dz"] / SHARDS
         n[merged["at"]] += merged["dn"] / SHARDS
