@@ -35,6 +35,7 @@ def link_components(
     close: Column | None = None,
     star_rounds: int = 2,
     large: int = 12,
+    links: DataFrame | None = None,
 ) -> DataFrame:
     """``members(key, id, ...)`` (staged, distinct) -> ``(id, root)`` of every id with a link.
 
@@ -42,10 +43,17 @@ def link_components(
     of its buckets that most others meet; keys within one component are then dropped.  Of the rest every pair from
     different components is tested.  In keys of more than ``large`` ids those pairs come from
     ``narrow(ids(id, root))``, which must return every link between different roots among its ids, and may
-    return more.  ``close`` is a cheap necessary condition on columns of the two sides, named one.x and two.x.
+    return more.  ``close`` is a cheap necessary condition on columns of the two sides, named one.x and two.x.  ``links``
+    are those known already.
     """
     extra = [c for c in members.columns if c not in ("key", "id")]
-    rows, links = members.select("key", "id").withColumn("root", F.col("id")), None
+    rows = members.select("key", "id").withColumn("root", F.col("id"))
+    if links is not None:
+        roots = stage(connected_components(links), "roots")
+        joined = members.select("key", "id").join(roots, "id", "left")
+        rows = stage(_spanning(joined.select("key", "id", F.coalesce("root", "id").alias("root"))), "members")
+        if not rows.head(1):
+            return roots
     for _ in range(star_rounds):
         sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
         met = rows.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("met"))
