@@ -95,7 +95,7 @@ def write_latest(rows: DataFrame, path: str, checkpoint: str, keys: list[str] =
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        one = keep_last(batch, list(keys), F.monotonically_increasing_id())
+        one = keep_last(batch.withColumn("_order", F.monotonically_increasing_id()), list(keys), F.col("_order")).drop("_order")
         one.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
