@@ -95,7 +95,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     The store has doc_id (the smallest of a medium's), digests in order, ``samples`` of the chunks stored here and
     ``other``, the places of chunks stored elsewhere.  Each distinct chunk of the corpus is stored once.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     manifests = stage(docs.mapInPandas(_manifests, "doc_id long, n_bytes long, medium binary, digests array<binary>"), "manifests")
     media = manifests.groupBy("medium").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
     media = stage(media, "media")
@@ -154,10 +154,11 @@ def media_documents(docs: DataFrame) -> DataFrame:
 
     Texts are stored, read back and verified; features come from the bytes read.  Equal texts share one medium and
     so have equal values.  A null or empty text is UNIT zero bytes.  Other columns are not read; an empty table gives
-    an empty result.  doc_id is taken to be unique.
+    an empty result.  Rows with a null doc_id are left out; a row repeated whole gets its values each time, and other
+    rows are taken to differ in doc_id.
     """
     manifests, stored = store(docs)
-    found = stage(read_features(stored), "features").drop("doc_id")
+    found = stage(read_features(stored), "features").drop("doc_id").dropDuplicates(["medium"])
     return manifests.select("doc_id", "n_bytes", "medium").join(found, "medium").select(
         "doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("medium")).alias("payload_sha256"), "tail_crc32", "media_bytes",
         "media_sha256", "feature")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fairlead.llm.linking import link_components, shared_members
-from fairlead.llm.stage import semi, stage
+from fairlead.llm.stage import once, semi, stage
 from fairlead.llm.words import minhashes, shingles
 
 CHUNKS, WIDTH = 10, 4
@@ -119,18 +119,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     shingles, its whole sequence as one if it has fewer words, and nothing if it has none or its text is null; such
     documents are linked with nothing and kept.  Equal sets are one node (their smallest doc_id), so repeated rows
     cost one row each.  component_id is the smallest doc_id reachable over links; ties cannot occur.  Other columns
-    are not read; an empty table gives an empty result.  doc_id is taken to be unique.
+    are not read; an empty table gives an empty result.  Rows with a null doc_id are left out; a row repeated whole
+    gets its result each time, and other rows are taken to differ in doc_id.
     """
+    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     sigs = stage(
-        docs.select("doc_id", "text").mapInPandas(_signatures, "doc_id long, n_shingles long, digest binary, keys array<long>"),
+        docs.mapInPandas(_signatures, "doc_id long, n_shingles long, digest binary, keys array<long>"),
         "signatures",
     )
     classes = stage(sigs.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
     reps = sigs.select(F.col("doc_id").alias("id"), "keys").join(classes.select("id"), "id", "left_semi")
     members = stage(shared_members(reps.select(F.explode("keys").alias("key"), "id")), "members")
     ids = stage(members.select("id").distinct(), "ids")
-    texts = semi(docs.select("doc_id", "text"), ids.withColumnRenamed("id", "doc_id"), "doc_id")
-    sets = stage(texts.mapInPandas(_sets, "id long, hashes array<long>"), "sets")
+    texts = semi(docs, ids.withColumnRenamed("id", "doc_id"), "doc_id")
+    sets = once(stage(texts.mapInPandas(_sets, "id long, hashes array<long>"), "sets"), "id")
     roots = stage(link_components(
         members, lambda p: jaccard_links(p, sets, percent), narrow=lambda many: prefix_pairs(many, sets, percent)), "roots")
     named = stage(classes.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("component_id")), "named")

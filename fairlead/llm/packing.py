@@ -122,8 +122,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
                 yield out if with_ids else out.drop(columns="ids")
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInPandas(cut, schema)
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    # ids pass as text, since pandas would make numbers of a column with nulls inexact
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return texts.mapInPandas(cut, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fairlead.llm.linking import link_components, shared_members
 from fairlead.llm.minhash import jaccard_links, prefix_pairs
-from fairlead.llm.stage import attach, stage
+from fairlead.llm.stage import attach, once, stage
 from fairlead.llm.words import mix, minhashes, shingles
 
 #: Paragraphs of fewer words are left alone.
@@ -77,21 +77,23 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 75, min_words: int = MIN
     document or in another: start and end are code points of the text, and joining the other spans gives the text
     without repeats.  Two paragraphs are linked if their sets of 5-word shingles (A-Z lower-cased) have
     100 * intersection >= percent * union.  A component keeps its first paragraph by (doc_id, paragraph), and
-    component_id is the doc_id of that one.  Null and empty texts have no paragraphs.  Rows repeated with one doc_id
-    are separate occurrences, of which one is kept.  Other columns are not read.
+    component_id is the doc_id of that one.  Null and empty texts have no paragraphs.  A row repeated whole counts as
+    separate occurrences, of which one is kept; other rows are taken to differ in doc_id, and those without one are
+    left out.  Other columns are not read.
     """
     bands, rows = tune_bands(percent / 100)
+    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     schema = "doc_id long, paragraph int, start int, end int, digest binary, keys array<long>"
     found = stage(
-        docs.select("doc_id", "text").mapInPandas(_paragraphs(min_words, bands, rows), schema)
+        docs.mapInPandas(_paragraphs(min_words, bands, rows), schema)
         .withColumn("pid", F.monotonically_increasing_id()), "paragraphs")
     classes = stage(found.groupBy("digest").agg(F.min("pid").alias("id"), F.count("*").alias("n")), "classes")
     reps = found.select(F.col("pid").alias("id"), "doc_id", "start", "end", "keys").join(classes.select("id"), "id", "left_semi")
     members = stage(shared_members(reps.select(F.explode("keys").alias("key"), "id")), "members")
     wanted = reps.drop("keys").join(members.select("id").distinct(), "id", "left_semi").groupBy("doc_id").agg(
         F.collect_list(F.struct("id", "start", "end")).alias("wanted"))
-    texts = attach(docs.select("doc_id", "text"), stage(wanted, "wanted"), "doc_id", "inner")
-    sets = stage(texts.mapInPandas(_sets, "id long, hashes array<long>"), "sets")
+    texts = attach(docs, stage(wanted, "wanted"), "doc_id", "inner")
+    sets = once(stage(texts.mapInPandas(_sets, "id long, hashes array<long>"), "sets"), "id")
     roots = stage(
         link_components(members, lambda p: jaccard_links(p, sets, percent), narrow=lambda many: prefix_pairs(many, sets, percent)),
         "roots")

@@ -36,6 +36,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def once(df: DataFrame, key: str) -> DataFrame:
+    """A staged table with one row for each ``key``; it is written anew only if some key has more."""
+    n = df.agg(F.count("*").alias("n"), F.count_distinct(key).alias("d")).first()
+    return df if n["n"] == n["d"] else stage(df.dropDuplicates([key]), "once")
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a staged table that no later step reads."""
     spark = df.sparkSession

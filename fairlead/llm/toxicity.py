@@ -27,6 +27,8 @@ SHARDS, PASSES = 4, 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.1
 #: Weight of a toxic row, since few rows are.
 POSITIVE = 3.0
+#: Log odds before anything is learned: few texts are toxic.
+PRIOR = -2.2
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _NEXT, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -78,7 +80,7 @@ def _learner(state: Broadcast, turn: int, size: int):
         for at, y in zip(pdf["at"], pdf["toxic"], strict=True):
             at = np.append(unpacked(at), size)
             w = weights_of(z[at], n[at])
-            g = (1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - y) * (POSITIVE if y else 1.0)
+            g = (1.0 / (1.0 + np.exp(-np.clip(PRIOR + w.sum(), -35, 35))) - y) * (POSITIVE if y else 1.0)
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
             n[at] += g * g
         moved = np.flatnonzero((z != before_z) | (n != before_n))
@@ -91,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
     """``docs(doc_id, text)`` and ``labels(doc_id, toxic)`` -> coordinates, their weights, and the constant.
 
     Learns from labelled rows that are not held out, at most ``sample`` of them.  Rows without a label are left out;
-    of contradicting labels for one doc_id the larger holds.  Without any labels all weights are 0.
+    of contradicting labels for one doc_id the larger holds.  Without any labels all weights are 0 and PRIOR alone scores.
     """
     spark, size = docs.sparkSession, 1 << bits
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -117,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
         state.destroy()
     w = weights_of(z, n)
     at = np.flatnonzero(w[:-1])
-    return at, w[at], float(w[-1])
+    return at, w[at], PRIOR + float(w[-1])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: int = BITS) -> DataFrame:
@@ -137,7 +139,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: in
                 out.append(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": out})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    # ids pass as text, since pandas would make numbers of a column with nulls inexact
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return texts.mapInPandas(run, "doc_id string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -298,13 +298,14 @@ def page_records(pages: DataFrame, least: int = 100) -> DataFrame:
     """``pages(page_id, url, html, ...)`` -> rows with SCHEMA's columns; of equal payloads all but one are revisits.
 
     A null html is an empty payload.  Payloads under ``least`` bytes are responses all.  Of the others the row with
-    the smallest page_id is the response.  page_id is taken to be unique; ties cannot occur.
+    the smallest page_id is the response; rows repeated whole have its type alike.  Rows without a page_id are
+    responses and come back without one.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     light = pages.select("page_id", F.octet_length(payload).alias("n"), F.sha2(payload, 256).alias("digest")).where(F.col("n") >= least)
     first = light.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
-    again = light.join(first.select("digest", "first"), "digest").where("page_id <> first").select("page_id", "first")
-    urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
+    again = light.join(first.select("digest", "first"), "digest").where("page_id <> first").select("page_id", "first").distinct()
+    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     joined = attach(pages.select("page_id", "url", payload.alias("payload")), again, "page_id")
     revisit = F.col("first").isNotNull()
     return joined.select(
@@ -324,14 +325,14 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_warc(page_records(pages), path)
-    number = lambda c: F.regexp_extract(c, r"urn:page:(-?\d+)", 1).cast("long")
+    number = lambda c: F.regexp_extract(c, r"urn:page:(-?\d+)", 1).try_cast("long")
     response = read_warc(spark, path).where("record_type = 'response'").select(
         number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_digest"))
     response = stage(response, "responses")
     revisit = read_warc(spark, path, payload="false").where("record_type = 'revisit'").select(
         number("record_id").alias("page_id"), number("refers_to").alias("refers_to"))
-    named = response.withColumnRenamed("page_id", "refers_to")
+    named = response.dropDuplicates(["page_id"]).withColumnRenamed("page_id", "refers_to")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return response.select("*", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).select(columns).unionByName(
         revisit.join(named, "refers_to").withColumn("record_type", F.lit("revisit")).select(columns))
