@@ -1,0 +1,406 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy, and on awkward rows."""
+
+import hashlib
+import itertools
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fairlead.llm import fuzzylines, media, minhash, mixing, packing, paragraphs, quality, quotes, toxicity, warc, words
+from fairlead.llm.components import connected_components
+from fairlead.llm.linking import link_components
+from fairlead.llm.stage import new_path
+
+LONG = " ".join(f"word{i % 977}x" for i in range(12000))
+PARA = " ".join(f"par{i}" for i in range(60))
+ROWS = [
+    (1, "hello world this is a test", None, "a", 5, "k", 1), (2, None, "en", None, 0, "k", 2), (3, "", "en", "a", 0, None, 3),
+    (4, LONG, "en", "b", 1, "k", 4), (5, LONG, None, None, 1, "k", 5), (None, "null id text here now", None, None, None, None, None),
+    (6, PARA + "\n" + PARA, "fr", "c", 1, "z", 6), (7, "x " + PARA + " tail\nshort", "fr", "c", 1, "z", 7),
+    (1, "hello world this is a test", None, "a", 5, "k", 1), (9, "\n\n \n", None, "a", 1, None, 1)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids and texts, empty, blank and long texts, a repeated row, and columns named as the operators' own."""
+    return spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string, n_chars long, key string, root long").cache()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def roots(ids, links):
+    up = {i: i for i in ids}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def jaccard_links(sets, percent=75):
+    held, both = defaultdict(list), Counter()
+    for i, s in sets.items():
+        for g in s:
+            held[g].append(i)
+    for ids in held.values():
+        both.update(itertools.combinations(sorted(set(ids)), 2))
+    return [p for p, k in both.items() if 100 * k >= percent * (len(sets[p[0]]) + len(sets[p[1]]) - k)]
+
+
+def word_sets(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_word_hashes_do_not_depend_on_place(monkeypatch):
+    text = b"  alpha beta\tgamma\nalpha  beta "
+    h = words.word_hashes(text)
+    assert len(h) == 5 and h[0] == h[3] and h[1] == h[4] and len(set(h.tolist())) == 3
+    monkeypatch.setattr(words, "_BLOCK", 4)
+    assert (words.word_hashes(text) == h).all()
+
+
+def test_components_of_path_star_and_loop(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (2, 1)]
+    got = {r.id: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(1, 41), 1), **dict.fromkeys(range(100, 160), 100)}
+
+
+def test_linking_equals_all_pairs(spark):
+    rng = np.random.default_rng(0)
+    near = {tuple(sorted(p)) for p in rng.integers(0, 60, (40, 2)).tolist() if p[0] != p[1]}
+    rows = [(int(k), int(i)) for i in range(60) for k in set(rng.integers(0, 6, 3).tolist())]
+    true = spark.createDataFrame(sorted(near), "a long, b long")
+    members = spark.createDataFrame(rows, "key long, id long")
+    keys = defaultdict(set)
+    for k, i in rows:
+        keys[i].add(k)
+    expected = roots(range(60), [p for p in near if keys[p[0]] & keys[p[1]]])
+    got = {r.id: r.root for r in link_components(members, lambda p: p.join(true, ["a", "b"], "left_semi"), large=3).collect()}
+    assert {i: got.get(i, i) for i in range(60)} == expected
+
+
+def test_media_round_trip(docs):
+    got = {r.doc_id: r for r in media.media_documents(docs).collect()}
+    for r in docs.collect():
+        data = media.payload_of(r.text)
+        g = got[r.doc_id]
+        form = media.container(media.chunks_of(data), [hashlib.sha256(c).digest() for c in media.chunks_of(data)])
+        assert (g.payload_sha256, g.payload_bytes, g.tail_crc32) == (hashlib.sha256(data).hexdigest(), len(data), zlib.crc32(data[-64:]))
+        assert (g.n_bytes, g.media_bytes, g.media_sha256) == (len((r.text or "").encode()), len(form), hashlib.sha256(form).hexdigest())
+
+
+def test_media_cuts_follow_content(monkeypatch):
+    data = np.random.default_rng(1).integers(0, 256, 60000, np.uint8).tobytes()
+    shifted = media.chunks_of(b"some bytes before" + data)
+    assert len(set(shifted) & set(media.chunks_of(data))) > 0.8 * len(media.chunks_of(data)) - 2
+    whole = media.cut_points(data)
+    monkeypatch.setattr(media, "_BLOCK", 1000)
+    assert media.cut_points(data) == whole and max(np.diff([0, *whole])) <= media.LONGEST
+
+
+def test_media_store_holds_each_chunk_once_and_detects_damage(spark):
+    rng = np.random.default_rng(2)
+    shared = " ".join(map(str, rng.integers(0, 10**6, 4000)))
+    rows = spark.createDataFrame([(i, f"{i} " * 50 + shared + f" {i}" * 50) for i in range(4)], "doc_id long, text string")
+    _, stored = media.store(rows)
+    kept = [bytes(c) for r in stored.collect() for c in r.samples]
+    assert len(kept) == len(set(kept)) and stored.where("size(other) > 0").count() == 3
+    assert media.read_features(stored).count() == 4
+    broken = stored.withColumn("samples", F.transform("samples", lambda c: F.concat(c, F.lit(b"!"))))
+    with pytest.raises(Exception, match="differs from its digest"):
+        media.read_features(broken).collect()
+
+
+CONVERSATION = [
+    (1, 0, "u", "Hello there my friend.\nHow are you doing today?"), (1, 1, "a", "On Monday X wrote:\n> How are you doing today?\nI am doing fine thanks"),
+    (1, 2, "u", "> > How are you doing today?\n> I am doing fine, thanks\n\nGood to hear that."), (1, 3, "a", ">> I am doing FINE thanks\n> Good to hear that.\nyes"),
+    (1, 4, "u", None), (1, 5, "u", ""), (2, 1, "a", "> How are you doing today?\nother"), (1, 6, "a", "> Hello there my friend. How are you doing today?\nlate"), (None, 1, None, None)]
+
+
+def test_quotes_link_and_order(spark):
+    got = {(r.conv_id, r.turn): r for r in quotes.link_conversations(spark.createDataFrame(CONVERSATION, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k[1]: (r.reply_to, r.thread_root, r.reply_depth) for k, r in got.items() if k[0] == 1} == {
+        0: (None, 0, 0), 1: (0, 0, 1), 2: (1, 0, 2), 3: (2, 0, 3), 4: (None, 4, 0), 5: (None, 5, 0), 6: (0, 0, 1)}
+    assert got[1, 2].text == "Good to hear that." and got[1, 4].text is None and got[2, 1].reply_to is None and got[1, 3].quote_depth == 2
+    assert len(got) == len(CONVERSATION)
+
+
+def test_quotes_leave_plain_conversations(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    got = quotes.link_conversations(table)
+    assert got.join(table, ["conv_id", "turn", "role", "text"], "left_semi").count() == table.count() == got.count()
+
+
+def test_packing(docs, tokenizer):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer)
+    rows = packing.pack_documents(docs, tokenizer).toPandas().sort_values(["sequence_id", "offset"])
+    by = rows.groupby("sequence_id").length
+    assert (rows.offset == by.cumsum() - rows.length).all() and by.sum().max() <= 2048
+    got = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows.itertuples()}
+    assert len(got) == len(rows)
+    for r in docs.collect():
+        ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 0]
+        for k, a in enumerate(range(0, len(ids), 2048)):
+            part = np.array(ids[a : a + 2048], "<u4").tobytes()
+            assert got.pop((r.doc_id, k)) == (a, len(part) // 4, zlib.crc32(part))
+    assert not got and rows.sequence_id.nunique() <= math.ceil(rows.length.sum() / 2048) * 1.02 + 1
+
+
+def test_packing_is_near_first_fit_decreasing(spark):
+    sizes = np.random.default_rng(5).integers(1, 1500, 600)
+    rows = spark.createDataFrame([(int(i), 0, int(n)) for i, n in enumerate(sizes)], "doc_id long, piece int, length long")
+    used = packing.pack(rows).select("sequence_id").distinct().count()
+    gaps = []
+    for n in sorted(sizes.tolist(), reverse=True):
+        best = min((g for g in gaps if g >= n), default=None)
+        if best is not None:
+            gaps.remove(best)
+        gaps.append((best or 2048) - n)
+    assert used <= len(gaps) * 1.02 + 1
+
+
+def test_encoder_equals_tokenizer(tokenizer):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer)
+    texts = ["", " a  b ", "don't stop's 'll", "café Σας ΟΔΟΣ", "foo.,bar !!x a1b2 1.5", "<|endoftext|> hi <|ENDOFTEXT|>", "tab\tx\ry z\x1cq", "İ ﬁ ſ", "a" * 600 + " b"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encoder(tokenizer)(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_toxicity_on_held_out_rows(spark):
+    d, l = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    known = d.join(F.broadcast(l.select("doc_id")), "doc_id", "left_semi")
+    got = toxicity.score_documents(known, l).join(l, "doc_id").where("held_out").toPandas()
+    hit = ((got.predicted == 1) & (got.toxic == 1)).sum()
+    assert hit / got.predicted.sum() > 0.9 and hit / got.toxic.sum() > 0.6 and got.score.between(0, 1).all()
+
+
+def test_toxicity_does_not_learn_from_held_out_rows(spark):
+    rows = [(i, "bad apple pie" if i % 2 else "good apple pie") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    held = spark.createDataFrame([(i, i % 2) for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0], "doc_id long, toxic int")
+    assert len(toxicity.train(d, held)[0]) == 0
+    at, w, _ = toxicity.train(d, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int"))
+    assert len(at) > 0
+    assert toxicity.score_documents(d, held).where("predicted = 1").count() == 0
+
+
+def test_near_duplicates_equal_brute_force(docs):
+    sets = {r.doc_id: word_sets(r.text) for r in docs.collect()}
+    expected = roots(sets, jaccard_links(sets))
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs).collect()}
+    assert {i: r.component_id for i, r in got.items()} == expected
+    assert all(r.n_shingles == len(sets[i]) and r.kept == (i == r.component_id) for i, r in got.items())
+
+
+def test_near_duplicates_in_a_large_group(spark):
+    """Many edits of one text: links, near misses and more than one component, through stars and prefixes."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for p in rng.integers(0, 150, int(rng.integers(0, 9))):
+            w[p] = f"e{rng.integers(0, 40)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: word_sets(t) for i, t in rows}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == roots(sets, jaccard_links(sets)) and len(set(got.values())) > 3
+
+
+def test_signature_keys_cover_the_promised_distance():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        a = rng.integers(0, 65536, minhash.CHUNKS * minhash.WIDTH).astype(np.uint64)
+        b = a.copy()
+        b[rng.choice(len(a), 2 * minhash.CHUNKS - 1, replace=False)] ^= np.uint64(1)
+        assert set(minhash.chunk_keys(a).tolist()) & set(minhash.chunk_keys(b).tolist())
+
+
+def brute_quality(text):
+    w = re.findall("[^\x20\x09-\x0D]+", text or "")
+    at = defaultdict(list)
+    for k in range(len(w) - 4):
+        at[tuple(w[k : k + 5])].append(k)
+    covered = {p for v in at.values() if len(v) > 1 for k in v for p in range(k, k + 5)}
+    lines = [x for x in (text or "").split("\n") if re.search("[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_base_columns(docs, odd, labels):
+    for table in (docs, odd):
+        texts = {r.doc_id: r.text for r in table.collect()}
+        for r in quality.judge(table, labels).collect():
+            n, chars, symbols, lines, repeats = brute_quality(texts[r.doc_id])
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, lines, repeats)
+            assert r.base_failed == (n < 10 or 100 * repeats > 20 * n) and (not r.kept or not r.base_failed)
+
+
+def test_quality_bounds_and_cutoffs(spark):
+    ks = [(3, 100), (0, 50), (60, 5000), (0, 0)]
+    got = spark.createDataFrame(ks, "k long, n long").select(quality.binomial_at_most(F.col("k"), F.col("n"), 0.02).alias("p")).collect()
+    for (k, n), r in zip(ks, got, strict=True):
+        assert math.isclose(r.p, sum(math.comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(min(k, n) + 1)), rel_tol=1e-9)
+    words_ = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, words_ + (" # ## ### #### #####" if i % 10 == 0 else ""), ["en", None][i % 2]) for i in range(6000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    good = spark.createDataFrame([(i, int(i % 10 != 0)) for i in range(6000)], "doc_id long, quality int")
+    judged = {r.doc_id: r.kept for r in quality.judge(d, good).collect()}
+    assert judged == {i: i % 10 != 0 for i in range(6000) if i % 2 == 0} | {i: True for i in range(6000) if i % 2}
+    noisy = good.withColumn("quality", F.lit(1))
+    assert quality.judge(d, noisy).where("kept").count() == 6000
+
+
+def test_fuzzy_lines(spark):
+    base = " ".join(f"token{i}" for i in range(120))
+    near, far = base.replace("token60", "token6x"), " ".join(f"other{i}" for i in range(120))
+    rows = [(1, base + "\nshort\n" + far), (2, "Intro line stays here\n" + near + "\nshort"), (3, base.upper() + "!"), (4, None), (5, "")]
+    got = {r.doc_id: r for r in fuzzylines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sims = {r.line: r.sim for r in fuzzylines.occurrences(spark.createDataFrame([(1, base + "\n" + near)], "doc_id long, text string")).collect()}
+    linked = bin((sims[0] ^ sims[1]) & (2**64 - 1)).count("1") <= fuzzylines.NEAR
+    assert got[1].text == rows[0][1] and got[3].text == "" and got[4].text is None and got[5].text == ""
+    assert got[2].text == ("Intro line stays here\nshort" if linked else rows[1][1])
+    assert got[3].n_removed_lines == 1 and got[1].n_lines == 3
+
+
+def test_fuzzy_lines_equal_brute_force_for_equal_lines(docs):
+    norm = lambda x: re.sub(r"[\W_]+", " ", x.lower()).strip()
+    seen, expected = set(), {}
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        for n, line in enumerate((r.text or "").split("\n")):
+            key = norm(line)
+            if len(key) >= fuzzylines.MIN_CHARS:
+                if key in seen:
+                    expected.setdefault(r.doc_id, set()).add(n)
+                seen.add(key)
+    got = {r.doc_id: set(r.lines) for r in fuzzylines.duplicate_lines(docs).collect()}
+    assert all(places <= got.get(i, set()) for i, places in expected.items())
+
+
+def test_simhash_lanes_agree(docs):
+    lines = fuzzylines.eligible_lines(docs).withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(1), "norm")})
+    a, b = (fuzzylines.simhash(lines, ["doc_id", "line"], k) for k in (2, 4))
+    assert a.exceptAll(b).count() == 0
+
+
+def test_warc_round_trip(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 200), (2, None, "x" * 200), (None, "v", None), (3, "w", ""), (4, "http://a", "é\r\n\r\n" * 300), (5, "q", "")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.archive_pages(pages).collect()}
+    assert len(got) == 6 and got[2].record_type == "revisit" and got[2].refers_to == 1 and got[2].payload_digest == got[1].payload_digest
+    assert got[4].payload_digest == hashlib.sha256(("é\r\n\r\n" * 300).encode()).hexdigest() and {got[3].record_type, got[5].record_type} == {"response"}
+
+
+def test_warc_splits_filters_and_foreign_files(spark, tmp_path):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    path = new_path(spark, "warc")
+    warc.write_warc(warc.page_records(pages), path)
+    whole = {r.record_id: hashlib.sha256(r.payload).hexdigest() for r in warc.read_warc(spark, path).collect()}
+    cut = {r.record_id: hashlib.sha256(r.payload).hexdigest() for r in warc.read_warc(spark, path, splitBytes="3000").collect()}
+    assert cut == whole and len(whole) == pages.count()
+    some = warc.read_warc(spark, path).where("record_type = 'revisit'")
+    assert some.count() == 0 and "record_type" not in some._jdf.queryExecution().executedPlan().toString().split("Filter")[-1].split("\n")[0].replace("BatchScan", "")
+    row = {"record_type": "response", "record_id": "<a>", "date": "d", "target_uri": None, "refers_to": None, "payload_digest": None, "payload": b"body", "content_length": 4}
+    import gzip
+
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(warc.record(row)) + gzip.compress(warc.record(row)))
+    (tmp_path / "b.warc").write_bytes(warc.record(row) * 3)
+    assert [bytes(r.payload) for r in warc.read_warc(spark, str(tmp_path)).collect()] == [b"body"] * 5
+
+
+def test_mixing(docs):
+    got = mixing.mix_documents(docs).toPandas().merge(docs.select("doc_id", "source").toPandas(), on="doc_id")
+    assert (got["size"] == [len((t or "").encode().split()) for t in got.merge(docs.select("doc_id", "text").toPandas(), on="doc_id").text]).all()
+    by = got.groupby("source", dropna=False)
+    size, target, taken = by["size"].sum(), by.target.first(), by.taken.sum()
+    assert (by.source_size.first() == size).all() and math.isclose(target.sum(), size.sum(), rel_tol=1e-9)
+    assert ((taken - target).abs() <= by["size"].max() / 2 + 1).all() and (got.taken <= 3 * got["size"]).all()
+    again = mixing.mix_documents(docs.repartition(3)).toPandas().set_index("doc_id").taken.sort_index()
+    assert (again == got.set_index("doc_id").taken.sort_index()).all()
+
+
+def test_mixing_targets_cap_and_reshare():
+    t = mixing.capped_targets({"a": 1000, "b": 10, "c": 10, None: 100})
+    assert t["b"] == 30 and t["c"] == 30 and math.isclose(sum(t.values()), 1120)
+    assert math.isclose(t[None], 300.0) or t[None] <= 300.0
+
+
+def test_mixing_routes_overlapping_sources(spark):
+    flow = mixing.route({"ab": (["a", "b"], 100), "a": (["a"], 50)}, {"a": 60.0, "b": 150.0})
+    assert sum(n for s, n in flow["ab"] + flow["a"] if s == "a") == 60 and sum(n for s, n in flow["ab"] if s == "b") == 150
+    assert dict(flow["a"])["a"] >= 50
+    rows = spark.createDataFrame([(i, 5, ["a", "b"] if i % 3 else ["a"]) for i in range(60)], "doc_id long, size long, sources array<string>")
+    got = mixing.mix_sources(rows)
+    assert got.count() == 60 and got.where("repeats > 3 or taken <> repeats * size").count() == 0
+    assert got.where(F.exists("routed", lambda s: ~F.array_contains("sources", s))).count() == 0
+
+
+def test_paragraphs_equal_brute_force(docs):
+    sets = {}
+    for r in docs.collect():
+        for n, (a, b) in enumerate(paragraphs.split_paragraphs(r.text or "")):
+            if len(r.text[a:b].encode().split()) >= paragraphs.MIN_WORDS:
+                sets[r.doc_id, n] = word_sets(r.text[a:b])
+    up = roots(sets, jaccard_links(sets))
+    count = Counter(up.values())
+    expected = {k: (up[k][0], count[up[k]], up[k] == k) for k in sets if count[up[k]] > 1}
+    found = paragraphs.repeated_paragraphs(docs)
+    assert {(r.doc_id, r.paragraph): (r.component_id, r.n_copies, r.kept) for r in found.collect()} == expected
+    left = {r.doc_id: r.text for r in paragraphs.without_repeats(docs, found).collect()}
+    gone = {(r.doc_id, r.start, r.end) for r in found.collect() if not r.kept}
+    for r in docs.collect():
+        spans = sorted((a, b) for d, a, b in gone if d == r.doc_id)
+        at, parts = 0, []
+        for a, b in spans:
+            parts.append(r.text[at:a])
+            at = b
+        assert left[r.doc_id] == "".join([*parts, (r.text or "")[at:]])
+
+
+def test_tuned_bands_reach_their_recall():
+    bands, rows = paragraphs.tune_bands()
+    assert 1 - (1 - 0.75**rows) ** bands >= paragraphs.RECALL
+
+
+def test_awkward_rows(spark, odd, tokenizer):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    calls = {
+        media.media_documents: 9, minhash.near_duplicates: 9, fuzzylines.dedup_lines: 10, mixing.mix_documents: 10, paragraphs.repeated_paragraphs: 3,
+        (lambda d: packing.pack_documents(d, tokenizer).where("piece = 0")): 10, (lambda d: toxicity.score_documents(d, none)): 10, (lambda d: quality.judge(d, none)): 10}
+    for f, n in calls.items():
+        rows = f(odd).collect()
+        assert f(odd.limit(0)).count() == 0
+        assert len(rows) >= n
+    by_id = defaultdict(set)
+    for r in media.media_documents(odd).collect():
+        by_id[r.doc_id].add((r.payload_sha256, r.media_sha256, r.feature))
+    assert by_id[4] == by_id[5] and by_id[2] == by_id[3] and all(len(v) == 1 for v in by_id.values())
+    same = {r.doc_id: r.component_id for r in minhash.near_duplicates(odd).collect()}
+    assert same[5] == 4 and same[7] == 7 or same[7] == 6
