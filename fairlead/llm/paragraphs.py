@@ -1,4 +1,10 @@
-"""Substring dedup by paragraph: MinHash bands, exact Jaccard, and one occurrence kept of each component."""
+"""Substring dedup by paragraph: MinHash bands, exact Jaccard, and one occurrence kept of each component.
+
+A repeated passage may stand in the middle of a longer paragraph, so runs of whole sentences are paragraphs as well:
+from a sentence start on, as many sentences as have ``min_words`` words.  Starts are chosen by winnowing, the smallest
+hash among STARTS neighbours, so copies choose alike wherever they stand.  Runs are compared as a whole, paragraphs
+between line ends also by bands.
+"""
 
 from __future__ import annotations
 
@@ -14,11 +20,13 @@ from pyspark.sql import functions as F
 from fairlead.llm.linking import link_components, shared_members
 from fairlead.llm.minhash import jaccard_links, prefix_pairs
 from fairlead.llm.stage import attach, once, stage
-from fairlead.llm.words import mix, minhashes, shingles
+from fairlead.llm.words import minhashes, mix, shingles, word_spans
 
 #: Paragraphs of fewer words are left alone.
 MIN_WORDS = 25
 RECALL = 0.9995
+#: Neighbouring sentence starts of which one at least is chosen.
+STARTS = 3
 
 
 def tune_bands(threshold: float = 0.75, recall: float = RECALL, most: int = 16) -> tuple[int, int]:
@@ -40,12 +48,42 @@ def split_paragraphs(text: str) -> Iterator[tuple[int, int]]:
             yield start, start + len(body)
 
 
+def sentence_runs(text: str, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends, in code points, and 16-byte digests of the chosen runs of sentences of ``text``."""
+    data = text.encode()
+    h, first, end = word_spans(data.lower())
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.uint64)
+    if len(h) < min_words:
+        return none
+    buf = np.frombuffer(data, np.uint8)
+    lines = np.concatenate([[0], np.cumsum(buf == 10)])
+    broken = np.concatenate([[True], lines[first[1:]] > lines[end[:-1]]])  # a line ends before the word
+    stop = np.isin(buf[end - 1], np.frombuffer(b".!?", np.uint8))
+    starts = np.flatnonzero(np.concatenate([[True], stop[:-1]]) | broken)
+    ends = np.append(starts[1:], len(h))  # of the sentences, in words
+    key = mix(h[starts] ^ np.append(h[1:], np.uint64(0))[starts])
+    wide = np.lib.stride_tricks.sliding_window_view(np.pad(key, STARTS - 1, constant_values=np.iinfo(np.uint64).max), STARTS)
+    chosen = np.unique(np.clip(np.arange(len(wide)) + wide.argmin(axis=1) - STARTS + 1, 0, len(starts) - 1))
+    at = starts[chosen]
+    upto = ends[np.minimum(np.searchsorted(ends, at + min_words), len(ends) - 1)]
+    good = upto - at >= min_words
+    at, upto = at[good], upto[good]
+    both = []
+    for salt in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)):
+        power = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(len(h), salt, np.uint64))])
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ salt) * power[:-1])])
+        back = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(len(h), pow(int(salt), -1, 2**64), np.uint64))])
+        both.append(mix((total[upto] - total[at]) * back[at]))
+    place = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])  # code points before each byte
+    return place[first[at]], place[end[upto - 1]], np.stack(both, axis=1)
+
+
 def _paragraphs(min_words: int, bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                for n, (a, b) in enumerate(split_paragraphs(text or "")):
+                for a, b in split_paragraphs(text or ""):
                     data = text[a:b].encode().lower()
                     if b - a < 2 * min_words - 1 or len(data.split()) < min_words:
                         continue
@@ -54,8 +92,10 @@ def _paragraphs(min_words: int, bands: int, rows: int):
                     key = np.arange(bands, dtype=np.uint64)
                     for r in range(rows):
                         key = mix(key ^ sig[:, r]) + sig[:, r]
-                    out.append((doc, n, a, b, hashlib.blake2b(h.tobytes(), digest_size=16).digest(), key.view(np.int64)))
-            yield pd.DataFrame(out, columns=["doc_id", "paragraph", "start", "end", "digest", "keys"])
+                    out.append((doc, True, a, b, hashlib.blake2b(h.tobytes(), digest_size=16).digest(), key.view(np.int64)))
+                for a, b, d in zip(*sentence_runs(text or "", min_words), strict=True):
+                    out.append((doc, False, int(a), int(b), d.tobytes() + b"r", None))
+            yield pd.DataFrame(out, columns=["doc_id", "whole", "start", "end", "digest", "keys"])
 
     return run
 
@@ -71,24 +111,25 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def repeated_paragraphs(docs: DataFrame, percent: int = 75, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> doc_id, paragraph, start, end, component_id, n_copies, kept.
+    """``docs(doc_id, text, ...)`` -> doc_id, whole, start, end, component_id, n_copies, kept.
 
-    One row for each paragraph of at least ``min_words`` words that another such paragraph repeats, in the same
+    One row for each paragraph (``whole``) or run of sentences (not ``whole``) of at least ``min_words`` words that another such paragraph repeats, in the same
     document or in another: start and end are code points of the text, and joining the other spans gives the text
-    without repeats.  Two paragraphs are linked if their sets of 5-word shingles (A-Z lower-cased) have
-    100 * intersection >= percent * union.  A component keeps its first paragraph by (doc_id, paragraph), and
+    without repeats.  Runs are linked if their words are
+    equal, and two paragraphs if their sets of 5-word shingles (A-Z lower-cased) have
+    100 * intersection >= percent * union.  A component keeps its first member by (doc_id, start), and
     component_id is the doc_id of that one.  Null and empty texts have no paragraphs.  A row repeated whole counts as
     separate occurrences, of which one is kept; other rows are taken to differ in doc_id, and those without one are
     left out.  Other columns are not read.
     """
     bands, rows = tune_bands(percent / 100)
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    schema = "doc_id long, paragraph int, start int, end int, digest binary, keys array<long>"
+    schema = "doc_id long, whole boolean, start int, end int, digest binary, keys array<long>"
     found = stage(
         docs.mapInPandas(_paragraphs(min_words, bands, rows), schema)
         .withColumn("pid", F.monotonically_increasing_id()), "paragraphs")
     classes = stage(found.groupBy("digest").agg(F.min("pid").alias("id"), F.count("*").alias("n")), "classes")
-    reps = found.select(F.col("pid").alias("id"), "doc_id", "start", "end", "keys").join(classes.select("id"), "id", "left_semi")
+    reps = found.select(F.col("pid").alias("id"), "doc_id", "start", "end", "keys").where("keys is not null").join(classes.select("id"), "id", "left_semi")
     members = stage(shared_members(reps.select(F.explode("keys").alias("key"), "id")), "members")
     wanted = reps.drop("keys").join(members.select("id").distinct(), "id", "left_semi").groupBy("doc_id").agg(
         F.collect_list(F.struct("id", "start", "end")).alias("wanted"))
@@ -99,19 +140,23 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 75, min_words: int = MIN
         "roots")
     named = classes.join(roots, "id", "left").select("digest", "n", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked"))
     named = stage(named.where("linked or n > 1").select("digest", "root"), "named")
-    out = stage(found.select("doc_id", "paragraph", "start", "end", "pid", "digest").join(named, "digest"), "repeats")
-    first = out.groupBy("root").agg(F.min(F.struct("doc_id", "paragraph", "pid")).alias("first"), F.count("*").alias("n_copies"))
+    out = stage(found.select("doc_id", "whole", "start", "end", "pid", "digest").join(named, "digest"), "repeats")
+    first = out.groupBy("root").agg(F.min(F.struct("doc_id", "start", "pid")).alias("first"), F.count("*").alias("n_copies"))
     return out.join(first, "root").select(
-        "doc_id", "paragraph", "start", "end", F.col("first.doc_id").alias("component_id"), "n_copies",
+        "doc_id", "whole", "start", "end", F.col("first.doc_id").alias("component_id"), "n_copies",
         (F.col("pid") == F.col("first.pid")).alias("kept"))
 
 
 def without_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
-    """``docs`` with the spans of ``repeats`` that are not kept cut from ``text``; doc_id is taken to be unique."""
+    """``docs`` with the spans of ``repeats`` that are not kept cut from ``text``; doc_id is taken to be unique.
+
+    Spans may overlap, and are then cut as one.
+    """
     cut = repeats.where(~F.col("kept")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")))
-    ends = F.concat(whole, F.col("_cut"))
+    reach = F.aggregate(F.concat(whole, F.col("_cut")), F.array().cast("array<int>"), lambda acc, c: F.concat(
+        acc, F.array(F.greatest(c["end"], F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0))))))
     starts = F.concat(F.transform("_cut", lambda c: c["start"]), F.array(F.length("text")))
-    parts = F.zip_with(ends, starts, lambda e, s: F.substring(F.col("text"), e["end"] + 1, s - e["end"]))
+    parts = F.zip_with(reach, starts, lambda e, s: F.substring(F.col("text"), e + 1, F.greatest(s - e, F.lit(0))))
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(parts, ""))
     return docs.join(cut, "doc_id", "left").withColumn("text", text).drop("_cut")

@@ -33,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashes(data: bytes) -> np.ndarray:
+def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     buf = np.frombuffer(data, np.uint8)
     gap = np.ones(len(buf) + 2, np.int8)
     gap[1:-1] = (buf == 32) | ((buf >= 9) & (buf <= 13))
@@ -42,11 +42,16 @@ def _hashes(data: bytes) -> np.ndarray:
     up, down = _power(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE[buf] * up[: len(buf)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+    return mix((total[end] - total[start]) * down[start]), start, end
 
 
 def word_hashes(data: bytes) -> np.ndarray:
     """One 64-bit hash for each word of ``data``, in order; equal words have equal hashes wherever they stand."""
+    return word_spans(data)[0]
+
+
+def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of each word of ``data``, in order."""
     if len(data) <= _BLOCK:
         return _hashes(data)
     parts, at = [], 0
@@ -54,9 +59,10 @@ def word_hashes(data: bytes) -> np.ndarray:
         to = at + _BLOCK
         while to < len(data) and data[to] not in b" \t\n\v\f\r":
             to += 1
-        parts.append(_hashes(data[at:to]))
+        h, start, end = _hashes(data[at:to])
+        parts.append((h, start + at, end + at))
         at = to
-    return np.concatenate(parts)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def shingles(data: bytes, k: int = 5) -> np.ndarray:

@@ -365,25 +365,48 @@ def test_mixing_routes_overlapping_sources(spark):
 def test_paragraphs_equal_brute_force(docs):
     sets = {}
     for r in docs.collect():
-        for n, (a, b) in enumerate(paragraphs.split_paragraphs(r.text or "")):
+        for a, b in paragraphs.split_paragraphs(r.text or ""):
             if len(r.text[a:b].encode().split()) >= paragraphs.MIN_WORDS:
-                sets[r.doc_id, n] = word_sets(r.text[a:b])
+                sets[r.doc_id, a] = word_sets(r.text[a:b])
     up = roots(sets, jaccard_links(sets))
     count = Counter(up.values())
     expected = {k: (up[k][0], count[up[k]], up[k] == k) for k in sets if count[up[k]] > 1}
     found = paragraphs.repeated_paragraphs(docs)
-    assert {(r.doc_id, r.paragraph): (r.component_id, r.n_copies, r.kept) for r in found.collect()} == expected
+    assert {(r.doc_id, r.start): (r.component_id, r.n_copies, r.kept) for r in found.where("whole").collect()} == expected
     left = {r.doc_id: r.text for r in paragraphs.without_repeats(docs, found).collect()}
     gone = {(r.doc_id, r.start, r.end) for r in found.collect() if not r.kept}
     for r in docs.collect():
         spans = sorted((a, b) for d, a, b in gone if d == r.doc_id)
         at, parts = 0, []
         for a, b in spans:
-            parts.append(r.text[at:a])
-            at = b
+            parts.append(r.text[at : max(a, at)])
+            at = max(at, b)
         assert left[r.doc_id] == "".join([*parts, (r.text or "")[at:]])
 
 
+def test_passages_inside_paragraphs(spark):
+    """A passage of over 50 words between other words is found wherever it stands; clean texts are not."""
+    def prose(n, seed):
+        r = np.random.default_rng(seed)
+        out = []
+        while len(out) < n:
+            k = int(r.integers(4, 14))
+            out += [f"é{seed}w{x}" for x in r.integers(0, 10**6, k - 1)] + [f"end{r.integers(0, 10**6)}."]
+        return " ".join(out)
+
+    passage = prose(60, 1)
+    rows = [(i, prose(80, 100 + i) + (" and then " if i % 2 else " ") + passage + " " + prose(80, 200 + i)) for i in range(6)]
+    rows += [(10 + i, prose(150, 300 + i)) for i in range(5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = paragraphs.repeated_paragraphs(table)
+    assert {r.doc_id for r in found.collect()} == set(range(6))
+    assert found.where("kept").select("doc_id").distinct().collect()[0].doc_id == 0
+    text = {i: t for i, t in rows}
+    assert all(text[r.doc_id][r.start : r.end] in passage for r in found.collect())
+    left = {r.doc_id: r.text for r in paragraphs.without_repeats(table, found).collect()}
+    assert left[0] == text[0] and left[10] == text[10] and all(len(left[i]) < len(text[i]) - 100 for i in range(1, 6))
+
+
 def test_tuned_bands_reach_their_recall():
     bands, rows = paragraphs.tune_bands()
     assert 1 - (1 - 0.75**rows) ** bands >= paragraphs.RECALL
