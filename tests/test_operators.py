@@ -190,3 +190,19 @@ def test_empty_inputs(spark, data):
 
     assert steady_segments(empty, ["vessel_id"], "event_id").count() == 0
     assert tracks.track_distance(empty, "vessel_id", "event_id").count() == 0
+
+
+def test_plan_voyage(spark):
+    from fairlead.plans import voyage
+
+    grid = lattice.Lattice([(42.9 - 0.2 * i, 7.2 + 0.15 * i) for i in range(4)], [0, 2, 2, 0], [5.0] * 4, 15.0, 42.3)
+    way = lattice.corridor([(42.9, 7.2), (42.6, 7.4), (42.3, 7.65)], [0, 1, 0], 5.0)
+    request = voyage.Request((42.9, 7.2), (42.3, 7.65), 40, 50, latest_arrival_h=9.0, speeds_kn=[10.0, 13.0])
+    got = voyage.plan_voyage(spark, request, legs.scenario("calm"), WATERS_DEEP, corridors={"east": (way, "E")}, grid=grid)
+    every = {r.candidate_id: r for r in got["candidates"].collect()}
+    picks = got["picks"].orderBy("place").collect()
+    assert every[picks[0].candidate_id].score_eur == min(r.score_eur for r in every.values()) and len(every) >= 3
+    assert got["baseline"].first().speed_kn == pytest.approx(14.0, rel=0.02)
+    assert "route_side_unreachable:E" in [r.code for r in got["diagnostics"].collect()]
+    with pytest.raises(ValueError, match="origin is not navigable"):
+        voyage.check_endpoints(spark, voyage.Request((30.05, 0.04), (42.0, 8.0), 1, 1), spatial.Waters([[(30.0, 0.0), (30.1, 0.0), (30.1, 0.1), (30.0, 0.1)]]))
