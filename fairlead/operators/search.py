@@ -21,7 +21,7 @@ from fairlead.sources.specs import Vessel
 
 BUCKET_H = 1.0
 #: Layers between two checkpoints.
-CUT_EVERY = 4
+CUT_EVERY = 1
 
 
 @dataclass
