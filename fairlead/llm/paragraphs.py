@@ -8,8 +8,6 @@ between line ends also by bands.
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,13 +18,16 @@ from pyspark.sql import functions as F
 from fairlead.llm.linking import link_components, shared_members
 from fairlead.llm.minhash import jaccard_links, prefix_pairs
 from fairlead.llm.stage import attach, once, stage
-from fairlead.llm.words import minhashes, mix, shingles, word_spans
+from fairlead.llm.words import minhash_ranges, mix, powers, shingle_hashes, shingles, word_spans
 
 #: Paragraphs of fewer words are left alone.
 MIN_WORDS = 25
 RECALL = 0.9995
 #: Neighbouring sentence starts of which one at least is chosen.
 STARTS = 3
+_SALTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_STOPS = np.zeros(256, bool)
+_STOPS[list(b".!?")] = True
 
 
 def tune_bands(threshold: float = 0.75, recall: float = RECALL, most: int = 16) -> tuple[int, int]:
@@ -38,27 +39,40 @@ def tune_bands(threshold: float = 0.75, recall: float = RECALL, most: int = 16)
     raise ValueError("no number of bands reaches this recall")
 
 
-def split_paragraphs(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of the paragraphs of ``text``: runs between line ends, without white space around them."""
-    for m in re.finditer(r"[^\n]+", text):
-        one = m[0]
-        body = one.strip(" \t\v\f\r")
-        if body:
-            start = m.start() + one.index(body[0])
-            yield start, start + len(body)
+class Words:
+    """Words of a text: their hashes, places in bytes, and the number of line ends before each byte."""
 
+    def __init__(self, text: str) -> None:
+        self.data = text.encode()
+        self.hashes, self.first, self.end = word_spans(self.data.lower())
+        self.bytes = np.frombuffer(self.data, np.uint8)
+        self.place = np.concatenate([[0], np.cumsum((self.bytes & 0xC0) != 0x80)])  # code points before each byte
+        lines = np.concatenate([[0], np.cumsum(self.bytes == 10)])
+        # words that begin a line
+        self.opens = np.concatenate([[True], lines[self.first[1:]] > lines[self.end[:-1]]]) if len(self.hashes) else np.empty(0, bool)
 
-def sentence_runs(text: str, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends, in code points, and 16-byte digests of the chosen runs of sentences of ``text``."""
-    data = text.encode()
-    h, first, end = word_spans(data.lower())
-    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.uint64)
+
+def paragraphs_of(w: Words, min_words: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends, in words, of the paragraphs between line ends that have ``min_words`` words."""
+    first = np.flatnonzero(w.opens)
+    last = np.append(first[1:], len(w.hashes))[: len(first)]
+    keep = last - first >= min_words
+    return first[keep], last[keep]
+
+
+def split_paragraphs(text: str, min_words: int = 1) -> list[tuple[int, int]]:
+    """Spans in code points of the paragraphs of ``text``, without white space around them."""
+    w = Words(text)
+    first, last = paragraphs_of(w, min_words)
+    return list(zip(w.place[w.first[first]].tolist(), w.place[w.end[last - 1]].tolist(), strict=True)) if len(first) else []
+
+
+def sentence_runs(w: Words, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words, ends and two hashes of the chosen runs of sentences of a text."""
+    h, end, broken, buf = w.hashes, w.end, w.opens, w.bytes
     if len(h) < min_words:
-        return none
-    buf = np.frombuffer(data, np.uint8)
-    lines = np.concatenate([[0], np.cumsum(buf == 10)])
-    broken = np.concatenate([[True], lines[first[1:]] > lines[end[:-1]]])  # a line ends before the word
-    stop = np.isin(buf[end - 1], np.frombuffer(b".!?", np.uint8))
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.uint64)
+    stop = _STOPS[buf[end - 1]]
     starts = np.flatnonzero(np.concatenate([[True], stop[:-1]]) | broken)
     ends = np.append(starts[1:], len(h))  # of the sentences, in words
     key = mix(h[starts] ^ np.append(h[1:], np.uint64(0))[starts])
@@ -69,33 +83,48 @@ def sentence_runs(text: str, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np
     good = upto - at >= min_words
     at, upto = at[good], upto[good]
     both = []
-    for salt in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)):
-        power = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(len(h), salt, np.uint64))])
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ salt) * power[:-1])])
-        back = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(len(h), pow(int(salt), -1, 2**64), np.uint64))])
-        both.append(mix((total[upto] - total[at]) * back[at]))
-    place = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])  # code points before each byte
-    return place[first[at]], place[end[upto - 1]], np.stack(both, axis=1)
+    for salt in _SALTS:
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(mix(h ^ np.uint64(salt)) * powers(salt, len(h))[: len(h)], out=total[1:])
+        both.append(mix((total[upto] - total[at]) * powers(pow(salt, -1, 2**64), len(h))[at]))
+    return at, upto, np.stack(both, axis=1)
+
+
+def paragraph_sets(w: Words, first: np.ndarray, last: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each paragraph's set of shingles, and a key for each of its bands, of paragraphs of 5 words or more."""
+    h = shingle_hashes(w.hashes)
+    cuts = np.stack([first, last - 4], axis=1).ravel()
+    sig = minhash_ranges(h, cuts, bands * rows).reshape(-1, bands, rows)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), sig.shape[:2])
+    for r in range(rows):
+        key = mix(key ^ sig[:, :, r]) + sig[:, :, r]
+    sets = [np.unique(h[a:b]) for a, b in cuts.reshape(-1, 2)]
+    starts = np.cumsum([0, *map(len, sets[:-1])])
+    flat = np.concatenate(sets)
+    return np.stack([np.add.reduceat(mix(flat ^ np.uint64(salt)), starts) for salt in _SALTS], axis=1), key
 
 
 def _paragraphs(min_words: int, bands: int, rows: int):
+    columns = ["doc_id", "whole", "start", "end", "d1", "d2", "keys"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                for a, b in split_paragraphs(text or ""):
-                    data = text[a:b].encode().lower()
-                    if b - a < 2 * min_words - 1 or len(data.split()) < min_words:
+            for at in range(0, len(pdf), 500):
+                part, out = pdf.iloc[at : at + 500], []
+                for doc, text in zip(part["doc_id"], part["text"], strict=True):
+                    w = Words(text or "")
+                    if len(w.hashes) < min_words:
                         continue
-                    h = shingles(data)
-                    sig = minhashes(h, bands * rows).reshape(bands, rows)
-                    key = np.arange(bands, dtype=np.uint64)
-                    for r in range(rows):
-                        key = mix(key ^ sig[:, r]) + sig[:, r]
-                    out.append((doc, True, a, b, hashlib.blake2b(h.tobytes(), digest_size=16).digest(), key.view(np.int64)))
-                for a, b, d in zip(*sentence_runs(text or "", min_words), strict=True):
-                    out.append((doc, False, int(a), int(b), d.tobytes() + b"r", None))
-            yield pd.DataFrame(out, columns=["doc_id", "whole", "start", "end", "digest", "keys"])
+                    for whole, (first, last) in ((True, paragraphs_of(w, min_words)), (False, (runs := sentence_runs(w, min_words))[:2])):
+                        if len(first):
+                            d, keys = paragraph_sets(w, first, last, bands, rows) if whole else (runs[2], None)
+                            out.append((
+                                np.full(len(first), doc), np.full(len(first), whole), w.place[w.first[first]], w.place[w.end[last - 1]],
+                                np.ascontiguousarray(d[:, 0]).view(np.int64), np.ascontiguousarray(d[:, 1]).view(np.int64), [None] * len(first) if keys is None else list(np.ascontiguousarray(keys).view(np.int64))))
+                if out:
+                    *flat, keys = zip(*out, strict=True)
+                    cells = [np.concatenate(x) for x in flat]
+                    yield pd.DataFrame(dict(zip(columns, [*cells, pd.Series([k for ks in keys for k in ks], dtype=object)], strict=True)))
 
     return run
 
@@ -124,11 +153,11 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 75, min_words: int = MIN
     """
     bands, rows = tune_bands(percent / 100)
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    schema = "doc_id long, whole boolean, start int, end int, digest binary, keys array<long>"
+    schema = "doc_id long, whole boolean, start int, end int, d1 long, d2 long, keys array<long>"
     found = stage(
         docs.mapInPandas(_paragraphs(min_words, bands, rows), schema)
         .withColumn("pid", F.monotonically_increasing_id()), "paragraphs")
-    classes = stage(found.groupBy("digest").agg(F.min("pid").alias("id"), F.count("*").alias("n")), "classes")
+    classes = stage(found.groupBy("whole", "d1", "d2").agg(F.min("pid").alias("id"), F.count("*").alias("n")), "classes")
     reps = found.select(F.col("pid").alias("id"), "doc_id", "start", "end", "keys").where("keys is not null").join(classes.select("id"), "id", "left_semi")
     members = stage(shared_members(reps.select(F.explode("keys").alias("key"), "id")), "members")
     wanted = reps.drop("keys").join(members.select("id").distinct(), "id", "left_semi").groupBy("doc_id").agg(
@@ -138,10 +167,11 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 75, min_words: int = MIN
     roots = stage(
         link_components(members, lambda p: jaccard_links(p, sets, percent), narrow=lambda many: prefix_pairs(many, sets, percent)),
         "roots")
-    named = classes.join(roots, "id", "left").select("digest", "n", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked"))
-    named = stage(named.where("linked or n > 1").select("digest", "root"), "named")
-    out = stage(found.select("doc_id", "whole", "start", "end", "pid", "digest").join(named, "digest"), "repeats")
+    named = classes.join(roots, "id", "left").select("whole", "d1", "d2", "n", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked"))
+    named = stage(named.where("linked or n > 1").select("whole", "d1", "d2", "root"), "named")
+    out = stage(found.select("doc_id", "whole", "start", "end", "pid", "d1", "d2").join(named, ["whole", "d1", "d2"]), "repeats")
     first = out.groupBy("root").agg(F.min(F.struct("doc_id", "start", "pid")).alias("first"), F.count("*").alias("n_copies"))
+    first = stage(first, "first")  # so that a root that many share is split in the join
     return out.join(first, "root").select(
         "doc_id", "whole", "start", "end", F.col("first.doc_id").alias("component_id"), "n_copies",
         (F.col("pid") == F.col("first.pid")).alias("kept"))

@@ -5,6 +5,8 @@ A word is a run of bytes outside space and \\t\\n\\v\\f\\r, so words of the UTF-
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 _RNG = np.random.default_rng(20240607)
@@ -13,17 +15,16 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _STEP = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK = 1 << 20
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n > len(_powers.get("up", ())):
-        n = max(n, 1 << 14)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
+def powers(base: int, n: int) -> np.ndarray:
+    """At least ``n`` powers of ``base`` modulo 2 ** 64, from the zeroth."""
+    if n > len(_powers.get(base, ())):
+        p = np.full(max(n, 1 << 14), base, np.uint64)
+        p[0] = 1
+        _powers[base] = np.multiply.accumulate(p)
+    return _powers[base]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,7 +40,7 @@ def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     gap[1:-1] = (buf == 32) | ((buf >= 9) & (buf <= 13))
     edge = np.diff(gap)
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _power(len(buf) + 1)
+    up, down = powers(_BASE, len(buf) + 1), powers(_INVERSE, len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE[buf] * up[: len(buf)], out=total[1:])
     return mix((total[end] - total[start]) * down[start]), start, end
@@ -65,24 +66,41 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def shingles(data: bytes, k: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the ``k``-word shingles; fewer words give one shingle of them all, none give none."""
-    w = word_hashes(data)
+def shingle_hashes(w: np.ndarray, k: int = 5) -> np.ndarray:
+    """One hash for each run of ``k`` of the word hashes ``w``, in order; fewer words give one of them all, none give none."""
     if not len(w):
         return w
     n = min(k, len(w))
     h = np.full(len(w) - n + 1, n, np.uint64)
     for i in range(n):
         h += w[i : len(w) - n + 1 + i] * _STEP[i]
-    return np.unique(mix(h))
+    return mix(h)
 
 
-def minhashes(hashes: np.ndarray, count: int, seed: int = 1) -> np.ndarray:
-    """Low 16 bits of ``count`` minimum hashes; ``hashes`` must not be empty."""
+def shingles(data: bytes, k: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the ``k``-word shingles of ``data``."""
+    return np.unique(shingle_hashes(word_hashes(data), k))
+
+
+@lru_cache
+def _coefficients(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     a = rng.integers(0, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 2**63, count, dtype=np.uint64)
+    return a, rng.integers(0, 2**63, count, dtype=np.uint64)
+
+
+def minhashes(hashes: np.ndarray, count: int, seed: int = 1) -> np.ndarray:
+    """Low 16 bits of ``count`` minimum hashes; ``hashes`` must not be empty."""
+    a, b = _coefficients(count, seed)
     best = np.full(count, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), 2048):
         np.minimum(best, (hashes[i : i + 2048, None] * a + b).min(axis=0), out=best)
     return mix(best) & np.uint64(0xFFFF)
+
+
+def minhash_ranges(hashes: np.ndarray, cuts: np.ndarray, count: int, seed: int = 1) -> np.ndarray:
+    """As ``minhashes``, a row for each range of ``hashes``; ``cuts`` has first and end of each, first before end, in order."""
+    a, b = _coefficients(count, seed)
+    safe = np.append(hashes, hashes[-1:])  # an end may stand one past the last
+    out = [np.minimum.reduceat(safe * a[i] + b[i], cuts)[::2] for i in range(count)]
+    return mix(np.stack(out, axis=1)) & np.uint64(0xFFFF)
