@@ -29,12 +29,9 @@ def read_grid(spark: SparkSession, path: str, fields: list[str]) -> tuple[DataFr
     with np.load(path, allow_pickle=False) as z:
         given = {k: z[k] for k in z.files}
     nt, ny, nx = given[fields[0]].shape
-    it, iy, ix = np.indices((nt, ny, nx))
-    import pandas as pd
-
-    flat = pd.DataFrame({"it": it.ravel(), "iy": iy.ravel(), "ix": ix.ravel(), **{f: given[f].ravel().astype(float) for f in fields}})
+    columns = [*(x.ravel().tolist() for x in np.indices((nt, ny, nx))), *(given[f].ravel().astype(float).tolist() for f in fields)]
     schema = "it int, iy int, ix int, " + ", ".join(f"{f} double" for f in fields)
-    rows = spark.createDataFrame(flat.values.tolist() and [tuple(int(x) if i < 3 else float(x) for i, x in enumerate(r)) for r in flat.itertuples(index=False)], schema)
+    rows = spark.createDataFrame(list(zip(*columns, strict=True)), schema)  # tuples, as pandas would make NaN null
     return rows, {k: v.item() if v.ndim == 0 else v.tolist() for k, v in given.items() if k not in fields}
 
 
