@@ -305,6 +305,22 @@ def test_fuzzy_lines_equal_brute_force_for_equal_lines(docs):
     assert all(places <= got.get(i, set()) for i, places in expected.items())
 
 
+@pytest.mark.parametrize(("low", "high"), [(8, 15), (16, 30), (31, 60), (61, 150)])
+def test_fuzzy_lines_recall_against_edit_similarity(spark, docs, low, high):
+    """Real lines against copies with one letter of one word changed: all pairs of that edit similarity are found."""
+    r = np.random.default_rng(low)
+    found = [w for x in docs.collect() for line in (x.text or "").split("\n") if len(w := re.sub(r"[\W_]+", " ", line.lower()).split()) >= low]
+    lines = sorted({" ".join(w[: int(r.integers(low, high + 1))]) for w in found})[:150]
+    rows = [(i, line) for i, line in enumerate(lines)]
+    for i, line in enumerate(lines):
+        at = int(r.choice([k for k, c in enumerate(line) if c != " "]))
+        rows.append((1000 + i, line[:at] + ("q" if line[at] != "q" else "z") + line[at + 1 :]))  # edit similarity 1 - 1 / length
+    assert all(1 - 1 / len(line) >= fuzzylines.SIMILAR for line in lines) and len(lines) > 50
+    got = {x.doc_id for x in fuzzylines.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [i for i in range(len(lines)) if 1000 + i not in got]
+    assert not missed, f"{len(missed)} of {len(lines)}"
+
+
 def test_simhash_lanes_agree(docs):
     lines = fuzzylines.eligible_lines(docs).withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(1), "norm")})
     a, b = (fuzzylines.simhash(lines, ["doc_id", "line"], k) for k in (2, 4))
