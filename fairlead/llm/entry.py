@@ -56,7 +56,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed_lines")
+    return dedup_lines(_table(spark, sf_dir, "documents"), min_chars=1).select("doc_id", "text", "n_lines", "n_removed_lines")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -321,6 +321,14 @@ def test_fuzzy_lines_recall_against_edit_similarity(spark, docs, low, high):
     assert not missed, f"{len(missed)} of {len(lines)}"
 
 
+def test_fuzzy_lines_of_few_characters_or_words(spark):
+    chinese = "这是一个关于数据处理系统的很长的句子它没有任何空格并且需要参与模糊去重的比较过程"
+    rows = [(1, "Read more\n*\n\n" + chinese), (2, "read MORE!\n *\n\nHome"), (3, chinese.replace("系", "糸") + "\nhome"),
+            (4, "internationalisation considerations unquestionably"), (5, "internationalisation considerations unquestionabli")]
+    got = {x.doc_id: x.lines for x in fuzzylines.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=1).collect()}
+    assert got == {2: [0, 1], 3: [0, 1], 5: [0]}
+
+
 def test_simhash_lanes_agree(docs):
     lines = fuzzylines.eligible_lines(docs).withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(1), "norm")})
     a, b = (fuzzylines.simhash(lines, ["doc_id", "line"], k) for k in (2, 4))
