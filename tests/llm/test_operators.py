@@ -329,6 +329,17 @@ def test_fuzzy_lines_of_few_characters_or_words(spark):
     assert got == {2: [0, 1], 3: [0, 1], 5: [0]}
 
 
+def test_fuzzy_lines_of_very_many_words(spark):
+    """Votes of one word repeated stay within a long; a row repeated whole counts once."""
+    rows = [(1, "a " * 60_000), (2, "b " * 32_400), (2, "b " * 32_400), (3, "x\n" + "b " * 32_400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = {(r.doc_id, r.line): (r.n_words, r.sim) for r in fuzzylines.occurrences(table).collect()}
+    assert {k: n for k, (n, _) in seen.items()} == {(1, 0): 60_000, (2, 0): 32_400, (3, 1): 32_400}
+    hashes = {r.w: r.x for r in spark.createDataFrame([("a",), ("b",)], "w string").select("w", F.xxhash64("w").alias("x")).collect()}
+    assert seen[1, 0][1] == hashes["a"] and seen[2, 0][1] == hashes["b"] == seen[3, 1][1]
+    assert {r.doc_id: r.lines for r in fuzzylines.duplicate_lines(table).collect()} == {3: [1]}
+
+
 def test_simhash_lanes_agree(docs):
     lines = fuzzylines.eligible_lines(docs).withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(1), "norm")})
     a, b = (fuzzylines.simhash(lines, ["doc_id", "line"], k) for k in (2, 4))
