@@ -89,8 +89,8 @@ def route(patterns: dict[str, tuple[list[str | None], int]], target: dict[str |
             arcs[e ^ 1][1] += room
 
 
-def mix_sources(docs: DataFrame, cap: int = 3, seed: int = 17) -> DataFrame:
-    """``docs(doc_id, size, sources array<string>)`` -> doc_id, size, sources, taken, repeats, routed.
+def mix_sources(docs: DataFrame, cap: int = 3, seed: int = 17, key: str | None = None) -> DataFrame:
+    """``docs(doc_id, size, sources array<string>)`` -> doc_id, size, sources, taken, repeats, routed, and ``key`` if given.
 
     ``taken`` is ``repeats`` times ``size``; ``routed`` names the source that each repetition serves.  Null or
     repeated members of ``sources`` count once (null is a source of its own); a document of size 0, without sources,
@@ -99,10 +99,11 @@ def mix_sources(docs: DataFrame, cap: int = 3, seed: int = 17) -> DataFrame:
     What whole documents leave of a pattern's flow goes to the one document whose size is nearest to it.
     """
     spark = docs.sparkSession
+    more = [key] if key else []
     place = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
     base = stage(
         docs.select(
-            "doc_id", F.coalesce("size", F.lit(0)).cast("long").alias("size"),
+            *more, "doc_id", F.coalesce("size", F.lit(0)).cast("long").alias("size"),
             F.sort_array(F.array_distinct(F.coalesce("sources", F.array().cast("array<string>")))).alias("sources"),
             place.alias("place"),
         ).select("*", F.to_json("sources").alias("pattern"), F.pmod("place", F.lit(SLICES)).cast("int").alias("slice"),
@@ -136,7 +137,7 @@ def mix_sources(docs: DataFrame, cap: int = 3, seed: int = 17) -> DataFrame:
         lambda k: F.filter("spans", lambda x: (x["lo"] < F.col("at") + k * F.col("total")) & (F.col("at") + k * F.col("total") <= x["hi"])),
     ))
     routed = F.when(F.col("size") > 0, F.transform(serves, lambda x: x["source"])).otherwise(F.array().cast("array<string>"))
-    sent = stage(placed.withColumn("routed", routed).select("row", "pattern", "place", "doc_id", "size", "sources", "spans", "routed"), "routed")
+    sent = stage(placed.withColumn("routed", routed).select(*more, "row", "pattern", "place", "doc_id", "size", "sources", "spans", "routed"), "routed")
     short = sent.groupBy("pattern").agg(F.first("spans").alias("s"), F.sum(F.size("routed") * F.col("size")).alias("taken")).select(
         "pattern", (F.element_at("s", -1)["hi"] - F.col("taken")).alias("short"))
     near = F.struct(F.abs(F.col("size") - F.col("short")).alias("off"), "place", "row")
@@ -146,7 +147,7 @@ def mix_sources(docs: DataFrame, cap: int = 3, seed: int = 17) -> DataFrame:
     routed = F.when(F.col("more"), F.concat("routed", F.array(F.element_at("spans", -1)["source"]))).otherwise(F.col("routed"))
     return (
         sent.join(F.broadcast(last), "row", "left").withColumn("routed", routed)
-        .select("doc_id", "size", "sources", (F.size("routed") * F.col("size")).cast("long").alias("taken"), F.size("routed").alias("repeats"), "routed")
+        .select(*more, "doc_id", "size", "sources", (F.size("routed") * F.col("size")).cast("long").alias("taken"), F.size("routed").alias("repeats"), "routed")
     )
 
 
@@ -157,16 +158,18 @@ def _shared_targets(patterns: dict, sizes: dict, cap: int) -> dict[str | None, f
     return {s: t * (shared / total if total else 1.0) for s, t in target.items()}
 
 
-def mix_documents(docs: DataFrame, cap: int = 3, seed: int = 17) -> DataFrame:
+def mix_documents(docs: DataFrame, cap: int = 3, seed: int = 17, key: str | None = None) -> DataFrame:
     """``docs(doc_id, text, source, ...)``, one source each -> doc_id, size, source_size, target, taken, repeats.
 
-    Size counts the words of the text (null: 0).  Other columns are not read.
+    Size counts the words of the text (null: 0).  ``key`` names a column that tells rows apart and comes first in the
+    result.  Other columns are not read.
     """
-    sized = stage(docs.select("doc_id", word_count(F.col("text")).alias("size"), "source"), "words")
+    more = [key] if key else []
+    sized = stage(docs.select(*more, "doc_id", word_count(F.col("text")).alias("size"), "source"), "words")
     totals = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     target = capped_targets(totals, cap)
     known = docs.sparkSession.createDataFrame([(s, n, target[s]) for s, n in totals.items()], "source string, source_size long, target double")
-    mixed = mix_sources(sized.select("doc_id", "size", F.array("source").alias("sources")), cap, seed)
+    mixed = mix_sources(sized.select(*more, "doc_id", "size", F.array("source").alias("sources")), cap, seed, key)
     named = mixed.withColumn("source", F.element_at("sources", 1))
     return named.join(F.broadcast(known), named["source"].eqNullSafe(known["source"])).select(
-        "doc_id", "size", "source_size", "target", "taken", "repeats")
+        *more, "doc_id", "size", "source_size", "target", "taken", "repeats")
