@@ -2,8 +2,10 @@
 
 A repeated passage may stand in the middle of a longer paragraph, so runs of whole sentences are paragraphs as well:
 from a sentence start on, as many sentences as have ``min_words`` words.  Starts are chosen by winnowing, the smallest
-hash among STARTS neighbours, so copies choose alike wherever they stand.  Runs are compared as a whole, paragraphs
-between line ends also by bands.
+hash among STARTS neighbours, so copies choose alike wherever they stand.  Passages that begin or end anywhere, with
+sentences of any length, are found by windows of ``min_words`` words: of ``min_words`` + 1 neighbouring words one at least
+begins a window, so any 2 * ``min_words`` words in common hold a common one.  Runs are compared as a whole, paragraphs
+between line ends also by bands; windows a few words apart in one text would be near duplicates of each other.
 """
 
 from __future__ import annotations
@@ -67,11 +69,9 @@ def split_paragraphs(text: str, min_words: int = 1) -> list[tuple[int, int]]:
     return list(zip(w.place[w.first[first]].tolist(), w.place[w.end[last - 1]].tolist(), strict=True)) if len(first) else []
 
 
-def sentence_runs(w: Words, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First words, ends and two hashes of the chosen runs of sentences of a text."""
+def sentence_runs(w: Words, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends of the chosen runs of sentences of a text of at least ``min_words`` words."""
     h, end, broken, buf = w.hashes, w.end, w.opens, w.bytes
-    if len(h) < min_words:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.uint64)
     stop = _STOPS[buf[end - 1]]
     starts = np.flatnonzero(np.concatenate([[True], stop[:-1]]) | broken)
     ends = np.append(starts[1:], len(h))  # of the sentences, in words
@@ -81,7 +81,26 @@ def sentence_runs(w: Words, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.
     at = starts[chosen]
     upto = ends[np.minimum(np.searchsorted(ends, at + min_words), len(ends) - 1)]
     good = upto - at >= min_words
-    at, upto = at[good], upto[good]
+    return at[good], upto[good]
+
+
+def word_windows(w: Words, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends of the chosen windows of ``min_words`` words: one of any ``min_words`` + 1 neighbours."""
+    m = len(w.hashes) - min_words + 1
+    key = mix(w.hashes[:m] ^ np.append(w.hashes[1:], np.uint64(0))[:m])
+    wide = np.lib.stride_tricks.sliding_window_view(key, min(m, min_words + 1))
+    at = np.unique(np.arange(len(wide)) + wide.argmin(axis=1))
+    return at, at + min_words
+
+
+def runs_of(w: Words, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words, ends and two hashes of the runs of sentences and the windows of a text, each once."""
+    h = w.hashes
+    if len(h) < min_words:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.uint64)
+    spans = np.concatenate([np.stack(x) for x in (sentence_runs(w, min_words), word_windows(w, min_words))], axis=1)
+    both_ends = np.unique(spans[0] * (len(h) + 1) + spans[1])
+    at, upto = both_ends // (len(h) + 1), both_ends % (len(h) + 1)
     both = []
     for salt in _SALTS:
         total = np.zeros(len(h) + 1, np.uint64)
@@ -115,7 +134,7 @@ def _paragraphs(min_words: int, bands: int, rows: int):
                     w = Words(text or "")
                     if len(w.hashes) < min_words:
                         continue
-                    for whole, (first, last) in ((True, paragraphs_of(w, min_words)), (False, (runs := sentence_runs(w, min_words))[:2])):
+                    for whole, (first, last) in ((True, paragraphs_of(w, min_words)), (False, (runs := runs_of(w, min_words))[:2])):
                         if len(first):
                             d, keys = paragraph_sets(w, first, last, bands, rows) if whole else (runs[2], None)
                             out.append((
@@ -142,7 +161,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeated_paragraphs(docs: DataFrame, percent: int = 75, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> doc_id, whole, start, end, component_id, n_copies, kept.
 
-    One row for each paragraph (``whole``) or run of sentences (not ``whole``) of at least ``min_words`` words that another such paragraph repeats, in the same
+    One row for each paragraph (``whole``) or run of sentences or window of words (not ``whole``) of at least ``min_words`` words that another such paragraph repeats, in the same
     document or in another: start and end are code points of the text, and joining the other spans gives the text
     without repeats.  Runs are linked if their words are
     equal, and two paragraphs if their sets of 5-word shingles (A-Z lower-cased) have

@@ -442,6 +442,20 @@ def test_passages_inside_paragraphs(spark):
     assert left[0] == text[0] and left[10] == text[10] and all(len(left[i]) < len(text[i]) - 100 for i in range(1, 6))
 
 
+@pytest.mark.parametrize("mark", ["", ".", "。"])
+def test_passages_of_51_words_with_long_or_unmarked_sentences(spark, mark):
+    """Whatever the sentences, each passage of 51 words between other words is found in its second text."""
+    r = np.random.default_rng(51)
+    prose = lambda n: [f"v{x}" + (mark if k % 40 == 17 else "") for k, x in enumerate(r.integers(0, 10**9, n))]
+    rows = []
+    for i in range(60):
+        passage = prose(51)
+        rows += [(2 * i + k, " ".join(prose(60 + i) + passage + prose(60))) for k in (0, 1)]
+    found = paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"))
+    gone = Counter(x.doc_id for x in found.where("not kept").collect())
+    assert set(gone) == {2 * i + 1 for i in range(60)}
+
+
 def test_tuned_bands_reach_their_recall():
     bands, rows = paragraphs.tune_bands()
     assert 1 - (1 - 0.75**rows) ** bands >= paragraphs.RECALL
