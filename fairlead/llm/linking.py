@@ -36,6 +36,7 @@ def link_components(
     star_rounds: int = 2,
     large: int = 12,
     links: DataFrame | None = None,
+    finer: bool = False,
 ) -> DataFrame:
     """``members(key, id, ...)`` (staged, distinct) -> ``(id, root)`` of every id with a link.
 
@@ -44,14 +45,14 @@ def link_components(
     different components is tested.  In keys of more than ``large`` ids those pairs come from
     ``narrow(ids(id, root))``, which must return every link between different roots among its ids, and may
     return more.  ``close`` is a cheap necessary condition on columns of the two sides, named one.x and two.x.  ``links``
-    are those known already.
+    are those known already.  With ``finer``, ids that meet in a key of more than ``large`` must meet in a second key too, and
+    in a third where that pair of keys is large again.
     """
-    extra = [c for c in members.columns if c not in ("key", "id")]
+    extra, roots = [c for c in members.columns if c not in ("key", "id")], None
     rows = members.select("key", "id").withColumn("root", F.col("id"))
     if links is not None:
         roots = stage(connected_components(links), "roots")
-        joined = members.select("key", "id").join(roots, "id", "left")
-        rows = stage(_spanning(joined.select("key", "id", F.coalesce("root", "id").alias("root"))), "members")
+        rows = stage(_spanning(_with_roots(members, roots)), "members")
         if not rows.head(1):
             return roots
     for _ in range(star_rounds):
@@ -70,10 +71,9 @@ def link_components(
         if not found.head(1):
             break
         roots = stage(connected_components(links), "roots")
-        joined = members.select("key", "id").join(roots, "id", "left")
-        rows = stage(_spanning(joined.select("key", "id", F.coalesce("root", "id").alias("root"))), "members")
+        rows = stage(_spanning(_with_roots(members, roots)), "members")
         if not rows.head(1):
-            break
+            return roots
     rows = rows.join(members, ["key", "id"]) if extra else rows
     if narrow is not None:
         sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
@@ -82,9 +82,38 @@ def link_components(
         many = stage(sized.where(F.col("n") > large).select("id", "root").distinct(), "many")
         if many.head(1):
             pairs = pairs.unionByName(narrow(many))
+    elif finer:
+        pairs = _finer(rows, members, extra, close, large)
     else:
         pairs = _across(rows, extra, close)
-    return connected_components(links.unionByName(stage(verify(pairs.distinct()), "links")))
+    found = stage(verify(pairs.distinct()), "links")
+    if roots is not None and not found.head(1):
+        return roots
+    return connected_components(links.unionByName(found))
+
+
+def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    joined = members.select("key", "id").join(roots, "id", "left")
+    return joined.select("key", "id", F.coalesce("root", "id").alias("root"))
+
+
+def _finer(rows: DataFrame, members: DataFrame, extra: list[str], close: Column | None, large: int, depth: int = 2) -> DataFrame:
+    """Pairs of ids with different roots that share a key, in large keys ``1 + depth`` keys: so much the fewer to compare."""
+    if "chain" not in rows.columns:
+        rows = rows.withColumn("chain", F.array("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+    sized = stage(rows.join(sizes, "key"), "sized")
+    if not depth:
+        return _across(sized, extra, close)
+    pairs, more = _across(sized.where(F.col("n") <= large), extra, close), sized.where(F.col("n") > large)
+    if not more.head(1):
+        return pairs
+    second = members.select("id", F.col("key").alias("second"))
+    longer = more.join(second, "id").where(~F.array_contains("chain", F.col("second")))
+    longer = longer.withColumn("chain", F.array_sort(F.concat("chain", F.array("second")))).withColumn("key", F.xxhash64("chain"))
+    longer = longer.select("key", "id", "root", "chain", *extra).dropDuplicates(["key", "id"])
+    keys = longer.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    return pairs.unionByName(_finer(stage(longer.join(keys, "key"), "finer"), members, extra, close, large, depth - 1))
 
 
 def _across(rows: DataFrame, extra: list[str], close: Column | None) -> DataFrame:
