@@ -22,10 +22,10 @@ def shared_members(buckets: DataFrame) -> DataFrame:
     return buckets.join(keys, "key").select("key", "id")
 
 
-def _spanning(rows: DataFrame) -> DataFrame:
-    """Rows (key, id, root) whose key has more than one root."""
+def spanning(rows: DataFrame) -> DataFrame:
+    """Rows (key, root, ...) whose key has more than one root."""
     keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    return rows.join(keys, "key").select("key", "id", "root")
+    return rows.join(keys, "key")
 
 
 def link_components(
@@ -37,6 +37,7 @@ def link_components(
     large: int = 12,
     links: DataFrame | None = None,
     finer: bool = False,
+    roots: DataFrame | None = None,
 ) -> DataFrame:
     """``members(key, id, ...)`` (staged, distinct) -> ``(id, root)`` of every id with a link.
 
@@ -45,14 +46,14 @@ def link_components(
     different components is tested.  In keys of more than ``large`` ids those pairs come from
     ``narrow(ids(id, root))``, which must return every link between different roots among its ids, and may
     return more.  ``close`` is a cheap necessary condition on columns of the two sides, named one.x and two.x.  ``links``
-    are those known already.  With ``finer``, ids that meet in a key of more than ``large`` must meet in a second key too, and
+    are those known already, and ``roots`` their components.  With ``finer``, ids that meet in a key of more than ``large`` must meet in a second key too, and
     in a third where that pair of keys is large again.
     """
-    extra, roots = [c for c in members.columns if c not in ("key", "id")], None
+    extra = [c for c in members.columns if c not in ("key", "id")]
     rows = members.select("key", "id").withColumn("root", F.col("id"))
     if links is not None:
-        roots = stage(connected_components(links), "roots")
-        rows = stage(_spanning(_with_roots(members, roots)), "members")
+        roots = stage(connected_components(links), "roots") if roots is None else roots
+        rows = stage(spanning(_with_roots(members, roots)), "members")
         if not rows.head(1):
             return roots
     for _ in range(star_rounds):
@@ -71,7 +72,7 @@ def link_components(
         if not found.head(1):
             break
         roots = stage(connected_components(links), "roots")
-        rows = stage(_spanning(_with_roots(members, roots)), "members")
+        rows = stage(spanning(_with_roots(members, roots)), "members")
         if not rows.head(1):
             return roots
     rows = rows.join(members, ["key", "id"]) if extra else rows
@@ -97,7 +98,7 @@ def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.select("key", "id", F.coalesce("root", "id").alias("root"))
 
 
-def _finer(rows: DataFrame, members: DataFrame, extra: list[str], close: Column | None, large: int, depth: int = 2) -> DataFrame:
+def _finer(rows: DataFrame, members: DataFrame, extra: list[str], close: Column | None, large: int, depth: int = 1) -> DataFrame:
     """Pairs of ids with different roots that share a key, in large keys ``1 + depth`` keys: so much the fewer to compare."""
     if "chain" not in rows.columns:
         rows = rows.withColumn("chain", F.array("key"))
