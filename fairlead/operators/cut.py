@@ -1,10 +1,11 @@
-"""Cutting lineage of iterative plans in the cluster's checkpoint folder."""
+"""Cutting lineage of iterative plans in the cluster's checkpoint folder, and long expressions where they are shared."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -15,3 +16,9 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="fairlead-"))
     return df.checkpoint()
+
+
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with ``columns``, each worked out once a row: later expressions read the value, not a copy of the expression."""
+    made = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_made")
+    return df.select("*", made).select(*[f"`{k}`" for k in df.columns], "_made.*")

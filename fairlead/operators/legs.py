@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fairlead.functions import twin
 from fairlead.functions.fields import synthetic_weather
 from fairlead.functions.units import between, bearing, current_triangle, distance_nm, kn_to_ms, ms_to_kn
+from fairlead.operators.cut import computed
 from fairlead.operators.interp import Axes, sample
 from fairlead.operators.spatial import Waters
 from fairlead.sources.specs import Vessel
@@ -22,7 +23,7 @@ Weather = Callable[[DataFrame], DataFrame]
 
 def scenario(name: str) -> Weather:
     w = synthetic_weather(name, F.col("mid_lat"), F.col("mid_lon"), F.col("mid_t"))
-    return lambda rows: rows.withColumn("_w", w).select(*rows.columns, "_w.*")
+    return lambda rows: computed(rows, {"_w": w}).select(*rows.columns, "_w.*")
 
 
 def gridded(table: DataFrame, axes: Axes) -> Weather:
@@ -59,24 +60,24 @@ def evaluate(rows: DataFrame, weather: Weather, ship: Vessel, ref_lat: float = 4
     c = F.col
     p, q = (c("p_lat"), c("p_lon")), (c("q_lat"), c("q_lon"))
     v = c("stw_ms")
-    first = rows.withColumns({"_nm": distance_nm(*p, *q, ref_lat), "course_deg": bearing(*p, *q, ref_lat)}).withColumns({
-        "mid_lat": between(p[0], q[0], 0.5), "mid_lon": between(p[1], q[1], 0.5),
-        "mid_t": c("t_h") + c("_nm") / F.greatest(ms_to_kn(v), F.lit(1e-6)) / 2.0})
+    first = computed(rows, {
+        "_nm": distance_nm(*p, *q, ref_lat), "course_deg": bearing(*p, *q, ref_lat), "mid_lat": between(p[0], q[0], 0.5), "mid_lon": between(p[1], q[1], 0.5)})
+    first = first.withColumn("mid_t", c("t_h") + c("_nm") / F.greatest(ms_to_kn(v), F.lit(1e-6)) / 2.0)
     w = weather(first)
     tri = current_triangle(v, c("course_deg"), c("current_u_ms"), c("current_v_ms"))
-    w = w.withColumns({"_ground": tri["ground_speed"], "_steer": tri["course_to_steer"], "current_exceeds": tri["exceeded"]})
-    inf = F.lit(float("inf"))
-    hours = F.when(c("current_exceeds") | (~F.isnan("_ground") & (c("_ground") <= 0)), inf).otherwise(
-        c("_nm") / ms_to_kn(F.when(c("_ground") != 0, c("_ground"))))
     power = twin.total_power(v, c("hs_m"), c("period_peak_s"), c("wave_from_deg"), c("course_deg"), ship)
-    w = w.withColumns({"duration_h": hours, "_power": power}).withColumn(
-        "_load", F.array_max(twin.engine_loads(c("_power"), c("engines"), ship)))
+    w = computed(w, {"_tri": _struct(tri), "_power": power})
+    inf, ground = F.lit(float("inf")), c("_tri.ground_speed")
+    hours = F.when(c("_tri.exceeded") | (~F.isnan(ground) & (ground <= 0)), inf).otherwise(c("_nm") / ms_to_kn(F.when(ground != 0, ground)))
+    w = computed(w, {"duration_h": hours, "_load": F.array_max(twin.engine_loads(c("_power"), c("engines"), ship))})
     worn = twin.wear(v, c("hs_m"), c("wave_from_deg"), c("course_deg"), c("_load"), c("engines"), ship)
-    w = w.withColumns({
-        "course_to_steer_deg": F.coalesce("_steer", "course_deg"),
+    w = computed(w, {
+        "course_to_steer_deg": F.coalesce("_tri.course_to_steer", "course_deg"),
         "fuel_kg": twin.fuel_rate(c("_power"), c("engines"), ship) * c("duration_h"),
         "comfort": twin.motion_index(v, c("hs_m"), c("period_peak_s"), c("wave_from_deg"), c("course_deg"), ship) * c("duration_h"),
-        "wear": worn["rate"] * c("duration_h"), "max_hs": c("hs_m"), "slam": worn["slam"], "overload": worn["overload"]})
+        "_worn": _struct(worn), "max_hs": c("hs_m")})
+    w = w.withColumns({
+        "wear": c("_worn.rate") * c("duration_h"), "slam": c("_worn.slam"), "overload": c("_worn.overload"), "current_exceeds": c("_tri.exceeded")})
     bad = F.lit(False)
     for x in ("duration_h", "fuel_kg", "comfort", "wear", "max_hs"):
         bad = bad | F.isnan(x)
@@ -84,6 +85,10 @@ def evaluate(rows: DataFrame, weather: Weather, ship: Vessel, ref_lat: float = 4
     return w.withColumn("non_finite", bad).select(*rows.columns, *results, "non_finite")
 
 
+def _struct(parts: dict[str, Column]) -> Column:
+    return F.struct(*[c.alias(k) for k, c in parts.items()])
+
+
 def feasible(rows: DataFrame) -> DataFrame:
     """Legs within every hard limit; those with missing weather go first, as NaN compares as the largest number."""
     return rows.where("not non_finite and navigable and depth_ok and not slam and not overload and not current_exceeds")

@@ -7,6 +7,7 @@ labels with its edges, speeds and engine counts, evaluates the legs and keeps th
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,14 +53,15 @@ def _options(rows: DataFrame, plan: Plan) -> DataFrame:
 
 
 def cheapest(spark, lattice: Lattice, plan: Plan, graph: DataFrame | None = None, reachable: DataFrame | None = None,
-             bucket_h: float = BUCKET_H, any_end: bool = False) -> DataFrame:
+             bucket_h: float = BUCKET_H, any_end: bool = False, apart: bool = False) -> DataFrame:
     """The cheapest route to lane 0 of the last stage: one row, or none: cost, duration_h, fuel_kg, comfort, wear, max_hs, path.
 
     A label is kept for each (lane, hour of arrival): a dearer one that arrives earlier in the same hour is lost, as
     the definition of the result has it.  ``path`` lists stage, lane, place, time, speed and engines.  Ties go to the
     smaller previous lane, then speed, then engines.  ``any_end`` takes the cheapest lane where lane 0 has no label.
+    With ``apart`` a route keeps one speed and one engine count, and there is a row for each: run_speed_kn, run_engines.
     """
-    c = F.col
+    c, run = F.col, ["run_speed_kn", "run_engines"] if apart else []
     graph = limited_edges(spark, lattice, plan) if graph is None else graph
     if reachable is not None:
         graph = graph.join(reachable.select((c("stage") - 1).alias("stage"), c("lane").alias("next_lane")), ["stage", "next_lane"], "left_semi")
@@ -70,28 +72,32 @@ def cheapest(spark, lattice: Lattice, plan: Plan, graph: DataFrame | None = None
     layer = spark.range(1).select(
         F.lit(0).alias("lane"), F.lit(0).cast("long").alias("bucket"), zero.alias("cost"), F.lit(plan.t0_h).cast("double").alias("t_h"), zero.alias("fuel"),
         zero.alias("discomfort"), zero.alias("worn"), zero.alias("worst_hs"), F.array(place).alias("path"))
+    layer = _options(layer, plan).select(*layer.columns, c("speed_kn").alias("run_speed_kn"), c("engines").alias("run_engines")) if apart else layer
     for i in range(len(lattice.centres) - 1):
         step = graph.where(c("stage") == i).drop("stage")
-        legs = feasible(evaluate(_options(layer.join(step, "lane"), plan), plan.weather, plan.ship, lattice.ref_lat))
+        onward = layer.join(step, "lane")
+        onward = onward.withColumns({"speed_kn": c("run_speed_kn"), "engines": c("run_engines"), "stw_ms": kn_to_ms(c("run_speed_kn"))}) if apart else _options(onward, plan)
+        legs = feasible(evaluate(onward, plan.weather, plan.ship, lattice.ref_lat))
         t = c("t_h") + c("duration_h")
         here = F.struct(
             F.lit(i + 1).alias("stage"), c("next_lane").alias("lane"), c("q_lat").alias("lat"), c("q_lon").alias("lon"), t.alias("t_h"),
             c("speed_kn"), c("engines"))
         grown = legs.select(
-            c("next_lane"), F.floor((t - plan.t0_h) / bucket_h).alias("next_bucket"),
+            *run, c("next_lane"), F.floor((t - plan.t0_h) / bucket_h).alias("next_bucket"),
             F.struct(
                 (c("cost") + leg_cost(plan.weights, c("fuel_kg"), c("duration_h"), c("comfort"), c("wear"))).alias("cost"),
                 c("lane").alias("from_lane"), c("bucket"), c("speed_kn"), c("engines")).alias("rank"),
             F.struct(
                 t.alias("t_h"), (c("fuel") + c("fuel_kg")).alias("fuel"), (c("discomfort") + c("comfort")).alias("discomfort"),
                 (c("worn") + c("wear")).alias("worn"), F.greatest("worst_hs", "max_hs").alias("worst_hs"), F.concat("path", F.array(here)).alias("path")).alias("rest"))
-        best = grown.groupBy("next_lane", "next_bucket").agg(F.min_by(F.struct("rank", "rest"), "rank").alias("b"))
-        layer = best.select(c("next_lane").alias("lane"), c("next_bucket").alias("bucket"), c("b.rank.cost").alias("cost"), "b.rest.*")
+        best = grown.groupBy(*run, "next_lane", "next_bucket").agg(F.min_by(F.struct("rank", "rest"), "rank").alias("b"))
+        layer = best.select(*run, c("next_lane").alias("lane"), c("next_bucket").alias("bucket"), c("b.rank.cost").alias("cost"), "b.rest.*")
         if (i + 1) % CUT_EVERY == 0:
             layer = cut(layer)
     goal = F.struct(c("lane") != 0, "cost", "bucket") if any_end else F.struct("cost", "bucket")
     last = layer if any_end else layer.where("lane = 0")
-    return last.groupBy().agg(F.min_by(F.struct(*last.columns), goal).alias("b")).where("b is not null").select(
+    return last.groupBy(*run).agg(F.min_by(F.struct(*last.columns), goal).alias("b")).where("b is not null").select(
+        *run,
         c("b.cost").alias("cost"), (c("b.t_h") - plan.t0_h).alias("duration_h"), c("b.fuel").alias("fuel_kg"), c("b.discomfort").alias("comfort"),
         c("b.worn").alias("wear"), c("b.worst_hs").alias("max_hs"), c("b.path").alias("path"))
 
@@ -126,18 +132,12 @@ def time_optimal(spark, lattice: Lattice, plan: Plan, max_hours: float = 1e9) ->
 
 def corridor_routes(spark, corridors: dict[str, tuple[Lattice, str]], plan: Plan) -> DataFrame:
     """The cheapest run along each named corridor at each fixed speed and engine count."""
-    parts: list[DataFrame] = []
+    parts = []
     for name, (lattice, side) in corridors.items():
-        graph = limited_edges(spark, lattice, plan)
-        for speed in plan.speeds_kn:
-            for n in plan.engines:
-                one = Plan(plan.weather, plan.waters, plan.ship, plan.weights, [speed], [n], plan.t0_h)
-                found = cheapest(spark, lattice, one, graph, bucket_h=1e9, any_end=True)
-                parts.append(found.select(F.lit(name).alias("route"), F.lit(side).alias("side"), F.lit(float(speed)).alias("speed_kn"), F.lit(n).alias("engines"), "*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        found = cheapest(spark, lattice, plan, bucket_h=1e9, any_end=True, apart=True)
+        found = found.withColumnsRenamed({"run_speed_kn": "speed_kn", "run_engines": "engines"})
+        parts.append(found.select(F.lit(name).alias("route"), F.lit(side).alias("side"), *found.columns))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def main_engines(path: DataFrame, by: list[str]) -> DataFrame:

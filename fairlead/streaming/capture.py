@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,57 +37,55 @@ def samples(frames: DataFrame, tier: str) -> DataFrame:
         "timestamp", F.col("pgn").alias("source_pgn"), F.lit(tier).alias("sensor_tier"), *[found[c].alias(c) for c in COLUMNS])
 
 
-def serial_frames(data: bytes, state: tuple[bool, bool, bytes] = (False, False, b"")) -> tuple[list[tuple], tuple[bool, bool, bytes]]:
-    """Frames in a piece of the byte-stuffed serial stream, and the state to go on from in the next piece.
+#: A message of the byte-stuffed serial stream, up to the mark after its body: 10 02, bytes with every 10 doubled, 10 and a byte.
+_MESSAGE = re.compile(rb"\x10\x02((?:[^\x10]|\x10\x10)*+)\x10(.)", re.DOTALL)
+#: What a received frame begins with: kind, length, priority, group (3 bytes), destination, source, time (4 bytes), length of the data.
+_HEAD = struct.Struct("<BBB3sBB4sB")
+_RECEIVED, _END, _EVERYONE = 0x93, b"\x03", 0xFF
 
-    A message stands between 10 02 and 10 03, a 10 within it doubled.  Its bytes sum to 0 modulo 256; 93 marks a
-    received frame.  Messages that break a rule go.
+
+def serial_frames(data: bytes, tail: bytes = b"") -> tuple[list[tuple], bytes]:
+    """Frames in a piece of the serial stream that follows ``tail``, and the tail that the next piece follows.
+
+    A message ends with 10 03, and its bytes sum to 0 modulo 256.  Messages that break a rule go.
     """
-    inside, escaped, body = state
-    found, buf = [], bytearray(body)
-    for b in data:
-        if not inside:
-            if escaped and b == 0x02:
-                inside, buf = True, bytearray()
-            escaped = b == 0x10
-        elif escaped:
-            escaped = False
-            if b == 0x10:
-                buf.append(b)
-            else:
-                if b == 0x03 and (frame := _message(bytes(buf))):
-                    found.append(frame)
-                inside = False
-        elif b == 0x10:
-            escaped = True
-        else:
-            buf.append(b)
-    return found, (inside, escaped, bytes(buf) if inside else b"")
-
-
-def _message(body: bytes) -> tuple | None:
-    p = body[2:-1]
-    if len(body) < 3 or sum(body) & 0xFF or body[0] != 0x93 or len(p) < 11:
+    wire, end, bodies = tail + data, 0, []
+    for m in _MESSAGE.finditer(wire):
+        end = m.end()
+        if m[2] == _END:
+            bodies.append(m[1].replace(b"\x10\x10", b"\x10"))
+    begun = wire.find(b"\x10\x02", end)
+    rest = wire[begun:] if begun >= 0 else b"\x10" if wire[end:].endswith(b"\x10") else b""
+    return [f for f in map(_frame, bodies) if f], rest
+
+
+def _frame(body: bytes) -> tuple | None:
+    """pgn, priority, source, destination (None for everyone) and data of a received frame's body with its check byte."""
+    if sum(body) % 256 or len(body) <= _HEAD.size:
+        return None
+    kind, _, priority, group, to, source, _, size = _HEAD.unpack_from(body)
+    if kind != _RECEIVED:
         return None
-    return int.from_bytes(p[1:4], "little"), p[0], p[5], None if p[4] == 0xFF else p[4], p[11 : 11 + p[10]]
+    return int.from_bytes(group, "little"), priority, source, None if to == _EVERYONE else to, body[_HEAD.size : -1][:size]
 
 
 def read_serial(pieces: DataFrame) -> DataFrame:
-    """A stream of ``pieces(device string, seq long, data binary, timestamp double)`` -> frames, each device's state kept."""
+    """A stream of ``pieces(device string, seq long, data binary, timestamp double)`` -> frames; an unfinished message of a device is its state."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at = tuple(state.get) if state.exists else (False, False, b"")
+        tail = bytes(state.get[0]) if state.exists else b""
         out = []
         for pdf in batches:
-            for _, row in pdf.sort_values("seq").iterrows():
-                found, at = serial_frames(bytes(row["data"]), at)
-                out += [(key[0], *f, row["timestamp"]) for f in found]
-        state.update(at)
+            pdf = pdf.sort_values("seq")
+            for piece, at in zip(pdf["data"], pdf["timestamp"], strict=True):
+                found, tail = serial_frames(bytes(piece), tail)
+                out += [(key[0], *f, at) for f in found]
+        state.update((tail,))
         yield pd.DataFrame(out, columns=["device", "pgn", "priority", "source_address", "destination_address", "data", "timestamp"])
 
     return pieces.groupBy("device").applyInPandasWithState(
         run, "device string, pgn int, priority int, source_address int, destination_address int, data binary, timestamp double",
-        "inside boolean, escaped boolean, body binary", "append", GroupStateTimeout.NoTimeout)
+        "tail binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def write_latest(rows: DataFrame, path: str, checkpoint: str, keys: list[str] = ("timestamp", "source_pgn")) -> StreamingQuery:
