@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.llm.stage import attach, semi, stage
+from fairlead.llm.stage import attach, drop, real_id, semi, stage, with_keys
 
 UNIT = 64
 CUT_BITS, SHORTEST, LONGEST = 10, 256, 8192
@@ -64,10 +64,10 @@ def chunks_of(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def container(chunks: list[bytes], digests: list[bytes]) -> bytes:
-    """Stored form of a medium: mark, number of chunks, their lengths and digests, then the samples."""
+def head(chunks: list[bytes], digests: list[bytes]) -> bytes:
+    """What a medium's stored form begins with: mark, number of chunks, their lengths and digests."""
     table = b"".join(struct.pack("<I", len(c)) + d for c, d in zip(chunks, digests, strict=True))
-    return b"CDC1" + struct.pack("<I", len(chunks)) + table + b"".join(chunks)
+    return b"CDC1" + struct.pack("<I", len(chunks)) + table
 
 
 def _manifests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,17 +85,19 @@ def _stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, text, other in zip(pdf["doc_id"], pdf["text"], pdf["other"], strict=True):
             chunks = chunks_of(payload_of(text))
             other = set() if other is None else set(np.asarray(other).tolist())
-            out.append((doc, [hashlib.sha256(c).digest() for c in chunks], [c for i, c in enumerate(chunks) if i not in other], sorted(other)))
-        yield pd.DataFrame(out, columns=["doc_id", "digests", "samples", "other"])
+            digests = [hashlib.sha256(c).digest() for c in chunks]
+            out.append((doc, head(chunks, digests), digests, [c for i, c in enumerate(chunks) if i not in other], sorted(other)))
+        yield pd.DataFrame(out, columns=["doc_id", "head", "digests", "samples", "other"])
 
 
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Write ``docs(doc_id, text)`` -> manifests(doc_id, n_bytes, medium, digests) and the store of distinct media.
 
-    The store has doc_id (the smallest of a medium's), digests in order, ``samples`` of the chunks stored here and
-    ``other``, the places of chunks stored elsewhere.  Each distinct chunk of the corpus is stored once.
+    The store has doc_id (the smallest of a medium's), ``head`` and ``samples``, a medium's stored form, the samples those
+    of the chunks stored here; digests in order and ``other``, the places of chunks stored elsewhere.  Each distinct
+    chunk of the corpus is stored once.
     """
-    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    docs = with_keys(docs.select("doc_id", "text"))
     manifests = stage(docs.mapInPandas(_manifests, "doc_id long, n_bytes long, medium binary, digests array<binary>"), "manifests")
     media = manifests.groupBy("medium").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
     media = stage(media, "media")
@@ -107,21 +109,23 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                    .where("doc_id <> rep").select("doc_id"), "copies")
     kept = attach(docs, copies.select("doc_id", F.lit(True).alias("copy")), "doc_id").where(F.col("copy").isNull()).drop("copy")
     kept = attach(kept, other, "doc_id")
-    stored = stage(kept.mapInPandas(_stored, "doc_id long, digests array<binary>, samples array<binary>, other array<int>"), "store")
+    stored = stage(kept.mapInPandas(_stored, "doc_id long, head binary, digests array<binary>, samples array<binary>, other array<int>"), "store")
     return manifests, stored
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for doc, digests, samples, other, fetched in pdf[["doc_id", "digests", "samples", "other", "fetched"]].itertuples(index=False):
+        for doc, begin, digests, samples, other, fetched in pdf[["doc_id", "head", "digests", "samples", "other", "fetched"]].itertuples(index=False):
             own, away = iter(samples), set(other)
             got = dict(fetched) if isinstance(fetched, dict) else {f["place"]: f["sample"] for f in fetched} if fetched is not None else {}
             chunks = [got[i] if i in away else next(own) for i in range(len(digests))]
             for c, d in zip(chunks, digests, strict=True):
                 if hashlib.sha256(c).digest() != d:
                     raise ValueError(f"a stored chunk of medium {doc} differs from its digest")
-            data, form = b"".join(chunks), container(chunks, list(digests))
+            data, form = b"".join(chunks), begin + b"".join(samples)
+            if begin != head(chunks, list(digests)):
+                raise ValueError(f"the stored head of medium {doc} differs from its chunks")
             b = np.frombuffer(data, np.uint8)
             text = f"chunks={len(chunks)};mean={int(b.sum(dtype=np.int64)) * 1000 // len(b)};peak={int(b.max())};distinct={len(np.unique(b))}"
             out.append((doc, len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-UNIT:]), len(form), hashlib.sha256(form).hexdigest(), text))
@@ -154,11 +158,13 @@ def media_documents(docs: DataFrame) -> DataFrame:
 
     Texts are stored, read back and verified; features come from the bytes read.  Equal texts share one medium and
     so have equal values.  A null or empty text is UNIT zero bytes.  Other columns are not read; an empty table gives
-    an empty result.  Rows with a null doc_id are left out; a row repeated whole gets its values each time, and other
-    rows are taken to differ in doc_id.
+    an empty result.  Rows with a null doc_id have their values too; a row repeated whole gets its values each time, and other
+    rows are taken to differ in doc_id.  media_bytes and media_sha256 are those of the stored form as read back: its
+    head and the samples stored with it.
     """
     manifests, stored = store(docs)
-    found = stage(read_features(stored), "features").drop("doc_id").dropDuplicates(["medium"])
+    found = stage(read_features(stored).drop("doc_id").dropDuplicates(["medium"]), "features")
+    drop(stored)
     return manifests.select("doc_id", "n_bytes", "medium").join(found, "medium").select(
-        "doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("medium")).alias("payload_sha256"), "tail_crc32", "media_bytes",
+        real_id("doc_id").alias("doc_id"), "n_bytes", "payload_bytes", F.lower(F.hex("medium")).alias("payload_sha256"), "tail_crc32", "media_bytes",
         "media_sha256", "feature")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fairlead.llm.linking import link_components, shared_members
-from fairlead.llm.stage import once, semi, stage
+from fairlead.llm.stage import drop, once, real_id, semi, stage, with_keys
 from fairlead.llm.words import minhashes, shingles
 
 CHUNKS, WIDTH = 10, 4
@@ -119,10 +119,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     shingles, its whole sequence as one if it has fewer words, and nothing if it has none or its text is null; such
     documents are linked with nothing and kept.  Equal sets are one node (their smallest doc_id), so repeated rows
     cost one row each.  component_id is the smallest doc_id reachable over links; ties cannot occur.  Other columns
-    are not read; an empty table gives an empty result.  Rows with a null doc_id are left out; a row repeated whole
-    gets its result each time, and other rows are taken to differ in doc_id.
+    are not read; an empty table gives an empty result.  Rows with a null doc_id are linked like others, and component_id is null
+    where no row of theirs has one; equal ones count as one row.  A row repeated whole gets its result each time, and other
+    rows are taken to differ in doc_id.
     """
-    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    docs = with_keys(docs.select("doc_id", "text"))
     sigs = stage(
         docs.mapInPandas(_signatures, "doc_id long, n_shingles long, digest binary, keys array<long>"),
         "signatures",
@@ -135,7 +136,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sets = once(stage(texts.mapInPandas(_sets, "id long, hashes array<long>"), "sets"), "id")
     roots = stage(link_components(
         members, lambda p: jaccard_links(p, sets, percent), narrow=lambda many: prefix_pairs(many, sets, percent)), "roots")
+    for table in (members, ids, sets):
+        drop(table)
     named = stage(classes.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("component_id")), "named")
     out = sigs.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select(real_id("doc_id").alias("doc_id"), "n_shingles", real_id(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fairlead.llm.linking import link_components, shared_members
 from fairlead.llm.minhash import jaccard_links, prefix_pairs
-from fairlead.llm.stage import attach, once, stage
+from fairlead.llm.stage import attach, drop, once, real_id, stage, with_keys
 from fairlead.llm.words import minhash_ranges, mix, powers, shingle_hashes, shingles, word_spans
 
 #: Paragraphs of fewer words are left alone.
@@ -167,11 +167,11 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 75, min_words: int = MIN
     equal, and two paragraphs if their sets of 5-word shingles (A-Z lower-cased) have
     100 * intersection >= percent * union.  A component keeps its first member by (doc_id, start), and
     component_id is the doc_id of that one.  Null and empty texts have no paragraphs.  A row repeated whole counts as
-    separate occurrences, of which one is kept; other rows are taken to differ in doc_id, and those without one are
-    left out.  Other columns are not read.
+    separate occurrences, of which one is kept; other rows are taken to differ in doc_id.  Those without one come after all
+    others.  Other columns are not read.
     """
     bands, rows = tune_bands(percent / 100)
-    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    docs = with_keys(docs.select("doc_id", "text"))
     schema = "doc_id long, whole boolean, start int, end int, d1 long, d2 long, keys array<long>"
     found = stage(
         docs.mapInPandas(_paragraphs(min_words, bands, rows), schema)
@@ -186,13 +186,15 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 75, min_words: int = MIN
     roots = stage(
         link_components(members, lambda p: jaccard_links(p, sets, percent), narrow=lambda many: prefix_pairs(many, sets, percent)),
         "roots")
+    for table in (members, sets):
+        drop(table)
     named = classes.join(roots, "id", "left").select("whole", "d1", "d2", "n", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked"))
     named = stage(named.where("linked or n > 1").select("whole", "d1", "d2", "root"), "named")
     out = stage(found.select("doc_id", "whole", "start", "end", "pid", "d1", "d2").join(named, ["whole", "d1", "d2"]), "repeats")
     first = out.groupBy("root").agg(F.min(F.struct("doc_id", "start", "pid")).alias("first"), F.count("*").alias("n_copies"))
     first = stage(first, "first")  # so that a root that many share is split in the join
     return out.join(first, "root").select(
-        "doc_id", "whole", "start", "end", F.col("first.doc_id").alias("component_id"), "n_copies",
+        real_id("doc_id").alias("doc_id"), "whole", "start", "end", real_id("first.doc_id").alias("component_id"), "n_copies",
         (F.col("pid") == F.col("first.pid")).alias("kept"))
 
 

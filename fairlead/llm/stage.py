@@ -5,11 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, NumericType, StringType
 
-#: Most rows of (id) or (id, small value) that are sent to every executor; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Most rows and most bytes of values that are sent to every executor; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
+#: Where the keys of rows without a doc_id begin; doc_ids are taken to be smaller.
+KEYLESS = 1 << 62
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,4 +70,27 @@ def attach(big: DataFrame, small: DataFrame, on: list[str] | str, how: str = "le
 
 
 def _checked(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    size = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
+    n, total = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and total <= BROADCAST_BYTES else df
+
+
+def _bytes(c: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes, that of an array by its elements."""
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.size(c), F.lit(0)) * (8 if isinstance(kind.elementType, NumericType) else 64)
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    return F.lit(8)
+
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` where a row without a doc_id has a key from its text, above every doc_id; equal texts have equal keys."""
+    key = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(KEYLESS - 1)).bitwiseOR(F.lit(KEYLESS))
+    return docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), key))
+
+
+def real_id(c: Column | str) -> Column:
+    """The doc_id that a key of ``with_keys`` stands for, null for rows that have none."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c < KEYLESS, c)
