@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.functions import twin
-from fairlead.sources.specs import DEFAULT, Vessel
+from fairlead.sources.specs import DEFAULT, ENGINE, Vessel
 
 # Priors (mean, standard deviation) and bounds of each parameter.
 CALM = {
@@ -35,6 +35,34 @@ def validation(segments: DataFrame, ship: Vessel, by: list[str] = ()) -> DataFra
         (F.lit(Z90) * F.stddev_pop(r)).alias("error_band_kg_per_h"))
 
 
+def validation_by_vessel(held: DataFrame, params: DataFrame, ship: dict = DEFAULT) -> DataFrame:
+    """``validation`` of every vessel's own fit on its held-out segments, or on all of them where none is held out.
+
+    ``held(vessel_id, is_holdout, ...)``; ``params`` as ``fit_vessels`` has it joins the segments as a map of a dozen numbers.
+    """
+    fit = params.groupBy("vessel_id").agg(F.map_from_entries(F.collect_list(F.struct("param", "value"))).alias("_fit"))
+    some = held.groupBy("vessel_id").agg(F.bool_or("is_holdout").alias("_some"))
+    base, own = Vessel.of(ship), lambda name, x: F.coalesce(F.try_element_at(F.col("_fit"), F.lit(name)), x)
+
+    def get(path: str) -> Column:
+        if path == "engines":
+            return F.transform(base[path], lambda e: F.struct(*[own(k, e[k]).alias(k) for k in ENGINE]))
+        section, _, name = path.rpartition(".")
+        return own(name, base[path]) if section in ("calm_resistance", "added_resistance") else base[path]
+
+    rows = held.join(fit, "vessel_id").join(some, "vessel_id").where(F.col("is_holdout") | ~F.col("_some"))
+    return validation(rows, Vessel(get), ["vessel_id"])
+
+
+def holdout_rows(segments: DataFrame, order: list[str], fraction: float = 0.2, seed: int = 7) -> DataFrame:
+    """``segments`` with is_holdout for that share of the rows (L7), at least one, chosen by a seeded hash of ``order``; ties go by ``order``."""
+    wanted = segments.count() * fraction
+    n = max(1, int(wanted + 0.5)) if wanted else 0
+    key = F.struct(F.xxhash64(F.lit(seed), *order).alias("h"), *order)
+    last = segments.select(key.alias("k")).orderBy("k").limit(n).agg(F.max("k").alias("k"))
+    return segments.crossJoin(F.broadcast(last)).withColumn("is_holdout", F.coalesce(key <= F.col("k"), F.lit(False))).drop("k")  # one row
+
+
 def holdout_groups(segments: DataFrame, by: str, fraction: float = 0.2, seed: int = 7) -> DataFrame:
     """``segments`` with is_holdout, whole groups of ``by`` at a time, chosen by a seeded hash.
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fairlead.functions.grid import CORNERS, bilinear, bilinear_masked, fraction, weights
 from fairlead.functions.units import null_if_nan, speed_and_origin
@@ -107,9 +106,43 @@ def display_field(spark, table: DataFrame, axes: Axes, box: tuple[float, float,
 
 
 def hold_nearest(hours: DataFrame, first_s: float, last_s: float, most_h: float = 6.0) -> DataFrame:
-    """Times of ``hours(t_epoch_s)`` brought into [first_s, last_s]; a gap over ``most_h`` hours at either end fails."""
-    every = Window.partitionBy(F.lit(1))  # one row for each hour of a forecast
-    gap = F.greatest(F.lit(first_s) - F.min("t_epoch_s").over(every), F.max("t_epoch_s").over(every) - F.lit(last_s)) / 3600.0
-    held = F.greatest(F.lit(first_s), F.least(F.lit(last_s), F.col("t_epoch_s")))
+    """Times of ``hours(t_epoch_s)`` brought into [first_s, last_s]; a time more than ``most_h`` hours outside fails."""
+    t = F.col("t_epoch_s")
+    gap = F.greatest(F.lit(first_s) - t, t - F.lit(last_s)) / 3600.0
     fail = F.raise_error(F.lit("currents end more than the permitted hours from the forecast")).cast("double")
-    return hours.withColumn("query_s", F.when(gap > most_h, fail).otherwise(held))
+    return hours.withColumn("query_s", F.when(gap > most_h, fail).otherwise(F.greatest(F.lit(first_s), F.least(F.lit(last_s), t))))
+
+
+def merge_currents(weather: DataFrame, at: Axes, currents: DataFrame, axes: Axes, start_s: float, first_s: float, most_h: float = 6.0) -> DataFrame:
+    """``weather(it, iy, ix, t_h, ...)`` with current_u_ms and current_v_ms of another grid at its places and times.
+
+    ``start_s`` is the epoch of the weather's hour 0, and ``first_s`` that of hour 0 of the currents, ``currents(it, iy, ix,
+    current_u_ms, current_v_ms)``.  Times just outside take the nearest within ``most_h`` hours; places outside are NaN, and
+    so are those with a NaN corner, as a plain interpolation has it.
+    """
+    t0, step, n = axes.hours
+    timed = hold_nearest(weather.withColumn("t_epoch_s", start_s + F.col("t_h") * 3600.0), first_s + t0 * 3600.0, first_s + (t0 + step * (n - 1)) * 3600.0, most_h)
+    fields = ["current_u_ms", "current_v_ms"]
+    spots = timed.drop(*fields).withColumns({
+        "_lat": at.lat[0] + F.col("iy") * at.lat[1], "_lon": at.lon[0] + F.col("ix") * at.lon[1], "_t": (F.col("query_s") - first_s) / 3600.0})
+    found = sample(spots, cells(currents, fields, axes), axes, "_lat", "_lon", "_t", masked=[], plain=fields)
+    within = lambda x, first, step, n: x.between(*sorted((first, first + step * (n - 1))))
+    inside = within(F.col("_lat"), *axes.lat) & within(F.col("_lon"), *axes.lon)
+    return found.withColumns({f: F.when(inside, F.col(f)).otherwise(F.lit(float("nan"))) for f in fields}).drop("_lat", "_lon", "_t", "query_s", "t_epoch_s")
+
+
+def regrid(spark, table: DataFrame, axes: Axes, lat: tuple[float, float, int], lon: tuple[float, float, int], hours: list[float]) -> DataFrame:
+    """A field on other axes (I9, I10): it, iy, ix, lat_deg, lon_deg, t_h and the fields."""
+    return sample(target_grid(spark, lat, lon, hours), table, axes)
+
+
+def sorted_axes(grid: DataFrame, lat: str = "lat_deg", lon: str = "lon_deg", t: str = "t_h") -> DataFrame:
+    """``grid`` with it, iy, ix: the places of its rows along ascending axes (T6), whatever order the source has them in.
+
+    An axis has few values; each is ranked once and joined back.
+    """
+    out = grid
+    for name, c in (("it", t), ("iy", lat), ("ix", lon)):
+        values = grid.select(c).distinct().agg(F.array_sort(F.collect_set(c)).alias("v")).select(F.posexplode("v").alias(name, c))
+        out = out.join(F.broadcast(values), c)  # one row for each value of an axis
+    return out

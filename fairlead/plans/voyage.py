@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from fairlead.functions import mission, twin
 from fairlead.operators import fitting, lattice, legs, ranking, search
+from fairlead.functions.units import KN_TO_MS, distance_nm, kn_to_ms
 from fairlead.operators.cut import cut
+from fairlead.operators.distill import alterations, distill, track_totals
 from fairlead.operators.spatial import Waters
 from fairlead.operators.tracks import BAND, BAND_LON
 from fairlead.sources.specs import DEFAULT, Vessel
@@ -64,8 +66,6 @@ def main_engine(path: str = "path") -> Column:
 
 
 def route_nm(path: str, ref_lat: float) -> Column:
-    from fairlead.functions.units import distance_nm
-
     legs_ = F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda i: distance_nm(
         F.get(path, i - 1)["lat"], F.get(path, i - 1)["lon"], F.get(path, i)["lat"], F.get(path, i)["lon"], ref_lat))
     return F.aggregate(legs_, F.lit(0.0), lambda s, x: s + x)
@@ -87,11 +87,12 @@ def speeds_for(spark: SparkSession, ship: Vessel) -> tuple[list[float], DataFram
 
 
 def plan_voyage(spark: SparkSession, request: Request, weather: legs.Weather, waters: Waters, ship: Vessel | None = None,
-                corridors: dict[str, tuple[lattice.Lattice, str]] | None = None, grid: lattice.Lattice | None = None) -> dict[str, DataFrame]:
-    """candidates (all), picks (up to three, in order), baseline and diagnostics of one request.
+                corridors: dict[str, tuple[lattice.Lattice, str]] | None = None, grid: lattice.Lattice | None = None, distilled: bool = False) -> dict[str, DataFrame]:
+    """candidates (all), picks (up to three, in order), legs and alterations of the picks, baseline, prune counts and diagnostics of one request.
 
     The cheapest route, the cheapest on the other side, and the cheapest along each corridor at each speed compete.
-    The baseline runs at a fixed speed on two engines under neutral weights.
+    With ``distilled`` candidates lose the points that they do better without.  The baseline runs at a fixed speed on two
+    engines under neutral weights.
     """
     ship = ship or Vessel.of()
     check_endpoints(spark, request, waters)
@@ -102,7 +103,8 @@ def plan_voyage(spark: SparkSession, request: Request, weather: legs.Weather, wa
     grid = grid or lattice.build(spark, request.origin, request.destination, waters)
     graph = search.limited_edges(spark, grid, plan)
     reach = search.within(search.arrivals(spark, grid, plan, request.horizon_h, graph), request.t0_h, request.horizon_h)
-    first = cut(_candidate(search.cheapest(spark, grid, plan, graph, reach), "open water", waters.ref_lat))
+    pruned: list[DataFrame] = []
+    first = cut(_candidate(search.cheapest(spark, grid, plan, graph, reach, pruned=pruned), "open water", waters.ref_lat))
     parts, notes = [first], []
     side = next((r.side for r in first.select("side").collect()), None)
     if side:
@@ -122,25 +124,50 @@ def plan_voyage(spark: SparkSession, request: Request, weather: legs.Weather, wa
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
+    ends = [grid.centres[0], grid.centres[-1]]
+    if distilled:
+        every = _distilled(every, plan, ends)
     limit = F.lit(request.latest_arrival_h).cast("double")
     every = cut(every.withColumns({"request_id": F.lit(0), "latest_arrival_h": limit, "candidate_id": F.monotonically_increasing_id()}))
     pool = ranking.eta_pool(every)
     neutral = replace(plan, weights=weights_of(50, 50, ship), speeds_kn=[BASELINE_KN], engines=[BASELINE_ENGINES])
     baseline = _candidate(search.cheapest(spark, grid, neutral, graph), "baseline", waters.ref_lat)
-    none = spark.createDataFrame([], "request_id int, n long")
-    found = ranking.diagnostics(every, none)
+    counts = cut(search.prune_counts(pruned))
+    gaps = counts.select(F.lit(0).alias("request_id"), F.col("missing_weather").alias("n"))
+    found = ranking.diagnostics(every, gaps)
     floors = ranking.below_floor(ceilings, min(speeds)).select(F.lit(0).alias("request_id"), F.concat_ws(":", "code", F.col("engines").cast("string")).alias("code"), F.col("ceiling_kn").alias("detail"))
     found = found.unionByName(floors).unionByName(spark.createDataFrame(notes, "request_id int, code string, detail double"))
-    return {"candidates": every, "picks": ranking.diverse_picks(pool), "baseline": baseline, "diagnostics": found}
+    picks = cut(ranking.diverse_picks(pool))
+    routes = _routes(every.join(F.broadcast(picks.select("candidate_id")), "candidate_id"), "candidate_id")  # three picks at most
+    totals = track_totals(routes, plan, ends).withColumnRenamed("route_id", "candidate_id")
+    turns = alterations(totals.withColumnRenamed("candidate_id", "route_id")).withColumnRenamed("route_id", "candidate_id")
+    return {"candidates": every, "picks": picks, "legs": totals, "alterations": turns, "baseline": baseline, "pruned": counts, "diagnostics": found}
+
+
+def _routes(candidates: DataFrame, key: str) -> DataFrame:
+    """route_id, track, stw, engine of candidates with a ``path``."""
+    steps = F.slice("path", 2, F.size("path"))
+    return candidates.select(
+        F.col(key).alias("route_id"), F.transform("path", lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))).alias("track"),
+        F.transform(steps, lambda p: kn_to_ms(p["speed_kn"])).alias("stw"), F.transform(steps, lambda p: p["engines"]).alias("engine"))
+
+
+def _distilled(candidates: DataFrame, plan: search.Plan, exempt: list[lattice.Point]) -> DataFrame:
+    """Candidates along their distilled tracks; side, speed and engines stay as they were."""
+    kept = cut(candidates.withColumn("_id", F.monotonically_increasing_id()))
+    done = distill(_routes(kept, "_id"), plan, exempt)
+    point = lambda p, i: F.struct(
+        i.alias("stage"), F.lit(0).alias("lane"), p["lat"].alias("lat"), p["lon"].alias("lon"), F.get("eta_h", i).alias("t_h"),
+        (F.get("stw", i - 1) / KN_TO_MS).alias("speed_kn"), F.get("engine", i - 1).alias("engines"))
+    done = done.withColumn("path", F.transform("track", point)).withColumn("distance_nm", route_nm("path", plan.waters.ref_lat))
+    fresh = ["distance_nm", "duration_h", "fuel_kg", "comfort", "wear", "max_hs", "path"]
+    done = done.select(F.col("route_id").alias("_id"), F.col("cost").alias("score_eur"), *fresh)
+    return kept.drop("score_eur", *fresh).join(done, "_id").select(candidates.columns)
 
 
 def fit_twin(segments: DataFrame, ship: dict = DEFAULT, by: str = "passage_id", fraction: float = 0.2, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(parameters, validation) of one fit for each vessel, from whole groups of segments held out of it."""
     held = cut(fitting.holdout_groups(segments, by, fraction, seed))
     params = cut(fitting.fit_vessels(held.where("not is_holdout"), ship))
-    reports = None
-    for vessel in [r.vessel_id for r in params.select("vessel_id").distinct().collect()]:  # vessels fitted in one call are few
-        own = {r.param: r.value for r in params.where(F.col("vessel_id") == vessel).collect()}
-        one = fitting.validation(held.where(F.col("is_holdout") & (F.col("vessel_id") == vessel)), Vessel.of(fitting.fitted_spec(own, ship)), ["vessel_id"])
-        reports = one if reports is None else reports.unionByName(one)
+    reports = fitting.validation_by_vessel(held, params, ship)
     return params, reports

@@ -9,20 +9,6 @@ import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SECTIONS = {
-    "hull": ["length_wl_m", "beam_wl_m", "block_coefficient", "draft_m"],
-    "calm_resistance": ["linear_coefficient", "cubic_coefficient", "steepening_coefficient", "steepening_exponent", "hull_speed_froude"],
-    "added_resistance": ["scale", "period_reference_s", "head_factor", "following_factor"],
-    "comfort": [
-        "scale", "hs_exponent", "beam_base", "beam_amplitude", "head_bonus", "head_bonus_threshold_deg", "period_reference_s",
-        "speed_base", "speed_scale_kn"],
-    "wear_policy": [
-        "weight_eur_equivalent", "max_continuous_load_fraction", "slamming_hs_threshold_m", "slamming_min_speed_ms",
-        "slamming_encounter_angle_deg", "load_wear_scale", "slam_wear_scale", "single_engine_wear_bonus"],
-}
-ENGINE = ["mcr_kw", "sfoc_base_g_per_kwh", "sfoc_min_load_fraction", "sfoc_curvature"]
-SCALARS = ["hotel_load_fuel_kg_per_h", "fuel_density_kg_per_l", "co2_per_kg_fuel", "min_under_keel_clearance_m"]
-
 # The default 50 m displacement yacht.
 DEFAULT: dict[str, Any] = {
     "name": "default 50 m displacement yacht",
@@ -47,6 +33,11 @@ DEFAULT: dict[str, Any] = {
         "slamming_min_speed_ms": 6.69, "slamming_encounter_angle_deg": 140.0, "load_wear_scale": 1.2, "slam_wear_scale": 3.0,
         "single_engine_wear_bonus": 0.15, "load_cycling_limit": None},
 }
+#: Names of the numbers of each section, of an engine and of the vessel itself, in the order of DEFAULT.
+SECTIONS = {s: [k for k, v in d.items() if isinstance(v, float)] for s, d in DEFAULT.items() if isinstance(d, dict)}
+ENGINE = [k for k, v in DEFAULT["engines"][0].items() if isinstance(v, float)]
+SCALARS = [k for k, v in DEFAULT.items() if isinstance(v, float)]
+
 
 
 class Vessel:
@@ -102,27 +93,57 @@ def vessels(spark: SparkSession, specs: list[dict[str, Any]]) -> DataFrame:
     return flat.select("name", F.struct(*[c for c in flat.columns if c != "name"]).alias("ship"))
 
 
-def region_packs(spark: SparkSession, paths: list[str], corridors: tuple[str, ...] = ("west", "east")) -> DataFrame:
+PLACE = "struct<lat_deg: double, lon_deg: double>"
+PACK = (
+    "pack_id string, name string, bbox struct<lon_min: double, lat_min: double, lon_max: double, lat_max: double>, ref_lat_deg double, "
+    "coastline_path string, bathymetry_path string, nogo_path string, tss_path string, weather_npz_path string, "
+    f"ports map<string, {PLACE}>, default_origin {PLACE}, default_destination {PLACE}, lane_turn_rate_nm double, "
+    "min_navigable_edge_fraction double, min_refinement_step_nm double, "
+    f"corridors array<struct<origin: {PLACE}, destination: {PLACE}, corridor: string>>, currents_dataset_id string")
+# Fixed values of a pack's file: those that stand in for what it leaves out, and the corridors that it may name.
+PACK_DEFAULTS = {"min_navigable_edge_fraction": 0.75, "min_refinement_step_nm": 0.5}
+CORRIDORS = ("corridor_east", "corridor_west")
+
+
+def region_packs(spark: SparkSession, paths: list[str], corridors: tuple[str, ...] = CORRIDORS) -> DataFrame:
     """Packs from YAML files, one row each; an unknown corridor raises ValueError, a missing key KeyError."""
+    place = lambda v: None if v is None else tuple(map(float, v))
+    number = lambda v: None if v is None else float(v)
     rows = []
     for path in paths:
         with open(path) as f:
-            d = yaml.safe_load(f)
-        named = [c["corridor"] if isinstance(c, dict) else c[-1] for c in d.get("legacy_corridors") or []]
-        if unknown := [n for n in named if n not in corridors]:
-            raise ValueError(f"{path}: unknown corridors {unknown}")
-        ports = {k: tuple(map(float, v)) for k, v in (d.get("ports") or {}).items()}
-        rows.append((d["pack_id"], d["name"], tuple(map(float, d["bbox"])), float(d["ref_lat_deg"]), ports, d.get("default_origin"), d.get("default_destination"), named))
-    return spark.createDataFrame(
-        rows, "pack_id string, name string, bbox struct<lon_min: double, lat_min: double, lon_max: double, lat_max: double>, "
-        "ref_lat_deg double, ports map<string, struct<lat_deg: double, lon_deg: double>>, default_origin string, "
-        "default_destination string, corridors array<string>")
+            d = PACK_DEFAULTS | yaml.safe_load(f)
+        ways = [(place(c["origin"]), place(c["destination"]), c["corridor"]) for c in d.get("legacy_corridors") or []]
+        if unknown := sorted({w[2] for w in ways} - set(corridors)):
+            raise ValueError(f"{path}: unknown corridors {unknown}; known are {sorted(corridors)}")
+        rows.append((
+            d["pack_id"], d["name"], place(d["bbox"]), float(d["ref_lat_deg"]), *[d[f"{k}_path"] for k in ("coastline", "bathymetry", "nogo", "tss", "weather_npz")],
+            {k: place(v) for k, v in (d.get("ports") or {}).items()}, place(d.get("default_origin")), place(d.get("default_destination")),
+            number(d.get("lane_turn_rate_nm")), number(d["min_navigable_edge_fraction"]), number(d["min_refinement_step_nm"]), ways, d.get("currents_dataset_id")))
+    return spark.createDataFrame(rows, PACK)
+
+
+def with_endpoints(requests: DataFrame, packs: DataFrame) -> DataFrame:
+    """``requests(pack_id, origin, destination, ...)``: ends left out are the pack's defaults; an unknown pack or a missing default fails."""
+    own = packs.select("pack_id", "default_origin", "default_destination", F.lit(True).alias("_known"))
+    rows = requests.join(F.broadcast(own), "pack_id", "left")  # packs are a few files
+
+    def end(which: str) -> Column:
+        lost = F.when(F.col("_known").isNull(), F.concat(F.lit("unknown region pack "), "pack_id")).otherwise(
+            F.concat(F.lit("region pack "), "pack_id", F.lit(f" has no default {which}")))
+        return F.coalesce(which, f"default_{which}", F.raise_error(lost).cast(PLACE))
+
+    return rows.withColumns({w: end(w) for w in ("origin", "destination")}).drop("default_origin", "default_destination", "_known")
 
 
 def manifest_packs(spark: SparkSession, manifest: str | None) -> DataFrame:
     """Packs that a manifest file lists; without one, the built-in pack alone."""
     if manifest is None:
-        return spark.createDataFrame([("med", "Western Mediterranean", 42.3)], "pack_id string, name string, ref_lat_deg double")
+        none = [None] * 5
+        box, ends = (6.7, 40.75, 10.15, 44.0), ((43.55, 7.17), (41.13, 9.55))
+        ways = [(*ends, name) for name in ("corridor_west", "corridor_east")]
+        return spark.createDataFrame([(
+            "med", "Western Mediterranean", box, 42.3, *none, {"antibes": ends[0], "portocervo": ends[1]}, *ends, None, *PACK_DEFAULTS.values(), ways, None)], PACK)
     with open(manifest) as f:
         listed = yaml.safe_load(f)
     return region_packs(spark, listed["packs"] if isinstance(listed, dict) else listed)

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from fairlead.functions import clock, geo, n2k, twin, units
-from fairlead.operators import fitting, imports, lattice, legs, search, spatial, tracks
+from fairlead.operators import fitting, imports, interp, lattice, legs, search, spatial, tracks
 from fairlead.operators.distill import distill
 from fairlead.plans import projection as P
+from fairlead.sources import geography, specs
 from fairlead.sources import telemetry as store
 from fairlead.sources.specs import DEFAULT, Vessel, vessels
 from fairlead.streaming import capture
@@ -217,3 +218,109 @@ def test_grid_file_keeps_nan(spark, tmp_path):
     assert rows.where(F.isnan("hs_m")).count() == 1 and rows.where(F.col("hs_m").isNull()).count() == 0 and rest["lat0"] == 41.0
     store.write_grid(rows, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_region_packs(spark, tmp_path):
+    text = """pack_id: p\nname: P\nbbox: [6.7, 40.75, 10.15, 44.0]\nref_lat_deg: 42.3\ncoastline_path: c\nbathymetry_path: b\nnogo_path: n\ntss_path: t
+weather_npz_path: w\nports:\n  a: [43.5, 7.1]\ndefault_origin: [43.55, 7.17]\nlegacy_corridors:\n  - origin: [43.55, 7.17]\n    destination: [41.13, 9.55]\n    corridor: corridor_west\n"""
+    (tmp_path / "p.yaml").write_text(text)
+    packs = specs.region_packs(spark, [str(tmp_path / "p.yaml")])
+    r = packs.first()
+    assert tuple(r.default_origin) == (43.55, 7.17) and r.default_destination is None and r.corridors[0].corridor == "corridor_west"
+    assert (r.min_navigable_edge_fraction, r.min_refinement_step_nm, r.lane_turn_rate_nm, tuple(r.ports["a"])) == (0.75, 0.5, None, (43.5, 7.1))
+    (tmp_path / "q.yaml").write_text(text.replace("corridor_west", "west"))
+    with pytest.raises(ValueError, match="unknown corridors"):
+        specs.region_packs(spark, [str(tmp_path / "q.yaml")])
+    asked = spark.createDataFrame([("p", None, (1.0, 2.0))], f"pack_id string, origin {specs.PLACE}, destination {specs.PLACE}")
+    assert tuple(specs.with_endpoints(asked, packs).first().origin) == (43.55, 7.17)
+    with pytest.raises(Exception, match="no default destination"):
+        specs.with_endpoints(asked.withColumn("destination", F.lit(None).cast(specs.PLACE)), packs).collect()
+    with pytest.raises(Exception, match="unknown region pack"):
+        specs.with_endpoints(asked.withColumn("pack_id", F.lit("x")), packs).collect()
+    assert specs.manifest_packs(spark, None).first().ports["antibes"].lat_deg == 43.55
+    assert [len(lattice.built_in(n)[0].centres) for n in specs.CORRIDORS] == [14, 15]
+
+
+def test_geography_files(spark, tmp_path):
+    import json
+
+    import numpy as np
+
+    (tmp_path / "c.json").write_text(json.dumps({"source": "s", "polygons": [[[41.0, 7.0], [41.0, 7.4], [41.4, 7.4], [41.4, 7.0]]]}))
+    (tmp_path / "z.json").write_text(json.dumps({"zones": [{"name": "z", "polygon": [[41.6, 7.6], [41.6, 7.9], [41.9, 7.9], [41.9, 7.6]]}]}))
+    heights = np.add.outer(np.arange(11.0), np.arange(11.0)) * -10.0 + 15.0
+    np.savez(tmp_path / "d.npz", lat0=41.0, dlat=0.1, lon0=7.0, dlon=0.1, nlat=11, nlon=11, elevation_m=heights)
+    np.savez(tmp_path / "m.npz", lat0=41.0, dlat=0.1, lon0=7.0, dlon=0.1, nlat=11, nlon=11, elevation_m=heights, land_mask=heights > 0)
+    edges = geography.read_rings(spark, [str(tmp_path / "c.json")], [str(tmp_path / "z.json")])
+    assert edges.groupBy("kind").count().where("count = 4").count() == 2
+    points = spark.createDataFrame([(1, 41.2, 7.2), (2, 41.75, 7.75), (3, 41.55, 7.25), (4, 41.0, 7.0)], "point_id int, lat_deg double, lon_deg double")
+    depths, axes, raster = geography.read_depths(spark, str(tmp_path / "d.npz"))
+    got = {r.point_id: r for r in geography.describe(points, edges, depths, axes, raster).collect()}
+    assert [(got[i].is_land, got[i].is_nogo, got[i].is_navigable) for i in (1, 2, 3)] == [(True, False, False), (False, True, False), (False, False, True)]
+    assert got[3].depth_m == pytest.approx(65.0) and got[4].depth_m == 0.0
+    depths, axes, raster = geography.read_depths(spark, str(tmp_path / "m.npz"))
+    got = {r.point_id: r.is_land for r in geography.describe(points, edges, depths, axes, raster).collect()}
+    assert got == {1: False, 2: False, 3: False, 4: True}
+    geography.check_box(axes, (6.95, 40.95, 8.05, 42.05))
+    with pytest.raises(ValueError, match="is not what the grid covers"):
+        geography.check_box(axes, (6.95, 40.95, 8.05, 42.2))
+    with pytest.raises(Exception, match="no geography covers"):
+        geography.describe(points.withColumn("lat_deg", F.lit(50.0)), edges, depths, axes, raster).collect()
+
+
+def test_currents_merge(spark):
+    here = interp.Axes((41.0, 0.5, 2), (7.0, 0.5, 2))
+    there = interp.Axes((41.0, 1.0, 2), (7.0, 1.0, 2), (0.0, 3.0, 2))
+    weather = spark.createDataFrame([(t, y, x, float(t * 3)) for t in range(3) for y in range(2) for x in range(2)], "it int, iy int, ix int, t_h double")
+    currents = spark.createDataFrame([(t, y, x, float(10 * t + y), float(x)) for t in range(2) for y in range(2) for x in range(2)], "it int, iy int, ix int, current_u_ms double, current_v_ms double")
+    got = {(r.it, r.iy, r.ix): (round(r.current_u_ms, 2), round(r.current_v_ms, 2)) for r in interp.merge_currents(weather, here, currents, there, 0.0, 0.0).collect()}
+    assert got[0, 0, 0] == (0.0, 0.0) and got[0, 1, 1] == (0.5, 0.5) and got[1, 0, 0][0] == pytest.approx(10.0, abs=0.02) and got[2, 0, 0] == got[1, 0, 0]
+    with pytest.raises(Exception, match="permitted hours"):
+        interp.merge_currents(weather, here, currents, there, 7 * 3600.0, 0.0).collect()
+
+
+def test_sorted_axes_and_flat_holdout(spark):
+    grid = spark.createDataFrame([(42.0, 8.0, 3.0), (41.0, 7.0, 0.0)], "lat_deg double, lon_deg double, t_h double")
+    assert sorted(tuple(r[c] for c in ("it", "iy", "ix")) for r in interp.sorted_axes(grid).collect()) == [(0, 0, 0), (1, 1, 1)]
+    rows = spark.range(50)
+    held = fitting.holdout_rows(rows, ["id"], 0.1)
+    assert held.where("is_holdout").count() == 5 and held.count() == 50 and fitting.holdout_rows(rows.limit(2), ["id"], 0.1).where("is_holdout").count() == 1
+
+
+def test_side_filter_keeps_the_centre(spark):
+    edges = spark.createDataFrame([(1, n) for n in (-1, 0, 1)], "stage int, next_lane int")
+    assert [sorted(r.next_lane for r in lattice.side_only(edges, (2, 2), s).collect()) for s in "WE"] == [[-1, 0], [0, 1]]
+
+
+def test_weather_gap_is_told(spark):
+    """Missing weather prunes every leg, is counted, and reaches the diagnostics."""
+    lat = lattice.Lattice([(43.0, 7.0), (42.9, 7.1), (42.8, 7.2)], [0, 1, 0], [4.0] * 3, 8.0, 42.3)
+    gone = lambda rows: legs.scenario("calm")(rows).withColumn("hs_m", F.lit(float("nan")))
+    plan = search.Plan(gone, WATERS_DEEP, SHIP, weights(), [10.0], [2])
+    pruned = []
+    assert search.cheapest(spark, lat, plan, pruned=pruned).count() == 0
+    counts = search.prune_counts(pruned).first()
+    assert counts.missing_weather == 3 and counts.slam == 0
+    from fairlead.operators import ranking
+
+    none = spark.createDataFrame([], "request_id int, duration_h double, latest_arrival_h double")
+    gaps = spark.createDataFrame([(0, counts.missing_weather)], "request_id int, n long")
+    assert [r.code for r in ranking.diagnostics(none, gaps).collect()] == ["weather_data_gap"]
+
+
+def test_dearer_sweep_is_undone(spark):
+    """A current that turns with the hour makes the whole track dearer though each removal was cheaper; such a sweep is undone."""
+    from fairlead.operators import distill as d
+
+    plan = search.Plan(legs.scenario("calm"), WATERS_DEEP, SHIP, weights(), [10.0], [2])
+    track = [(43.0, 7.0), (42.9, 7.1), (42.8, 7.2), (42.7, 7.2)]
+    rows = spark.createDataFrame([(1, track, [5.1] * 3, [2] * 3)], "route_id int, track array<struct<lat: double, lon: double>>, stw array<double>, engine array<int>")
+    before = d.track_totals(rows, plan).first()
+    assert len(before.eta_h) == 4 and math.isclose(before.eta_h[-1], before.duration_h) and math.isclose(sum(x.duration_h for x in before.legs), before.duration_h)
+    dearer = d.sweep
+    try:  # a sweep whose proposal goes a long way round
+        d.sweep = lambda r, *a: r.withColumn("track", F.expr("transform(array(0, 1), i -> named_struct('lat', 43.0D - i * 5, 'lon', 7.0D))")).withColumn("stw", F.expr("slice(stw, 1, 1)")).withColumn("engine", F.expr("slice(engine, 1, 1)"))
+        kept = d.distill(rows, plan, [])
+    finally:
+        d.sweep = dearer
+    assert [tuple(p) for p in kept.first().track] == track and math.isclose(kept.first().cost, before.cost)
