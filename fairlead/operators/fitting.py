@@ -78,7 +78,7 @@ def holdout_groups(segments: DataFrame, by: str, fraction: float = 0.2, seed: in
         raise ValueError(f"a holdout needs two groups of {by} at least, not {n}")
     if int(n * fraction) == 0:
         raise ValueError(f"{fraction} of {n} groups of {by} is no group")
-    key = F.struct(F.xxhash64(F.lit(seed), by).alias("h"), F.col(by).alias("g"))
+    key = F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(by).cast("string"))).alias("h"), F.col(by).alias("g"))
     chosen = groups.select(by, key.alias("_key")).orderBy("_key").limit(int(n * fraction)).select(by, F.lit(True).alias("_held"))
     return segments.join(chosen, by, "left").withColumn("is_holdout", F.coalesce("_held", F.lit(False))).drop("_held")
 

@@ -370,20 +370,63 @@ def coastal_fill(spark, d):
     return found.select(C("iy").cast("long").alias("iy"), C("ix").cast("long").alias("ix"), r4("nm").alias("nm"))
 
 
-@query()
+def _swell_sql(x: tuple) -> str:
+    share, lat0, lat_width, lon0, lon_width = x
+    return f"{share}e0 * exp(-pow((mid_lat - {lat0}e0) / {lat_width}e0, 2) - pow((mid_lon - {lon0}e0) / {lon_width}e0, 2))"
+
+
+def _hs_sql(scenario: str) -> str:
+    """Wave height of a scenario at mid_lat, mid_lon, mid_t, from its fixed values."""
+    w = fields.SCENARIOS[scenario]
+    least, more, most = w["hs_m"]
+    growth = {"calm": "1e0", "mistral": "(0.45e0 + 0.55e0 / (1e0 + exp((mid_t - 20e0) / 5e0)))", "easterly": "least(1e0, 0.4e0 + mid_t / 24e0)"}[scenario]
+    waves = f"greatest(0e0, {', '.join(_swell_sql(x) for x, _ in w['swells'])})" if w["swells"] else "0e0"
+    hs = f"({least}e0 + {more}e0 * {waves} * {growth})"
+    if w["lee"]:
+        (south, north, west, east), left, _ = w["lee"]
+        hs = f"(CASE WHEN mid_lat > {south}e0 AND mid_lat < {north}e0 AND mid_lon > {west}e0 AND mid_lon < {east}e0 THEN {hs} * {left}e0 ELSE {hs} END)"
+    return f"least({most}e0, {hs})"
+
+
+def legs_sql(source: str, scenario: str) -> str:
+    """SQL text: the rows of ``source`` with the outcome of their legs in still water, for the default vessel."""
+    shrink, kn, v = "cos(radians(42.3e0))", f"{units.KN_TO_MS}e0", "stw_ms"
+    wave_from = fields.SCENARIOS[scenario]["wave_from"]
+    enc = f"abs({mod360(mod360(f'course_deg - {wave_from}e0') + ' + 540e0')} - 180e0)"
+    calm = f"((5e0 * {v} * {v} + {v} * {v} * {v}) * (1e0 + 1.5e0 * pow({v} / sqrt(9.81e0 * 45e0) / 0.4e0, 4e0)))"
+    added = f"(0.4e0 * 1025e0 * 9.81e0 * max_hs * max_hs * (81e0 / 45e0) * {RESPONSE.format('7.5e0')} * (0.25e0 + 0.75e0 * pow(enc / 180e0, 1.6e0)) * {v} / 1000e0)"
+    beam = "(0.35e0 + 0.91e0 * pow(sin(radians(enc)), 2) + CASE WHEN enc > 150e0 THEN 0.25e0 ELSE 0e0 END)"
+    wear = f"(pow(greatest(load, 0e0), 3) * 1.2e0 + CASE WHEN slam THEN 3e0 * (max_hs - 1.8e0) * ({v} - 6.69e0) ELSE 0e0 END + CASE WHEN engines = 1 THEN 0.15e0 ELSE 0e0 END)"
+    return f"""(SELECT *, (36e0 + engines * (load * 1350e0) * 195e0 * (1e0 + 2e0 * pow(load - 0.75e0, 2)) / 1000e0) * duration_h AS fuel_kg,
+      pow(max_hs, 1.7e0) * {beam} * {RESPONSE.format('6.5e0')} * (0.5e0 + {v} / {kn} / 22e0) * duration_h AS comfort, {wear} * duration_h AS wear, load > 0.85e0 AS overload
+    FROM (SELECT *, ({calm} + {added}) / engines / 1350e0 AS load, enc > 140e0 AND max_hs > 1.8e0 AND {v} > 6.69e0 AS slam
+    FROM (SELECT *, {enc} AS enc, 4e0 + 3.5e0 * sqrt(max_hs) AS period_peak_s
+    FROM (SELECT *, {_hs_sql(scenario)} AS max_hs
+    FROM (SELECT *, nm / ({v} / {kn}) AS duration_h, t_h + nm / ({v} / {kn}) / 2e0 AS mid_t, (p_lat + q_lat) / 2e0 AS mid_lat, (p_lon + q_lon) / 2e0 AS mid_lon
+    FROM (SELECT *, sqrt(pow((q_lon - p_lon) * 60e0 * {shrink}, 2) + pow((q_lat - p_lat) * 60e0, 2)) AS nm,
+      {mod360(f'degrees(atan2((q_lon - p_lon) * {shrink}, q_lat - p_lat))')} AS course_deg FROM {source}))))))"""
+
+
+LEG_RESULTS = ["course_deg", "duration_h", "fuel_kg", "comfort", "wear", "max_hs"]
+
+
+@query("WITH " + P.PLACES + """, legs AS (SELECT place_id, lat_deg AS p_lat, lon_deg AS p_lon, lat_deg + 0.1e0 AS q_lat, lon_deg + 0.05e0 AS q_lon,
+    5e0 + (place_id % 3) * 0.5e0 AS stw_ms, CAST(place_id % 2 + 1 AS INTEGER) AS engines, CAST(place_id % 24 AS DOUBLE) AS t_h FROM places)
+  SELECT place_id, """ + ", ".join(f"round({c}, 4) AS {c}" for c in LEG_RESULTS) + ", slam, overload FROM " + legs_sql("legs", "mistral"))
 def leg_evaluation(spark, d):
     k = C("place_id")
     rows = P.places(spark, d).select(
         "place_id", C("lat_deg").alias("p_lat"), C("lon_deg").alias("p_lon"), (C("lat_deg") + 0.1).alias("q_lat"), (C("lon_deg") + 0.05).alias("q_lon"),
         (5.0 + (k % 3) * 0.5).alias("stw_ms"), (k % 2 + 1).cast("int").alias("engines"), (k % 24).cast("double").alias("t_h"))
-    return legs.evaluate(rows, legs.scenario("mistral"), SHIP)
+    done = legs.evaluate(rows, legs.scenario("mistral"), SHIP)
+    return done.select("place_id", *[F.round(c, 4).alias(c) for c in LEG_RESULTS], "slam", "overload")
 
 
 _LAT = lattice.Lattice([(43.5 - 0.2 * i, 7.2 + 0.15 * i) for i in range(6)], [0, 2, 3, 3, 2, 0], [5.0, 5.0, 2.5, 5.0, 5.0, 5.0], 15.0, 42.3)
 
 
-def _stages_sql() -> str:
-    rows = ", ".join("(" + ", ".join(f"{x}e0" if isinstance(x, float) else str(x) for x in r) + ")" for r in _LAT.stage_rows())
+def _stages_sql(lat: lattice.Lattice = _LAT) -> str:
+    rows = ", ".join("(" + ", ".join(f"{x}e0" if isinstance(x, float) else str(x) for x in r) + ")" for r in lat.stage_rows())
     return f"""st(stage, lat0, lon0, a_lat, a_lon, b_lat, b_lon, lanes, step) AS (VALUES {rows}),
   dir AS (SELECT *, (b_lon - a_lon) * cos(radians(42.3e0)) AS dx, b_lat - a_lat AS dy FROM st),
   node AS (SELECT stage, lane, step, lanes, lat0 + dx / sqrt(dx * dx + dy * dy) * lane * step / 60e0 AS lat,
@@ -395,11 +438,13 @@ def lattice_nodes(spark, d):
     return lattice.nodes(spark, _LAT).select("stage", "lane", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-_EDGE_SQL = _stages_sql() + """, edge AS (SELECT p.stage, CAST(p.lane AS INTEGER) AS lane, CAST(q.lane AS INTEGER) AS next_lane, p.lat AS p_lat, p.lon AS p_lon, q.lat AS q_lat, q.lon AS q_lon FROM node p JOIN node q
-    ON q.stage = p.stage + 1 AND q.lane >= ceil((p.lane * p.step - 15e0) / q.step) AND q.lane <= floor((p.lane * p.step + 15e0) / q.step))"""
+def _edges_sql(lat: lattice.Lattice = _LAT) -> str:
+    turn = f"{lat.turn_nm}e0"
+    return _stages_sql(lat) + f""", edge AS (SELECT p.stage, CAST(p.lane AS INTEGER) AS lane, CAST(q.lane AS INTEGER) AS next_lane, p.lat AS p_lat, p.lon AS p_lon, q.lat AS q_lat, q.lon AS q_lon FROM node p JOIN node q
+    ON q.stage = p.stage + 1 AND q.lane >= ceil((p.lane * p.step - {turn}) / q.step) AND q.lane <= floor((p.lane * p.step + {turn}) / q.step))"""
 
 
-@query("WITH " + _EDGE_SQL + " SELECT stage, lane, next_lane, round(q_lat, 6) AS q_lat, round(q_lon, 6) AS q_lon FROM edge")
+@query("WITH " + _edges_sql() + " SELECT stage, lane, next_lane, round(q_lat, 6) AS q_lat, round(q_lon, 6) AS q_lon FROM edge")
 def lattice_edges(spark, d):
     return lattice.edges(spark, _LAT).select("stage", "lane", "next_lane", F.round("q_lat", 6).alias("q_lat"), F.round("q_lon", 6).alias("q_lon"))
 
@@ -409,20 +454,71 @@ def _plan(weather: str = "calm", speeds: list[float] = [10.0, 12.0]) -> search.P
     return search.Plan(legs.scenario(weather), WATERS, SHIP, w, speeds, [1, 2])
 
 
-@query()
+def _graph_sql(lat: lattice.Lattice) -> str:
+    """Edges whose points, a quarter of a mile apart, are all navigable; the shelf is deep enough everywhere."""
+    return _edges_sql(lat) + f""", spots AS (SELECT *, greatest(1, ceil(sqrt(pow((q_lon - p_lon) * 60e0 * cos(radians(42.3e0)), 2) + pow((q_lat - p_lat) * 60e0, 2)) / 0.25e0)) AS n FROM edge),
+  spot AS (SELECT stage, lane, next_lane, p_lat + (q_lat - p_lat) * i / n AS lat_deg, p_lon + (q_lon - p_lon) * i / n AS lon_deg FROM spots, unnest(range(1, CAST(n AS BIGINT) + 1)) u(i)),
+  open AS (SELECT stage, lane, next_lane FROM spot GROUP BY ALL HAVING NOT bool_or({_land_sql()} OR {_box_sql()})),
+  graph AS (SELECT edge.* FROM edge JOIN open USING (stage, lane, next_lane))"""
+
+
+def _options_sql(speeds: list[float], engines: list[int]) -> str:
+    return f"(SELECT s AS speed_kn, s * {units.KN_TO_MS}e0 AS stw_ms, CAST(n AS INTEGER) AS engines FROM unnest([{', '.join(f'{x}e0' for x in speeds)}]) a(s), unnest({engines}) b(n))"
+
+
+def _cheapest_sql(lat: lattice.Lattice, scenario: str, speeds: list[float], engines: list[int], bucket_h: float = 1.0) -> str:
+    """One layer after the other; a label for each lane and time bucket; ties go by previous lane, bucket, speed, engines."""
+    sql = _graph_sql(lat) + """, l0 AS (SELECT 0 AS lane, 0 AS bucket, 0e0 AS cost, 0e0 AS t_h, 0e0 AS fuel, 0e0 AS discomfort, 0e0 AS worn, 0e0 AS worst, '0' AS lanes, '' AS runs)"""
+    for i in range(len(lat.centres) - 1):
+        step = f"(SELECT l.*, g.next_lane, g.p_lat, g.p_lon, g.q_lat, g.q_lon, o.speed_kn, o.stw_ms, o.engines FROM l{i} l JOIN graph g USING (lane), {_options_sql(speeds, engines)} o WHERE g.stage = {i})"
+        sql += f""", s{i} AS (SELECT *, cost + 0.8e0 * fuel_kg + 10e0 * duration_h * 60e0 + 15e0 * comfort + 9e0 * wear AS total, CAST(floor((t_h + duration_h) / {bucket_h}e0) AS BIGINT) AS next_bucket
+    FROM {legs_sql(step, scenario)} WHERE NOT slam AND NOT overload),
+  l{i + 1} AS (SELECT next_lane AS lane, next_bucket AS bucket, total AS cost, t_h + duration_h AS t_h, fuel + fuel_kg AS fuel, discomfort + comfort AS discomfort, worn + wear AS worn,
+    greatest(worst, max_hs) AS worst, lanes || ',' || next_lane AS lanes, runs || CASE WHEN runs = '' THEN '' ELSE ',' END || CAST(speed_kn AS INTEGER) || '/' || engines AS runs FROM s{i}
+    QUALIFY row_number() OVER (PARTITION BY next_lane, next_bucket ORDER BY total, lane, bucket, speed_kn, engines) = 1)"""
+    return sql
+
+
+ROUTE = ["cost", "duration_h", "fuel_kg", "comfort", "wear", "max_hs"]
+_ROUTE_SQL = """round(cost, 3) AS cost, round(t_h, 4) AS duration_h, round(fuel, 4) AS fuel_kg, round(discomfort, 4) AS comfort, round(worn, 4) AS wear, round(worst, 4) AS max_hs, lanes, runs"""
+
+
+def _route(found: DataFrame) -> DataFrame:
+    steps = F.slice("path", 2, F.size("path"))
+    return found.withColumns({
+        **{c: F.round(c, 3 if c == "cost" else 4) for c in ROUTE}, "lanes": F.array_join(F.transform("path", lambda p: p["lane"].cast("string")), ","),
+        "runs": F.array_join(F.transform(steps, lambda p: F.concat_ws("/", p["speed_kn"].cast("int").cast("string"), p["engines"].cast("string"))), ",")}).drop("path")
+
+
+@query("WITH " + _cheapest_sql(_LAT, "calm", [10.0, 12.0], [1, 2]) + f" SELECT {_ROUTE_SQL} FROM l5 WHERE lane = 0 ORDER BY cost, bucket LIMIT 1")
 def layered_min_cost(spark, d):
-    return search.cheapest(spark, _LAT, _plan())
+    return _route(search.cheapest(spark, _LAT, _plan()))
 
 
-@query()
+def _arrivals_sql(lat: lattice.Lattice, scenario: str, speeds: list[float], engines: list[int], hours: float) -> str:
+    sql = _graph_sql(lat) + ", l0 AS (SELECT 0 AS stage, 0 AS lane, 0e0 AS t_h)"
+    for i in range(len(lat.centres) - 1):
+        step = f"(SELECT l.lane, l.t_h, g.next_lane, g.p_lat, g.p_lon, g.q_lat, g.q_lon, o.stw_ms, o.engines FROM l{i} l JOIN graph g USING (lane), {_options_sql(speeds, engines)} o WHERE g.stage = {i})"
+        sql += f""", l{i + 1} AS (SELECT {i + 1} AS stage, next_lane AS lane, min(t_h + duration_h) AS t_h FROM {legs_sql(step, scenario)} WHERE NOT slam AND NOT overload AND t_h + duration_h <= {hours}e0 GROUP BY next_lane)"""
+    return sql
+
+
+@query("WITH " + _arrivals_sql(_LAT, "mistral", [10.0, 12.0], [1, 2], 5.0) + " SELECT stage, lane FROM (" + " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(6)) + ") WHERE t_h <= 4e0")
 def reachable_within(spark, d):
     return search.within(search.arrivals(spark, _LAT, _plan("mistral"), 5.0), 0.0, 4.0)
 
 
-@query()
+_WAY = lattice.corridor([(43.5 - 0.15 * i, 7.3 + 0.1 * i) for i in range(5)], [0, 1, 1, 1, 0], 5.0)
+
+
+def _corridor_sql() -> str:
+    runs = [f"SELECT 'west' AS route, 'W' AS side, 11e0 AS speed_kn, {n} AS engines, * FROM (WITH {_cheapest_sql(_WAY, 'calm', [11.0], [n], 1e9)} SELECT {_ROUTE_SQL} FROM l4 ORDER BY lane <> 0, cost LIMIT 1)" for n in (1, 2)]
+    return " UNION ALL ".join(runs)
+
+
+@query(_corridor_sql())
 def corridor_dp(spark, d):
-    way = lattice.corridor([(43.5 - 0.15 * i, 7.3 + 0.1 * i) for i in range(5)], [0, 1, 1, 1, 0], 5.0)
-    return search.corridor_routes(spark, {"west": (way, "W")}, _plan(speeds=[11.0]))
+    return _route(search.corridor_routes(spark, {"west": (_WAY, "W")}, _plan(speeds=[11.0])))
 
 
 _CAND = """cand AS (SELECT CAST(o_custkey AS BIGINT) AS request_id, o_orderkey AS candidate_id, CASE o_orderkey % 3 WHEN 0 THEN 'W' WHEN 1 THEN 'E' END AS side,
@@ -451,7 +547,17 @@ def best_per_key(spark, d):
     return ranking.best_per_key(_candidates(spark, d), ["request_id", "speed_kn"], "score_eur", "candidate_id").select("request_id", "speed_kn", "candidate_id")
 
 
-@query()
+def _add_pick(n: int) -> str:
+    """One more pick of every request that lacks one: the first that differs from all picks in side or by two knots."""
+    return f"""add{n} AS (SELECT request_id, min(k) AS k FROM ordered r WHERE (SELECT count(*) FROM pick{n - 1} p WHERE p.request_id = r.request_id) < 3
+    AND NOT EXISTS (SELECT 1 FROM pick{n - 1} p WHERE p.request_id = r.request_id AND p.side IS NOT DISTINCT FROM r.side AND abs(p.speed_kn - r.speed_kn) < 2e0) GROUP BY request_id),
+  pick{n} AS (SELECT * FROM pick{n - 1} UNION ALL SELECT r.* FROM ordered r JOIN add{n} USING (request_id, k))"""
+
+
+@query("WITH " + _POOL + """, ordered AS (SELECT request_id, candidate_id, side, speed_kn,
+    row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN missed_window THEN duration_h ELSE score_eur END, candidate_id) AS k FROM pool),
+  pick0 AS (SELECT * FROM ordered QUALIFY row_number() OVER (PARTITION BY request_id, side ORDER BY k) = 1),""" + _add_pick(1) + ", " + _add_pick(2) + """
+  SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY k) AS INTEGER) AS place, candidate_id, side, speed_kn FROM pick2""")
 def diverse_top3(spark, d):
     return ranking.diverse_picks(ranking.eta_pool(_candidates(spark, d)))
 
@@ -567,7 +673,8 @@ def telemetry_status(spark, d):
     return store.status(_keyed(spark, d), F.lit(2e9), ["source_pgn"]).select("source_pgn", "sample_count", "last_sample_at", "gap_s")
 
 
-@query()
+@query("WITH " + RUNS + """, g AS (SELECT vessel_id, row_number() OVER (ORDER BY md5('7|' || vessel_id), vessel_id) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT vessel_id FROM seg))
+  SELECT k <= floor(n * 0.2e0) AS is_holdout, count(DISTINCT s.vessel_id) AS n_groups, count(*) AS n_segments FROM seg s JOIN g USING (vessel_id) GROUP BY 1""")
 def holdout_group_split(spark, d):
     held = fitting.holdout_groups(_segments(spark, d), "vessel_id")
     return held.groupBy("is_holdout").agg(F.count_distinct("vessel_id").alias("n_groups"), F.count("*").alias("n_segments"))
@@ -580,16 +687,45 @@ def fit_vessels(spark, d):
     return fitting.fit_vessels(s.join(quiet, "vessel_id", "left_semi"))
 
 
-@query()
+def _le(start: int, size: int) -> str:
+    """Little-endian bytes of the hexadecimal text h as a number."""
+    return "CAST('0x' || " + " || ".join(f"substr(h, {2 * (start + size - i) - 1}, 2)" for i in range(size)) + " AS BIGINT)"
+
+
+def _signed_sql(start: int, size: int) -> str:
+    x, half = _le(start, size), 1 << 8 * size - 1
+    return f"(CASE WHEN {x} = {half - 1} THEN NULL WHEN {x} >= {half} THEN {x} - {2 * half} ELSE {x} END)"
+
+
+def _unsigned_sql(start: int, size: int) -> str:
+    return f"nullif({_le(start, size)}, {(1 << 8 * size) - 1})"
+
+
+@query(f"""WITH f AS (SELECT CAST(event_id AS DOUBLE) AS timestamp, event_id % 4 AS m, substr(md5(CAST(event_id AS VARCHAR)), 1, 16) AS h FROM events)
+  SELECT timestamp, CAST([129025, 129026, 127488][m + 1] AS INTEGER) AS source_pgn, 'full_integration' AS sensor_tier,
+    CASE WHEN m = 0 THEN round({_signed_sql(0, 4)} * 1e-7, 7) END AS lat_deg, CASE WHEN m = 0 THEN round({_signed_sql(4, 4)} * 1e-7, 7) END AS lon_deg,
+    CASE WHEN m = 1 THEN round({_unsigned_sql(4, 2)} * 0.01e0 / {units.KN_TO_MS}e0, 6) END AS sog_kn, CASE WHEN m = 1 THEN round(degrees({_unsigned_sql(2, 2)} * 1e-4), 6) END AS cog_deg,
+    CAST(NULL AS DOUBLE) AS engine_fuel_rate_l_per_h, CASE WHEN m = 2 THEN {_unsigned_sql(1, 2)} * 0.25e0 END AS engine_rpm FROM f WHERE m < 3""")
 def capture_decode(spark, d):
     e = C("event_id")
     can = n2k.join_id(F.lit(2), F.element_at(F.array(F.lit(129025), F.lit(129026), F.lit(127488), F.lit(130306)), (e % 4 + 1).cast("int")), F.lit(16))
     line = F.concat(F.lit("12:00:00.000 R "), F.lpad(F.hex(can), 8, "0"), F.lit(" "), F.regexp_replace(F.substring(F.md5(e.cast("string")), 1, 16), "(..)", "$1 "))
     frames = capture.parse_lines(P.table(spark, d, "events").select(e.cast("double").alias("timestamp"), line.alias("value")))
-    return capture.samples(frames, "full_integration")
+    rounded = {"lat_deg": 7, "lon_deg": 7, "sog_kn": 6, "cog_deg": 6}
+    return capture.samples(frames, "full_integration").withColumns({c: F.round(c, n) for c, n in rounded.items()})
 
 
-@query()
+_KN = f"(x * {units.KN_TO_MS}e0)"
+
+
+@query(f"""WITH RECURSIVE b(engines, i, lo, hi) AS (SELECT CAST(n AS INTEGER), 0, 0e0, 40e0 FROM range(1, 3) t(n)
+  UNION ALL SELECT engines, i + 1, CASE WHEN over THEN lo ELSE x END, CASE WHEN over THEN x ELSE hi END FROM (
+    SELECT *, (5e0 * {_KN} * {_KN} + {_KN} * {_KN} * {_KN}) * (1e0 + 1.5e0 * pow({_KN} / sqrt(9.81e0 * 45e0) / 0.4e0, 4e0)) / engines / 1350e0 > 0.85e0 AS over
+    FROM (SELECT *, (lo + hi) / 2e0 AS x FROM b WHERE i < 30))),
+  top AS (SELECT engines, lo AS c FROM b WHERE i = 30)
+  SELECT engines, round(c, 6) AS ceiling_kn, round(least(c, 6e0) + k, 6) AS speed_kn FROM top, unnest(range(0, CAST(floor(c - least(c, 6e0)) AS BIGINT) + 1)) u(k)""")
 def speed_envelope(spark, d):
     n = spark.range(1, 3).select(C("id").cast("int").alias("engines"))
-    return n.withColumn("ceiling_kn", twin.fastest_continuous(C("engines"), SHIP)).withColumn("speeds_kn", twin.speed_grid(C("ceiling_kn")))
+    top = n.withColumn("ceiling_kn", twin.fastest_continuous(C("engines"), SHIP))
+    speeds = top.withColumn("s", F.explode(twin.speed_grid(C("ceiling_kn"))))
+    return speeds.select("engines", F.round("ceiling_kn", 6).alias("ceiling_kn"), F.round("s", 6).alias("speed_kn"))
