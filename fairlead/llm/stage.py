@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, NumericType, Stri
 
 #: Most rows and most bytes of values that are sent to every executor; beyond either the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
+#: Most characters of a plan's text that the driver keeps of each written table.
+PLAN_CHARS = 4096
 #: Where the keys of rows without a doc_id begin; doc_ids are taken to be smaller.
 KEYLESS = 1 << 62
 
@@ -35,10 +39,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with brief_plans(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def brief_plans(spark: SparkSession) -> Iterator[None]:
+    """Short texts of plans for a while: the driver keeps those of its last thousand jobs, which an iterative operator fills."""
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, PLAN_CHARS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def once(df: DataFrame, key: str) -> DataFrame:
     """A staged table with one row for each ``key``; it is written anew only if some key has more."""
     n = df.agg(F.count("*").alias("n"), F.count_distinct(key).alias("d")).first()
