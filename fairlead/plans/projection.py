@@ -74,7 +74,14 @@ def grid(spark: SparkSession) -> DataFrame:
         "current_v_ms": F.when(gone, nan).otherwise(0.01 * iy)})
 
 
-GRID = """axis AS (SELECT t.i AS it, y.i AS iy, x.i AS ix FROM range(4) t(i), range(9) y(i), range(11) x(i)),
+def _gone(x: str) -> str:
+    return f"CASE WHEN (iy + ix) % 7 = 0 THEN 'NaN'::DOUBLE ELSE {x} END"
+
+
+GRID = f"""axis AS (SELECT t.i AS it, y.i AS iy, x.i AS ix FROM range(4) t(i), range(9) y(i), range(11) x(i)),
+line AS (SELECT *, radians(CAST((iy * 20 + ix * 11 + it * 30) % 360 AS DOUBLE) + 180e0) AS wave_to FROM axis),
 grid AS (SELECT it, iy, ix, 41e0 + iy * 0.3e0 AS lat_deg, 7e0 + ix * 0.3e0 AS lon_deg, it * 6e0 AS t_h,
-    CASE WHEN (iy + ix) % 7 = 0 THEN 'NaN'::DOUBLE ELSE 0.5e0 + iy * 0.1e0 + ix * 0.05e0 + it * 0.2e0 END AS hs_m,
-    3e0 - ix * 0.4e0 AS wind_u_ms FROM axis)"""
+    {_gone("0.5e0 + iy * 0.1e0 + ix * 0.05e0 + it * 0.2e0")} AS hs_m, {_gone("5e0 + iy * 0.2e0 + it * 0.1e0")} AS period_peak_s,
+    {_gone("4e0 + iy * 0.2e0")} AS period_mean_s, {_gone("0.02e0 * ix")} AS current_u_ms, {_gone("0.01e0 * iy")} AS current_v_ms,
+    {_gone("sin(wave_to)")} AS wave_u, {_gone("cos(wave_to)")} AS wave_v,
+    3e0 - ix * 0.4e0 AS wind_u_ms, 1e0 + iy * 0.3e0 - it * 0.5e0 AS wind_v_ms FROM line)"""

@@ -164,14 +164,14 @@ def motion_index(spark, d):
 _SLAM = f"({ENC} > 140e0 AND hs_m > 1.8e0 AND {V} > 5e0)"
 
 
-@query("WITH " + P.TELEMETRY + f""", w AS (SELECT event_id, active_engines, {SHARE} / 1350e0 AS ld, {_SLAM.replace('5e0', '6.69e0')} AS slam FROM tele)
-  SELECT event_id, slam, ld > 0.85e0 AS overload, round(pow(greatest(ld, 0e0), 3) * 1.2e0 + CASE WHEN active_engines = 1 THEN 0.15e0 ELSE 0e0 END, 4) AS base_rate FROM w""")
+@query("WITH " + P.TELEMETRY + f""", w AS (SELECT event_id, active_engines, hs_m, {V} AS v, {SHARE} / 1350e0 AS ld, {_SLAM.replace('5e0', '6.69e0')} AS slam FROM tele)
+  SELECT event_id, slam, ld > 0.85e0 AS overload, round(pow(greatest(ld, 0e0), 3) * 1.2e0 + CASE WHEN slam THEN 3e0 * (hs_m - 1.8e0) * (v - 6.69e0) ELSE 0e0 END
+    + CASE WHEN active_engines = 1 THEN 0.15e0 ELSE 0e0 END, 4) AS rate FROM w""")
 def wear_flags(spark, d):
     rows = _half(spark, d).withColumn("p", _power(_half(spark, d)))
     rows = rows.withColumn("ld", F.array_max(twin.engine_loads(C("p"), C("active_engines"), SHIP)))
     w = twin.wear(C("v"), C("hs_m"), C("wave_from_deg"), C("heading_deg"), C("ld"), C("active_engines"), SHIP)
-    hit = F.when(w["slam"], 3.0 * (C("hs_m") - 1.8) * (C("v") - 6.69)).otherwise(0.0)
-    return rows.select("event_id", w["slam"].alias("slam"), w["overload"].alias("overload"), r4(w["rate"] - hit).alias("base_rate"))
+    return rows.select("event_id", w["slam"].alias("slam"), w["overload"].alias("overload"), r4(w["rate"]).alias("rate"))
 
 
 @query("""WITH s AS (SELECT event_id, CAST(event_id % 101 AS DOUBLE) AS pace, CAST((event_id * 7) % 101 AS DOUBLE) AS comfort FROM events)
@@ -252,21 +252,23 @@ def _axes() -> interp.Axes:
 _CELL = P.TELEMETRY + ", " + P.GRID + """, pos AS (SELECT event_id, greatest(0e0, least(7.999e0, (lat_deg - 41e0) / 0.3e0)) AS fy, greatest(0e0, least(9.999e0, (lon_deg - 7e0) / 0.3e0)) AS fx,
     greatest(0e0, least(2.999e0, (event_id % 24) / 6e0)) AS ft FROM tele),
   cell AS (SELECT *, CAST(floor(fy) AS INTEGER) AS y0, CAST(floor(fx) AS INTEGER) AS x0, CAST(floor(ft) AS INTEGER) AS t0 FROM pos),
-  corner AS (SELECT c.event_id, g.it - c.t0 AS k, ft - t0 AS wt, g.hs_m, g.wind_u_ms, (g.ix - x0) * 2 + g.iy - y0 AS ord,
+  corner AS (SELECT c.event_id, g.it - c.t0 AS k, ft - t0 AS wt, g.* EXCLUDE (it, iy, ix, lat_deg, lon_deg, t_h), (g.ix - x0) * 2 + g.iy - y0 AS ord,
       (CASE WHEN g.iy = y0 THEN 1e0 - (fy - y0) ELSE fy - y0 END) * (CASE WHEN g.ix = x0 THEN 1e0 - (fx - x0) ELSE fx - x0 END) AS w
     FROM cell c JOIN grid g ON g.it IN (c.t0, c.t0 + 1) AND g.iy IN (y0, y0 + 1) AND g.ix IN (x0, x0 + 1)),
-  flat AS (SELECT event_id, k, any_value(wt) AS wt, sum(wind_u_ms * w) AS wind, sum(CASE WHEN isnan(hs_m) THEN 0e0 ELSE hs_m * w END) AS num,
-      sum(CASE WHEN isnan(hs_m) THEN 0e0 ELSE w END) AS den,
-      arg_min(hs_m, ord) FILTER (NOT isnan(hs_m)) AS fst FROM corner GROUP BY event_id, k)"""
+  flat AS (SELECT event_id, k, any_value(wt) AS wt, """ + ", ".join(f"sum({f} * w) AS {f}" for f in interp.PLAIN) + ", " + ", ".join(
+    f"""CASE WHEN sum(CASE WHEN isnan({f}) THEN 0e0 ELSE w END) > 1e-12 THEN sum(CASE WHEN isnan({f}) THEN 0e0 ELSE {f} * w END) / sum(CASE WHEN isnan({f}) THEN 0e0 ELSE w END)
+      ELSE arg_min({f}, ord) FILTER (NOT isnan({f})) END AS {f}""" for f in interp.MASKED) + """ FROM corner GROUP BY event_id, k),
+  met AS (SELECT event_id, """ + ", ".join(f"sum({f} * CASE WHEN k = 0 THEN 1e0 - wt ELSE wt END) AS {f}" for f in [*interp.MASKED, *interp.PLAIN]) + """ FROM flat GROUP BY event_id)"""
 
+SAMPLED = [f for f in [*interp.MASKED, *interp.PLAIN] if f not in ("wave_u", "wave_v")]
 
-@query("WITH " + _CELL + """ SELECT event_id, round(sum(wind * CASE WHEN k = 0 THEN 1e0 - wt ELSE wt END), 4) + 0e0 AS wind_u_ms,
-  round(sum(CASE WHEN den > 1e-12 THEN num / den ELSE fst END * CASE WHEN k = 0 THEN 1e0 - wt ELSE wt END), 4) AS hs_m FROM flat GROUP BY event_id""")
+
+@query("WITH " + _CELL + " SELECT event_id, " + ", ".join(f"round({f}, 4) + 0e0 AS {f}" for f in SAMPLED) + ", round(" + mod360("degrees(atan2(wave_u, wave_v)) + 180e0") + ", 3) AS wave_from_deg FROM met")
 def weather_sample(spark, d):
     table = interp.cells(interp.wave_vectors(P.grid(spark)), [*interp.MASKED, *interp.PLAIN], _axes())
     rows = P.telemetry(spark, d).select("event_id", "lat_deg", "lon_deg", ((C("event_id") % 24) * 1.0).alias("t_h"))
     found = interp.sample(rows, table, _axes())
-    return found.select("event_id", r4("wind_u_ms").alias("wind_u_ms"), r4(units.null_if_nan(C("hs_m"))).alias("hs_m"))
+    return found.select("event_id", *[r4(units.null_if_nan(C(f))).alias(f) for f in SAMPLED], F.round(units.null_if_nan(C("wave_from_deg")), 3).alias("wave_from_deg"))
 
 
 @query("WITH " + P.TELEMETRY + ", " + P.GRID + """, pos AS (SELECT event_id, CAST(least(8e0, round_even(greatest(0e0, least(7.999e0, (lat_deg - 41e0) / 0.3e0)), 0)) AS INTEGER) AS y,
