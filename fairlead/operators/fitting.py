@@ -83,6 +83,11 @@ def holdout_groups(segments: DataFrame, by: str, fraction: float = 0.2, seed: in
     return segments.join(chosen, by, "left").withColumn("is_holdout", F.coalesce("_held", F.lit(False))).drop("_held")
 
 
+def engine_configurations(segments: DataFrame, by: list[str] = ()) -> DataFrame:
+    """active_engines and n_segments of every engine count that the segments hold."""
+    return segments.groupBy(*by, "active_engines").agg(F.count("*").alias("n_segments"))
+
+
 def _powers(pdf: pd.DataFrame, calm: dict[str, float], added: dict[str, float], ship: dict) -> np.ndarray:
     hull, v = ship["hull"], pdf["mean_stw_ms"].to_numpy()
     froude = v / np.sqrt(twin.GRAVITY * hull["length_wl_m"]) / ship["calm_resistance"]["hull_speed_froude"]

@@ -52,3 +52,9 @@ def steady_segments(samples: DataFrame, by: list[str], tie: str, limits: Limits
         circular_mean(F.col("wave_from_deg")).alias("mean_wave_from_deg"), F.count("*").alias("n_samples"))
     return found.withColumn("duration_h", (F.col("t_end_s") - F.col("t_start_s")) / 3600.0).where(
         F.col("t_end_s") - F.col("t_start_s") >= limits.min_duration_s)
+
+
+def relative_hours(samples: DataFrame, by: list[str], t: str = "t_s") -> DataFrame:
+    """``samples`` with t_h, the hours since the first sample of their group."""
+    first = F.min(t).over(Window.partitionBy(*by))
+    return samples.withColumn("t_h", (F.col(t) - first) / 3600.0)

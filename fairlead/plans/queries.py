@@ -12,6 +12,7 @@ from fairlead.functions import clock, fields, geo, mission, n2k, twin, units
 from fairlead.functions import grid as g
 from fairlead.operators import fitting, imports, interp, lattice, legs, ranking, search, segments, spatial, tracks
 from fairlead.plans import projection as P
+from fairlead.sources import geography
 from fairlead.sources import telemetry as store
 from fairlead.sources.specs import Vessel
 from fairlead.streaming import capture
@@ -731,3 +732,19 @@ def speed_envelope(spark, d):
     top = n.withColumn("ceiling_kn", twin.fastest_continuous(C("engines"), SHIP))
     speeds = top.withColumn("s", F.explode(twin.speed_grid(C("ceiling_kn"))))
     return speeds.select("engines", F.round("ceiling_kn", 6).alias("ceiling_kn"), F.round("s", 6).alias("speed_kn"))
+
+
+@query("WITH " + P.TELEMETRY + " SELECT event_id, round((t_s - min(t_s) OVER (PARTITION BY vessel_id)) / 3600e0, 4) + 0e0 AS t_h FROM tele")
+def relative_hours(spark, d):
+    return segments.relative_hours(P.telemetry(spark, d), ["vessel_id"]).select("event_id", r4("t_h").alias("t_h"))
+
+
+@query("WITH " + RUNS + " SELECT vessel_id, active_engines, count(*) AS n_segments FROM seg GROUP BY ALL")
+def engine_configurations(spark, d):
+    return fitting.engine_configurations(_segments(spark, d), ["vessel_id"])
+
+
+@query("WITH " + P.TELEMETRY + " SELECT event_id FROM tele WHERE lat_deg BETWEEN 41e0 - 0.15e0 AND 41e0 + 5e0 * 0.3e0 + 0.15e0 AND lon_deg BETWEEN 7e0 - 0.15e0 AND 7e0 + 6e0 * 0.3e0 + 0.15e0")
+def in_bounds(spark, d):
+    axes = interp.Axes((41.0, 0.3, 6), (7.0, 0.3, 7))
+    return P.telemetry(spark, d).where(geography.in_bounds(C("lat_deg"), C("lon_deg"), axes)).select("event_id")
