@@ -250,8 +250,10 @@ def _axes() -> interp.Axes:
     return interp.Axes(P.GRID_LAT, P.GRID_LON, P.GRID_T)
 
 
-_CELL = P.TELEMETRY + ", " + P.GRID + """, pos AS (SELECT event_id, greatest(0e0, least(7.999e0, (lat_deg - 41e0) / 0.3e0)) AS fy, greatest(0e0, least(9.999e0, (lon_deg - 7e0) / 0.3e0)) AS fx,
-    greatest(0e0, least(2.999e0, (event_id % 24) / 6e0)) AS ft FROM tele),
+def _cell_sql(points: str) -> str:
+    """What ``met`` reads: the fields at the rows (event_id, lat_deg, lon_deg, t_h) of the table ``points``."""
+    return ", " + P.GRID + f""", pos AS (SELECT event_id, greatest(0e0, least(7.999e0, (lat_deg - 41e0) / 0.3e0)) AS fy, greatest(0e0, least(9.999e0, (lon_deg - 7e0) / 0.3e0)) AS fx,
+    greatest(0e0, least(2.999e0, t_h / 6e0)) AS ft FROM {points}),""" + """
   cell AS (SELECT *, CAST(floor(fy) AS INTEGER) AS y0, CAST(floor(fx) AS INTEGER) AS x0, CAST(floor(ft) AS INTEGER) AS t0 FROM pos),
   corner AS (SELECT c.event_id, g.it - c.t0 AS k, ft - t0 AS wt, g.* EXCLUDE (it, iy, ix, lat_deg, lon_deg, t_h), (g.ix - x0) * 2 + g.iy - y0 AS ord,
       (CASE WHEN g.iy = y0 THEN 1e0 - (fy - y0) ELSE fy - y0 END) * (CASE WHEN g.ix = x0 THEN 1e0 - (fx - x0) ELSE fx - x0 END) AS w
@@ -261,6 +263,8 @@ _CELL = P.TELEMETRY + ", " + P.GRID + """, pos AS (SELECT event_id, greatest(0e0
       ELSE arg_min({f}, ord) FILTER (NOT isnan({f})) END AS {f}""" for f in interp.MASKED) + """ FROM corner GROUP BY event_id, k),
   met AS (SELECT event_id, """ + ", ".join(f"sum({f} * CASE WHEN k = 0 THEN 1e0 - wt ELSE wt END) AS {f}" for f in [*interp.MASKED, *interp.PLAIN]) + """ FROM flat GROUP BY event_id)"""
 
+_CELL = P.TELEMETRY + ", timed AS (SELECT event_id, lat_deg, lon_deg, CAST(event_id % 24 AS DOUBLE) AS t_h FROM tele)" + _cell_sql("timed")
+
 SAMPLED = [f for f in [*interp.MASKED, *interp.PLAIN] if f not in ("wave_u", "wave_v")]
 
 
@@ -281,10 +285,14 @@ def grid_nearest(spark, d):
     return rows.join(P.grid(spark).where("it = 0"), ["iy", "ix"]).select("event_id", r4("wind_u_ms").alias("wind_u_ms"))
 
 
-@query()
+@query("WITH raster AS (SELECT y * 100 + x AS event_id, 41.2e0 + y * 2e0 / 29e0 AS lat_deg, 7.2e0 + x * 2.6e0 / 31e0 AS lon_deg, 7e0 AS t_h FROM range(30) a(y), range(32) b(x))"
+       + _cell_sql("raster") + " SELECT CAST(event_id // 100 AS INTEGER) AS iy, CAST(event_id % 100 AS INTEGER) AS ix, round(lat_deg, 6) AS lat_deg, round(hs_m, 4) AS hs_m, round("
+       + mod360("degrees(atan2(wave_u, wave_v)) + 180e0") + ", 3) AS wave_from_deg FROM met JOIN raster USING (event_id)")
 def weather_field_downsample(spark, d):
     table = interp.cells(interp.wave_vectors(P.grid(spark)), [*interp.MASKED, *interp.PLAIN], _axes())
-    return interp.display_field(spark, table, _axes(), (7.2, 41.2, 9.8, 43.2), 7.4)
+    found = interp.display_field(spark, table, _axes(), (7.2, 41.2, 9.8, 43.2), 7.4)
+    cells = found.select("iy", F.round("lat_deg", 6).alias("lat_deg"), F.posexplode(F.arrays_zip("hs_m", "wave_from_deg")).alias("ix", "v"))
+    return cells.select("iy", "ix", "lat_deg", F.round("v.hs_m", 4).alias("hs_m"), F.round("v.wave_from_deg", 3).alias("wave_from_deg"))
 
 
 def _ring_sql(lat: str, lon: str, ring: list[tuple[float, float]]) -> str:
