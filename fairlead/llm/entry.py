@@ -86,5 +86,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The other operators train, pack, hash or route in ways that SQL has no words for; tests hold them to brute force."""
+    """The other operators train, pack, hash or route in ways that SQL has no words for; tests hold them to brute force, round
+    trips or held-out accuracy."""
     return dict(SQL)
