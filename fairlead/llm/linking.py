@@ -109,7 +109,7 @@ def _finer(rows: DataFrame, members: DataFrame, extra: list[str], close: Column
     pairs, more = _across(sized.where(F.col("n") <= large), extra, close), sized.where(F.col("n") > large)
     if not more.head(1):
         return pairs
-    second = members.select("id", F.col("key").alias("second"))
+    second = more.select("id", F.col("key").alias("second"))  # a pair with a small key in common is listed already
     longer = more.join(second, "id").where(~F.array_contains("chain", F.col("second")))
     longer = longer.withColumn("chain", F.array_sort(F.concat("chain", F.array("second")))).withColumn("key", F.xxhash64("chain"))
     longer = longer.select("key", "id", "root", "chain", *extra).dropDuplicates(["key", "id"])

@@ -109,7 +109,10 @@ def prefix_pairs(ids: DataFrame, sets: DataFrame, percent: int = 75) -> DataFram
     only_x = reduce(add, (F.bit_count(a.bitwiseAND(F.bitwise_not(b))) for a, b in zip(xb, yb, strict=True)))
     only_y = reduce(add, (F.bit_count(b.bitwiseAND(F.bitwise_not(a))) for a, b in zip(xb, yb, strict=True)))
     on &= (100 + p) * F.least(F.col("x.n") - only_x, F.col("y.n") - only_y) >= p * (F.col("x.n") + F.col("y.n"))
-    return x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    found = stage(x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "pairs")
+    drop(cells)
+    drop(early)
+    return found
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
