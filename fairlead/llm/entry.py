@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fairlead.llm.fuzzylines import dedup_lines
 from fairlead.llm.media import media_documents
+from fairlead.llm.merkle import merkle_documents
 from fairlead.llm.minhash import near_duplicates
 from fairlead.llm.mixing import mix_documents
 from fairlead.llm.oracle import SQL
@@ -15,7 +16,9 @@ from fairlead.llm.packing import pack_documents
 from fairlead.llm.paragraphs import repeated_paragraphs
 from fairlead.llm.quality import judge
 from fairlead.llm.quotes import link_conversations
+from fairlead.llm.tokenfiles import token_documents
 from fairlead.llm.toxicity import score_documents
+from fairlead.llm.variants import spelling_variants
 from fairlead.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,10 +28,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer() -> str:
+def _tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +74,18 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_paragraphs(_table(spark, sf_dir, "documents"))
 
 
+def op11_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +95,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = [
         op1_media_chunks, op2_quote_linking, op3_best_fit_packing, op4_toxicity, op5_minhash_near_dedup, op6_quality_rules,
-        op7_fuzzy_line_dedup, op8_warc, op9_source_mixing, op10_paragraph_dedup, pipeline,
+        op7_fuzzy_line_dedup, op8_warc, op9_source_mixing, op10_paragraph_dedup, op11_wavelet_tokens,
+        op12_merkle_manifest, op13_spelling_variants, pipeline,
     ]
     return {f.__name__: f for f in found}
 

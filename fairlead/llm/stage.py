@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, NumericType, StringType
@@ -35,6 +36,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path or URI and the path within it, for tasks that read or write files of their own format."""
+    return pyarrow.fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else "file://" + path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark, schema = df.sparkSession, df.schema
