@@ -46,7 +46,8 @@ def sample(points: DataFrame, table: DataFrame, axes: Axes, lat: str = "lat_deg"
            masked: list[str] = MASKED, plain: list[str] = PLAIN) -> DataFrame:
     """``points`` with the fields of ``table`` (from ``cells``) at their place and time; points outside take the edge.
 
-    Two equi-joins with the cell table, one for each time; a value missing at either time is missing.
+    Two equi-joins with the cell table, one for each time, or one if the grid has a single time; a value missing at
+    either time is missing.
     """
     t0, step, nt = axes.hours
     placed = points.withColumns({
@@ -55,8 +56,8 @@ def sample(points: DataFrame, table: DataFrame, axes: Axes, lat: str = "lat_deg"
         "_iy": F.floor("_fy").cast("int"), "_ix": F.floor("_fx").cast("int"), "_t0": F.floor("_ft").cast("int")})
     placed = placed.withColumn("_t1", F.least(F.col("_t0") + 1, F.lit(nt - 1)))
     at = weights(F.col("_fy"), F.col("_fx"))
-    out = placed
-    for k in ("0", "1"):
+    out, times = placed, ("0", "1") if nt > 1 else ("0",)
+    for k in times:
         own = table.select(
             F.col("it").alias(f"_it{k}"), F.col("iy").alias(f"_iy{k}"), F.col("ix").alias(f"_ix{k}"),
             *[F.col(f"{f}_{c}").alias(f"_{f}_{c}_{k}") for f in [*masked, *plain] for c in CORNERS])
@@ -64,9 +65,11 @@ def sample(points: DataFrame, table: DataFrame, axes: Axes, lat: str = "lat_deg"
 
     def value(f: str) -> Column:
         both = []
-        for k in ("0", "1"):
+        for k in times:
             corner = {c: F.col(f"_{f}_{c}_{k}") for c in CORNERS}
             both.append((bilinear_masked if f in masked else bilinear)(corner, at))
+        if nt == 1:
+            return both[0]
         w = F.col("_ft") - F.col("_t0")
         return both[0] * (1.0 - w) + both[1] * w
 

@@ -45,9 +45,9 @@ def edge_limits(edges: DataFrame, waters: Waters, least_depth: float, exempt: li
     free = F.lit(False)
     for a, b in exempt:
         free = free | (distance_nm(lat, lon, F.lit(float(a)), F.lit(float(b)), waters.ref_lat) <= EXEMPT_NM)
-    return spots.groupBy(*ends).agg(
-        F.bool_and(waters.is_navigable(lat, lon)).alias("navigable"),
-        F.bool_and(free | (waters.depth_m(lat, lon) >= least_depth)).alias("depth_ok"))
+    known = waters.described(spots.withColumn("_free", free), "_lat", "_lon")
+    return known.groupBy(*ends).agg(
+        F.bool_and("is_navigable").alias("navigable"), F.bool_and(F.col("_free") | (F.col("depth_m") >= least_depth)).alias("depth_ok"))
 
 
 def evaluate(rows: DataFrame, weather: Weather, ship: Vessel, ref_lat: float = 42.3) -> DataFrame:

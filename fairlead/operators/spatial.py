@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,11 @@ class Waters:
     def depth_m(self, lat: Column, lon: Column) -> Column:
         return geo.shelf_depth_m(lat, lon, geo.land_distance_nm(lat, lon, self.land, self.ref_lat))
 
+    def described(self, points: DataFrame, lat: str = "lat_deg", lon: str = "lon_deg", depth: bool = True) -> DataFrame:
+        """``points`` with is_navigable and, if asked for, depth_m; waters kept as tables (``sources.geography.Chart``) have the same."""
+        at = F.col(lat), F.col(lon)
+        return points.withColumns({"is_navigable": self.is_navigable(*at), **({"depth_m": self.depth_m(*at)} if depth else {})})
+
 
 def edge_table(spark: SparkSession, rings: dict[int, geo.Ring]) -> DataFrame:
     """ring, yi, xi, yj, xj: the edges of every ring."""
@@ -47,18 +53,46 @@ def tiles(lat: Column, lon: Column) -> dict[str, Column]:
     return {"_ty": F.floor(lat / TILE).cast("int"), "_tx": F.floor(lon / TILE).cast("int")}
 
 
-def rings_at(points: DataFrame, edges: DataFrame, key: str = "point_id") -> DataFrame:
-    """``points(<key>, lat_deg, lon_deg)`` and ``edges`` from ``edge_table`` -> (key, ring) of every ring that holds a point.
+def strips(edges: DataFrame) -> DataFrame:
+    """``edges(ring, yi, xi, yj, xj)`` -> ring, height, strip, yi, xi, yj, xj: each edge in every strip of latitude that it reaches.
 
-    For coastlines too large for an expression: points meet a ring only in the tiles of its box, an equi-join, and
-    the crossings of its edges are counted for each point and ring.
+    A ring's strips are twice as high as its edges are on average, so there are at most three rows an edge or so, and
+    a point meets about as many edges as its parallel crosses, however long the ring is.  Level edges are crossed by no parallel.
     """
-    box = edges.groupBy("ring").agg(*[f(c).alias(n) for n, f, c in (("s", F.min, "yi"), ("n", F.max, "yi"), ("w", F.min, "xi"), ("e", F.max, "xi"))])
+    rise = F.abs(F.col("yi") - F.col("yj"))
+    heights = edges.groupBy("ring").agg(F.greatest(2.0 * F.avg(rise), (F.max("yi") - F.min("yi")) / 1e6, F.lit(1e-9)).alias("height"))
+    tall = edges.where("yi <> yj").join(heights, "ring")
+    at = lambda pick: F.floor(pick("yi", "yj") / F.col("height"))
+    return tall.withColumn("strip", F.explode(F.sequence(at(F.least), at(F.greatest))))
+
+
+def ring_tiles(edges: DataFrame) -> DataFrame:
+    """ring, height, _ty, _tx: the tiles that the box of each ring of ``strips`` reaches."""
+    box = edges.groupBy("ring", "height").agg(*[f(c1, c2).alias(n) for n, f, c1, c2 in (
+        ("s", lambda a, b: F.min(F.least(a, b)), "yi", "yj"), ("n", lambda a, b: F.max(F.greatest(a, b)), "yi", "yj"),
+        ("w", lambda a, b: F.min(F.least(a, b)), "xi", "xj"), ("e", lambda a, b: F.max(F.greatest(a, b)), "xi", "xj"))])
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / TILE).cast("int"), F.floor(F.col(b) / TILE).cast("int")))
-    near = box.withColumn("_ty", span("s", "n")).withColumn("_tx", span("w", "e")).select("ring", "_ty", "_tx")
-    placed = points.select(key, "lat_deg", "lon_deg").withColumns(tiles(F.col("lat_deg"), F.col("lon_deg"))).join(near, ["_ty", "_tx"])
-    met = placed.join(edges, "ring").where(F.coalesce(geo.crosses(F.col("lat_deg"), F.col("lon_deg"), F.struct("yi", "xi", "yj", "xj")), F.lit(False)))
-    return met.groupBy(key, "ring").agg(F.count("*").alias("n")).where("n % 2 = 1").select(key, "ring")
+    return box.withColumn("_ty", span("s", "n")).withColumn("_tx", span("w", "e")).select("ring", "height", "_ty", "_tx")
+
+
+def rings_at(points: DataFrame, edges: DataFrame, key: str | list[str] = "point_id") -> DataFrame:
+    """``points(<key>, lat_deg, lon_deg)`` and ``edges`` from ``edge_table`` -> (key, ring) of every ring that holds a point."""
+    cut_up = strips(edges)
+    return rings_by_strip(points, cut_up, ring_tiles(cut_up), key)
+
+
+def rings_by_strip(points: DataFrame, cut_up: DataFrame, near: DataFrame, key: str | list[str] = "point_id") -> DataFrame:
+    """As ``rings_at``, for coastlines too large for an expression: ``cut_up`` is from ``strips`` and ``near`` from ``ring_tiles``.
+
+    Points meet a ring only in the tiles of its box, and of its edges those in their own strip of latitude, two
+    equi-joins; the crossings are counted for each point and ring.
+    """
+    key = [key] if isinstance(key, str) else key
+    at = {"_lat": F.col("lat_deg"), "_lon": F.col("lon_deg")}
+    placed = points.select(*key, *[c.alias(k) for k, c in at.items()]).withColumns(tiles(F.col("_lat"), F.col("_lon"))).join(near, ["_ty", "_tx"])
+    placed = placed.withColumn("strip", F.floor(F.col("_lat") / F.col("height"))).drop("height", "_ty", "_tx")
+    met = placed.join(cut_up, ["ring", "strip"]).where(F.coalesce(geo.crosses(F.col("_lat"), F.col("_lon"), F.struct("yi", "xi", "yj", "xj")), F.lit(False)))
+    return met.groupBy(*key, "ring").agg(F.count("*").alias("n")).where("n % 2 = 1").select(*key, "ring")
 
 
 def rasterise(grid: DataFrame, waters: Waters) -> DataFrame:
@@ -93,7 +127,7 @@ def fill_sources(grid: DataFrame, water: DataFrame, value: str, ref_lat: float,
         F.first("lat_deg").alias("lat_deg"), F.first("lon_deg").alias("lon_deg"),
         F.bool_or((F.col("it") == 0) & ~F.isnan(value)).alias("valid"), F.bool_and(F.isnan(value)).alias("empty"))
     size = most_nm / 60.0
-    wide = size / 0.5  # degrees of longitude that surely hold the radius up to 60 degrees north
+    wide = size / max(math.cos(math.radians(ref_lat)), 1e-3)  # as the distance shrinks longitudes by the reference latitude's cosine
     valid = state.where("valid").select(F.col("iy").alias("jy"), F.col("ix").alias("jx"), F.col("lat_deg").alias("jlat"), F.col("lon_deg").alias("jlon"),
                                         F.floor(F.col("lat_deg") / size).alias("_ty"), F.floor(F.col("lon_deg") / wide).alias("_tx"))
     need = state.where("empty and not valid").join(water.where(F.col("water") >= least_water).select("iy", "ix"), ["iy", "ix"])

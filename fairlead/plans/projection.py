@@ -85,3 +85,38 @@ grid AS (SELECT it, iy, ix, 41e0 + iy * 0.3e0 AS lat_deg, 7e0 + ix * 0.3e0 AS lo
     {_gone("4e0 + iy * 0.2e0")} AS period_mean_s, {_gone("0.02e0 * ix")} AS current_u_ms, {_gone("0.01e0 * iy")} AS current_v_ms,
     {_gone("sin(wave_to)")} AS wave_u, {_gone("cos(wave_to)")} AS wave_v,
     3e0 - ix * 0.4e0 AS wind_u_ms, 1e0 + iy * 0.3e0 - it * 0.5e0 AS wind_v_ms FROM line)"""
+
+#: Rings of up to this many vertices, each from as many customers with keys in a row.
+RING_POINTS = 60
+
+VERTICES = f"""vertex AS (
+  SELECT c_custkey // {RING_POINTS} AS ring, c_custkey % {RING_POINTS} AS k,
+    41.2e0 + (c_custkey // {RING_POINTS} % 5) * 0.5e0 + (0.1e0 + (c_custkey * 7919 % 200) / 1000e0) * sin(c_custkey % {RING_POINTS} * 2e0 * pi() / {RING_POINTS}) AS lat,
+    7.3e0 + (c_custkey // {5 * RING_POINTS} % 5) * 0.6e0 + (0.1e0 + (c_custkey * 7919 % 200) / 1000e0) * cos(c_custkey % {RING_POINTS} * 2e0 * pi() / {RING_POINTS}) AS lon
+  FROM customer),
+  ring_edge AS (SELECT ring, lat AS yi, lon AS xi, coalesce(lag(lat) OVER w, last_value(lat) OVER f) AS yj, coalesce(lag(lon) OVER w, last_value(lon) OVER f) AS xj FROM vertex
+    WINDOW w AS (PARTITION BY ring ORDER BY k), f AS (PARTITION BY ring ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) QUALIFY count(*) OVER f > 2)"""
+
+
+def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ring, points: star-shaped rings from the customers."""
+    k = F.col("c_custkey")
+    turn, reach = (k % RING_POINTS) * 2.0 * F.pi() / RING_POINTS, 0.1 + (k * 7919 % 200) / 1000.0
+    ring = F.floor(k / RING_POINTS)
+    lat = 41.2 + (ring % 5) * 0.5 + reach * F.sin(turn)
+    lon = 7.3 + (F.floor(k / (5 * RING_POINTS)) % 5) * 0.6 + reach * F.cos(turn)
+    rows = table(spark, sf_dir, "customer").select(ring.alias("ring"), F.struct((k % RING_POINTS).alias("k"), lat.alias("lat"), lon.alias("lon")).alias("v"))
+    whole = rows.groupBy("ring").agg(F.array_sort(F.collect_list("v")).alias("v"))  # RING_POINTS at most
+    return whole.select("ring", F.transform("v", lambda v: F.struct(v["lat"].alias("lat"), v["lon"].alias("lon"))).alias("points"))
+
+
+#: A grid of depths around them: its lines of latitude and longitude, and its heights.
+DEPTH_LAT, DEPTH_LON = (40.5, 0.25, 17), (6.5, 0.25, 19)
+DEPTHS = "depth AS (SELECT y.i AS iy, x.i AS ix, CAST((y.i * 13 + x.i * 29) % 40 AS DOUBLE) - 30e0 AS elevation FROM range(17) y(i), range(19) x(i))"
+
+
+def depths(spark: SparkSession) -> DataFrame:
+    from fairlead.operators.interp import target_grid
+
+    grid = target_grid(spark, DEPTH_LAT, DEPTH_LON, [0.0]).select("iy", "ix")
+    return grid.withColumns({"elevation_m": ((F.col("iy") * 13 + F.col("ix") * 29) % 40).cast("double") - 30.0, "is_land": F.lit(None).cast("boolean")})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fairlead.functions import clock, fields, geo, mission, n2k, twin, units
 from fairlead.functions import grid as g
-from fairlead.operators import fitting, imports, interp, lattice, legs, ranking, search, segments, spatial, tracks
+from fairlead.operators import clipping, fitting, imports, interp, lattice, legs, ranking, search, segments, spatial, tracks
 from fairlead.plans import projection as P
 from fairlead.sources import geography
 from fairlead.sources import telemetry as store
@@ -756,3 +756,79 @@ def engine_configurations(spark, d):
 def in_bounds(spark, d):
     axes = interp.Axes((41.0, 0.3, 6), (7.0, 0.3, 7))
     return P.telemetry(spark, d).where(geography.in_bounds(C("lat_deg"), C("lon_deg"), axes)).select("event_id")
+
+
+def _odd(points: str, source: str, by: str, lat: str = "lat_deg", lon: str = "lon_deg") -> str:
+    """SQL: ``by`` of the rows of ``points`` that a ring of ``source`` holds, once for each ring."""
+    return f"""(SELECT {by}, ring FROM {points}, {source} WHERE (yi > {lat}) <> (yj > {lat}) AND {lon} < (xj - xi) * ({lat} - yi) / (yj - yi) + xi GROUP BY ALL HAVING count(*) % 2 = 1)"""
+
+
+@query("WITH " + P.TELEMETRY + ", " + P.VERTICES + " SELECT event_id, ring FROM " + _odd("tele", "ring_edge", "event_id"))
+def rings_by_strips(spark, d):
+    """Whole telemetry against rings whose number grows with the customers."""
+    edges = clipping.ring_edges(P.rings(spark, d))
+    return spatial.rings_at(P.telemetry(spark, d), edges, "event_id")
+
+
+_CLIP = (7.4, 41.3, 9.2, 42.9)
+
+
+def _clip_sql(n: int, axis: str, limit: float, keep: str) -> str:
+    """One pass over v{n}(ring, k, lat, lon): the kept points, and one wherever a ring crosses the limit."""
+    other = "lat" if axis == "lon" else "lon"
+    made = {axis: f"{limit}e0", other: f"p_{other} + ({other} - p_{other}) * (({limit}e0 - p_{axis}) / ({axis} - p_{axis}))"}
+    return f""", b{n} AS (SELECT *, coalesce(lag(lat) OVER w, last_value(lat) OVER f) AS p_lat, coalesce(lag(lon) OVER w, last_value(lon) OVER f) AS p_lon FROM v{n}
+    WINDOW w AS (PARTITION BY ring ORDER BY k), f AS (PARTITION BY ring ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+  v{n + 1} AS (SELECT ring, 2 * k AS k, {made["lat"]} AS lat, {made["lon"]} AS lon FROM b{n} WHERE ({axis} {keep} {limit}e0) <> (p_{axis} {keep} {limit}e0)
+    UNION ALL SELECT ring, 2 * k + 1, lat, lon FROM b{n} WHERE {axis} {keep} {limit}e0)"""
+
+
+@query("WITH " + P.VERTICES + ", v0 AS (SELECT ring, k, lat, lon FROM vertex)" + _clip_sql(0, "lon", _CLIP[0], ">=") + _clip_sql(1, "lon", _CLIP[2], "<=")
+       + _clip_sql(2, "lat", _CLIP[1], ">=") + _clip_sql(3, "lat", _CLIP[3], "<=") + """,
+  e AS (SELECT *, coalesce(lag(lat) OVER w, last_value(lat) OVER f) AS p_lat, coalesce(lag(lon) OVER w, last_value(lon) OVER f) AS p_lon FROM v4
+    WINDOW w AS (PARTITION BY ring ORDER BY k), f AS (PARTITION BY ring ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+  SELECT ring, CAST(count(*) AS INTEGER) AS n_points, round(abs(sum(p_lon * lat - lon * p_lat)) / 2e0, 6) AS area FROM e WHERE ring IN (SELECT ring FROM ring_edge)
+  GROUP BY ring HAVING abs(sum(p_lon * lat - lon * p_lat)) > 0e0""")
+def clipped_rings(spark, d):
+    kept = clipping.clip_rings(P.rings(spark, d), _CLIP)
+    return kept.select("ring", F.size("points").alias("n_points"), F.round(clipping.ring_area(C("points")), 6).alias("area"))
+
+
+def _chart(spark: SparkSession, d: str) -> geography.Chart:
+    """Land from the customers, the boxes as zones, and a depth grid without a land raster."""
+    land = clipping.ring_edges(P.rings(spark, d).withColumn("kind", F.lit("land")), "kind")
+    corners = {-1 - i: [(s, w), (s, e), (n, e), (n, w)] for i, (w, s, e, n) in enumerate(P.BOXES)}
+    zones = spatial.edge_table(spark, corners).withColumns({"kind": F.lit("zone"), "ring": C("ring").cast("long")})
+    return geography.Chart.of(land.unionByName(zones), P.depths(spark), interp.Axes(P.DEPTH_LAT, P.DEPTH_LON), False)
+
+
+def _depth_sql(lat: str, lon: str, source: str, by: str) -> str:
+    """SQL: ``by`` and depth_m, interpolated between the grid's lines, of the rows of ``source``."""
+    fy, fx = (f"(({x} - {first}e0) / {step}e0)" for x, (first, step, _) in ((lat, P.DEPTH_LAT), (lon, P.DEPTH_LON)))
+    return f"""(SELECT {by}, greatest(0e0, -sum(elevation * (1e0 - abs({fy} - iy)) * (1e0 - abs({fx} - ix)))) AS depth_m
+    FROM {source} JOIN depth ON iy BETWEEN CAST(floor({fy}) AS BIGINT) AND CAST(floor({fy}) AS BIGINT) + 1 AND ix BETWEEN CAST(floor({fx}) AS BIGINT) AND CAST(floor({fx}) AS BIGINT) + 1 GROUP BY {by})"""
+
+
+@query("WITH " + P.PLACES + ", " + P.VERTICES + ", " + P.DEPTHS + f""", land AS (SELECT DISTINCT place_id FROM {_odd("places", "ring_edge", "place_id")}),
+  d AS {_depth_sql("lat_deg", "lon_deg", "places", "place_id")}
+  SELECT place_id, l.place_id IS NOT NULL AS is_land, {_box_sql()} AS is_nogo, l.place_id IS NULL AND NOT {_box_sql()} AS is_navigable, round(depth_m, 4) + 0e0 AS depth_m
+  FROM places JOIN d USING (place_id) LEFT JOIN land l USING (place_id)""")
+def charted_places(spark, d):
+    rows = P.places(spark, d)
+    found = rows.join(_chart(spark, d).features(rows), ["lat_deg", "lon_deg"])
+    return found.select("place_id", "is_land", "is_nogo", "is_navigable", r4("depth_m").alias("depth_m"))
+
+
+@query("WITH " + _LEG + ", " + P.VERTICES + ", " + P.DEPTHS + f""", id AS (SELECT *, row_number() OVER () AS i FROM spot), land AS (SELECT DISTINCT i FROM {_odd("id", "ring_edge", "i", "lat", "lon")}),
+  d AS {_depth_sql("lat", "lon", "id", "i")}
+  SELECT place_id, bool_and(l.i IS NULL AND NOT {_box_sql("lat", "lon")}) AS navigable, bool_and(depth_m >= 5e0) AS depth_ok, count(*) AS n_points
+  FROM id JOIN d USING (i) LEFT JOIN land l USING (i) GROUP BY place_id""")
+def charted_legs(spark, d):
+    """Legs tested against waters that are tables: every leg of the supplier places."""
+    k = C("place_id")
+    rows = P.places(spark, d).select("place_id", C("lat_deg").alias("p_lat"), C("lon_deg").alias("p_lon"),
+                                     (C("lat_deg") + (k % 7 - 3) * 0.02).alias("q_lat"), (C("lon_deg") + (k % 5 - 2) * 0.03).alias("q_lon"))
+    nm = units.distance_nm(C("p_lat"), C("p_lon"), C("q_lat"), C("q_lon"), 42.3)
+    known = legs.edge_limits(rows, _chart(spark, d), 5.0)
+    return rows.join(known, ["p_lat", "p_lon", "q_lat", "q_lon"]).select(
+        "place_id", "navigable", "depth_ok", F.greatest(F.lit(1), F.ceil(nm / 0.25)).cast("long").alias("n_points"))

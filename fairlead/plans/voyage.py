@@ -36,13 +36,12 @@ class Request:
 def check_endpoints(spark: SparkSession, request: Request, waters: Waters) -> None:
     """ValueError for an end that is not navigable, or an anchorage whose depth is out of range."""
     rows = [("origin", *map(float, request.origin), request.origin_is_anchorage), ("destination", *map(float, request.destination), request.destination_is_anchorage)]
-    at = F.col("lat"), F.col("lon")
     ends = spark.createDataFrame(rows, "label string, lat double, lon double, anchorage boolean")
-    for r in ends.select("label", "anchorage", waters.is_navigable(*at).alias("ok"), waters.depth_m(*at).alias("depth")).collect():
-        if not r.ok:
+    for r in sorted(waters.described(ends, "lat", "lon").collect(), key=lambda r: r.label, reverse=True):  # two rows
+        if not r.is_navigable:
             raise ValueError(f"{r.label} is not navigable")
-        if r.anchorage and not ANCHORAGE_M[0] <= r.depth <= ANCHORAGE_M[1]:
-            raise ValueError(f"{r.label} is {r.depth:.1f} m deep, not within {ANCHORAGE_M} m")
+        if r.anchorage and not ANCHORAGE_M[0] <= r.depth_m <= ANCHORAGE_M[1]:
+            raise ValueError(f"{r.label} is {r.depth_m:.1f} m deep, not within {ANCHORAGE_M} m")
 
 
 def weights_of(pace: float, comfort: float, ship: Vessel) -> dict[str, Column]:

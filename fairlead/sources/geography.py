@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.functions import geo
 from fairlead.functions.grid import fraction, nearest_index
+from fairlead.operators.cut import cut
 from fairlead.operators.interp import Axes, cells, sample
-from fairlead.operators.spatial import rings_at
+from fairlead.operators.spatial import ring_tiles, rings_by_strip, strips
 
 _POINTS = "array<array<double>>"
 
@@ -78,24 +81,71 @@ def check_box(axes: Axes, box: tuple[float, float, float, float]) -> None:
         raise ValueError(f"box {tuple(box)} is not what the grid covers: {tuple(round(x, 4) for x in covered(axes))}")
 
 
-def describe(points: DataFrame, edges: DataFrame, depths: DataFrame, axes: Axes, raster: bool, key: str = "point_id") -> DataFrame:
-    """``points(<key>, lat_deg, lon_deg, ...)`` with is_land, is_nogo, is_navigable and depth_m; a point outside the grid fails.
+@dataclass(frozen=True)
+class Chart:
+    """Waters kept as tables, of any size: what legs, lattices and plans ask of ``spatial.Waters`` they may ask of a chart.
 
-    Land is that of the nearest cell of the raster, or of the coastline where the grid has none; depth is interpolated, 0 on
-    heights.  Points meet rings by tiles and cells by equi-joins, so neither side needs to be small.
+    Land is that of the nearest cell of the raster, or of the coastline where the grid has none; zones are no-go areas; depth
+    is interpolated, 0 on heights.  A point outside the grid fails.
     """
-    outside = F.raise_error(F.concat(F.lit("no geography covers "), F.col("lat_deg").cast("string"), F.lit(", "), F.col("lon_deg").cast("string")))
-    held = points.withColumn("lat_deg", F.when(in_bounds(F.col("lat_deg"), F.col("lon_deg"), axes), F.col("lat_deg")).otherwise(outside.cast("double")))
-    own = held.select(key, "lat_deg", "lon_deg").dropDuplicates([key])
-    inside = lambda kind, name: rings_at(own, edges.where(F.col("kind") == kind), key).select(key).distinct().withColumn(name, F.lit(True))
-    grid = depths.withColumn("it", F.lit(0))
-    deep = sample(own.withColumn("t_h", F.lit(0.0)), cells(grid, ["elevation_m"], axes), axes, masked=[], plain=["elevation_m"]).drop("t_h")
-    at = {"_iy": nearest_index(fraction(F.col("lat_deg"), *axes.lat), axes.lat[2]), "_ix": nearest_index(fraction(F.col("lon_deg"), *axes.lon), axes.lon[2])}
-    if raster:
-        near = depths.select(F.col("iy").alias("_iy"), F.col("ix").alias("_ix"), F.col("is_land").alias("_land"))
-        deep = deep.withColumns(at).join(near, ["_iy", "_ix"], "left").drop("_iy", "_ix")
-    else:
-        deep = deep.join(inside("land", "_land"), key, "left")
-    found = deep.join(inside("zone", "_zone"), key, "left").select(
-        key, F.coalesce("_land", F.lit(False)).alias("is_land"), F.coalesce("_zone", F.lit(False)).alias("is_nogo"), F.greatest(F.lit(0.0), -F.col("elevation_m")).alias("depth_m"))
-    return points.join(found.withColumn("is_navigable", ~(F.col("is_land") | F.col("is_nogo"))), key)
+
+    edges: DataFrame  # kind, and the columns of ``spatial.strips``
+    near: DataFrame  # kind, and the columns of ``spatial.ring_tiles``
+    cells: DataFrame  # corners of elevation_m and the land raster of each cell
+    axes: Axes
+    raster: bool
+    ref_lat: float
+
+    @classmethod
+    def of(cls, edges: DataFrame, depths: DataFrame, axes: Axes, raster: bool, ref_lat: float = 42.3) -> Chart:
+        """``edges`` from ``read_rings`` and ``depths`` from ``read_depths``, prepared once for all later questions."""
+        kinds = edges.select("kind", "ring").distinct()
+        cut_up = cut(strips(edges))
+        near = cut(ring_tiles(cut_up).join(kinds, "ring"))
+        grid = cells(depths.withColumn("it", F.lit(0)), ["elevation_m"], axes).join(depths.select("iy", "ix", "is_land"), ["iy", "ix"])
+        return cls(cut_up, near, cut(grid), axes, raster, ref_lat)
+
+    @classmethod
+    def read(cls, spark: SparkSession, coastlines: list[str], zones: list[str], depths: str, box: tuple[float, float, float, float] | None = None,
+             ref_lat: float = 42.3) -> Chart:
+        """The chart of a pack's files; with ``box`` the grid must cover it and no more, to within half a step."""
+        table, axes, raster = read_depths(spark, depths)
+        if box is not None:
+            check_box(axes, box)
+        return cls.of(read_rings(spark, coastlines, zones), table, axes, raster, ref_lat)
+
+    def _inside(self, points: DataFrame, kind: str, key: list[str]) -> DataFrame:
+        of = lambda t: t.where(F.col("kind") == kind).drop("kind")
+        return rings_by_strip(points, of(self.edges), of(self.near), key).select(*key).distinct()
+
+    def features(self, points: DataFrame) -> DataFrame:
+        """lat_deg, lon_deg, is_land, is_nogo, is_navigable, depth_m of every distinct place of ``points(lat_deg, lon_deg, ...)``.
+
+        Places meet rings by tiles and strips, and cells by equi-joins, so no side needs to be small.
+        """
+        key, at = ["lat_deg", "lon_deg"], (F.col("lat_deg"), F.col("lon_deg"))
+        own = points.select(*key).distinct()
+        outside = F.raise_error(F.concat(F.lit("no geography covers "), at[0].cast("string"), F.lit(", "), at[1].cast("string"))).cast("double")
+        held = own.withColumn("t_h", F.when(in_bounds(*at, self.axes), 0.0).otherwise(outside))
+        deep = sample(held, self.cells, self.axes, masked=[], plain=["elevation_m"])
+        deep = deep.where(F.col("t_h") == 0.0).drop("t_h")
+        if self.raster:
+            nearest = {"iy": nearest_index(fraction(at[0], *self.axes.lat), self.axes.lat[2]), "ix": nearest_index(fraction(at[1], *self.axes.lon), self.axes.lon[2])}
+            deep = deep.withColumns(nearest).join(self.cells.select("iy", "ix", F.col("is_land").alias("_land")), ["iy", "ix"], "left").drop("iy", "ix")
+        else:
+            deep = deep.join(self._inside(own, "land", key).withColumn("_land", F.lit(True)), key, "left")
+        found = deep.join(self._inside(own, "zone", key).withColumn("_zone", F.lit(True)), key, "left").select(
+            *key, F.coalesce("_land", F.lit(False)).alias("is_land"), F.coalesce("_zone", F.lit(False)).alias("is_nogo"),
+            F.greatest(F.lit(0.0), -F.col("elevation_m")).alias("depth_m"))
+        return found.withColumn("is_navigable", ~(F.col("is_land") | F.col("is_nogo")))
+
+    def described(self, points: DataFrame, lat: str = "lat_deg", lon: str = "lon_deg", depth: bool = True) -> DataFrame:
+        """``points`` with is_navigable and, if asked for, depth_m, worked out once for each distinct place."""
+        found = self.features(points.select(F.col(lat).alias("lat_deg"), F.col(lon).alias("lon_deg")))
+        wanted = ["is_navigable", *(["depth_m"] if depth else [])]
+        return points.join(found.select(F.col("lat_deg").alias(lat), F.col("lon_deg").alias(lon), *wanted), [lat, lon])
+
+
+def describe(points: DataFrame, edges: DataFrame, depths: DataFrame, axes: Axes, raster: bool) -> DataFrame:
+    """``points(lat_deg, lon_deg, ...)`` with is_land, is_nogo, depth_m and is_navigable of a chart made for them."""
+    return points.join(Chart.of(edges, depths, axes, raster).features(points), ["lat_deg", "lon_deg"])
