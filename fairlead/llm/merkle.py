@@ -5,7 +5,8 @@ vertices are dealt to partitions by ranges of leaves, evenly.  Going up, childre
 hashes them and messages its own parent.  Trees, one for each group of rows, end at their subroots, which are the leaves of
 one more tree.  Going down, each vertex sends its children the path above them; the last superstep sends one message to the
 eight leaves of a run, and each leaf folds its digest along the path.  No vertex has more than FAN children or messages,
-whatever the size of a group.  Every level is checkpointed.
+whatever the size of a group.  The first level and the subroots are checkpointed, and what hangs on them is
+small.
 """
 
 from __future__ import annotations
@@ -77,77 +78,79 @@ def _dealt(total: int, level: int) -> tuple[int, Callable[[int], int]]:
     return parts, lambda first: first * parts // total
 
 
-def _kept(rdd: RDD, held: list[RDD]) -> RDD:
-    """Checkpointed in the shared folder, and held meanwhile so that it is worked out once."""
+def _held(rdd: RDD, held: list[RDD], checkpoint: bool = False) -> RDD:
+    """Kept on the executors' disks as it is read again, and in the shared folder too where much hangs on it."""
     rdd = rdd.persist(StorageLevel.DISK_ONLY)
-    rdd.checkpoint()
+    if checkpoint:
+        rdd.checkpoint()
     held.append(rdd)
     return rdd
 
 
-def climb(leaves: RDD, total: int, held: list[RDD]) -> list[RDD]:
-    """``leaves``: (number, (Tree, digest)) -> vertices of levels 1, 2, ...: (first, (Tree, digest, children's digests, joined)).
+def climb(leaves: RDD, total: int, height: int, held: list[RDD]) -> list[RDD]:
+    """``leaves``: (number, (Tree, digest)) -> for each level from 0 to ``height``: (first, (Tree, digest, children's digests, joined)).
 
-    A superstep: vertices that are no subroots message their parents, and these, having all their children, hash.
+    A superstep: vertices message their parents, and these, having all their children, hash.  A subroot stays as it
+    is on all levels above its own, so the last level has all subroots and nothing else.
     """
-    levels, below = [], leaves
-    while True:
-        level = len(levels)
+    levels = [leaves.mapValues(lambda v: (*v, ""))]
+    for level in range(height):
 
-        def message(item: tuple, level: int = level) -> list:
-            first, (tree, mine, *_) = item
+        def message(item: tuple, level: int = level) -> tuple:
+            first, (tree, mine, children) = item
             if tree.ends(level):
-                return []
+                return first, (-1, mine, tree, children)
             parent, place = tree.parent(first, level)
-            return [(parent, (place, mine, tree))]
+            return parent, (place, mine, tree, "")
 
         def receive(messages: Iterable) -> tuple:
             found = sorted(messages)
-            children = "".join(d for _, d, _ in found)
-            return found[0][2], digest([children]), children
+            _, mine, tree, children = found[0]
+            if found[0][0] < 0:
+                return tree, mine, children
+            children = "".join(m[1] for m in found)
+            return tree, digest([children]), children
 
-        above = _kept(below.flatMap(message).groupByKey(*_dealt(total, level + 1)).mapValues(receive), held)
-        if above.isEmpty():
-            return levels
-        levels.append(above)
-        below = above
+        above = levels[-1].map(message).groupByKey(*_dealt(total, level + 1)).mapValues(receive)
+        levels.append(_held(above, held, checkpoint=not level))
+    return levels
 
 
-def subroots(leaves: RDD, levels: list[RDD]) -> RDD:
-    """(base, (Tree, subroot)) of every tree: its only vertex on some level."""
-    found = [leaves.filter(lambda x: x[1][0].ends(0))]
-    found += [level.filter(lambda x, k=k: x[1][0].ends(k)) for k, level in enumerate(levels, 1)]
-    return leaves.context.union([x.mapValues(lambda v: v[:2]) for x in found])
-
-
-def descend(levels: list[RDD], tops: RDD, total: int, held: list[RDD]) -> RDD:
-    """``tops``: (base, (Tree, note, Steps)) of subroots -> (first, (children, note, Steps)) of the vertices of level 1.
+def descend(levels: list[RDD], tops: RDD, total: int) -> RDD:
+    """``tops``: (base, (note, Steps)) of subroots -> (first, (children, note, Steps)) of the vertices of level 1.
 
     A superstep: a vertex that knows its steps to the root sends each child its own.  Trees of one leaf have no vertex;
-    their message goes to the leaf as it is, with no children.  ``note`` is carried along.
+    what their leaf gets has no children.  ``note`` is carried along.
     """
-    sent = tops.filter(lambda x: x[1][0].ends(0)).mapValues(lambda v: (None, v[1], v[2]))
-    known = None
-    for k in range(len(levels), 0, -1):
-        mine = tops.filter(lambda x, k=k: x[1][0].ends(k) and not x[1][0].ends(k - 1)).mapValues(lambda v: ("steps", v[1], v[2]))
-        known = mine if known is None else known.union(mine)
-        both = known.union(levels[k - 1].mapValues(lambda v: ("children", v[2])))
+    known = tops.mapValues(lambda v: ("steps", *v))
+    for k in range(len(levels) - 1, 0, -1):
+        both = known.union(levels[k].mapValues(lambda v: ("children", v[0], v[2])))
 
         def meet(values: Iterable) -> tuple:
             found = {v[0]: v[1:] for v in values}
-            return found["children"][0], *found["steps"]
+            return found["children"] + found["steps"]
 
         met = both.groupByKey(*_dealt(total, k)).mapValues(meet)
         if k == 1:
-            return sent.union(met)
+            return met.mapValues(lambda v: v[1:])
 
         def to_children(item: tuple, k: int = k) -> Iterator:
-            first, (children, note, steps) = item
+            first, (tree, children, note, steps) = item
+            if tree.ends(k - 1):
+                yield first, ("steps", note, steps)
+                return
             for place in range(len(children) // 64):
                 yield first + place * FAN ** (k - 1), ("steps", note, ((place, _others(children, place)), *steps))
 
-        known = _kept(met.flatMap(to_children), held)
-    return sent
+        known = met.flatMap(to_children)
+    return known.mapValues(lambda v: ("", *v[1:]))
+
+
+def _height(size: int) -> int:
+    level = 0
+    while not Tree(0, size).ends(level):
+        level += 1
+    return level
 
 
 def prove(rows: DataFrame, with_steps: bool = False) -> DataFrame:
@@ -169,32 +172,34 @@ def prove(rows: DataFrame, with_steps: bool = False) -> DataFrame:
     schema += ", steps array<struct<place: int, others: string>>" * with_steps
     if not total:
         return spark.createDataFrame([], schema)
+    largest = trees.agg(F.max("size")).first()[0]
     leaves = attach(leaves, trees.drop("tree"), list(lang), "inner").select("number", "base", "size", "leaf", "tried", "doc_id").rdd
-    vertices = leaves.map(lambda r: (r[0], (Tree(r[1], r[2]), r[3])))
-    levels = climb(vertices, total, held)
-    subs = _kept(subroots(vertices, levels), held)
-    order = trees.select("base", "tree").rdd.map(tuple)
-    every = Tree(0, n_trees)
-    tops = _kept(order.join(subs).map(lambda x: (x[1][0], (every, x[1][1][1], x[0], x[1][1][0]))), held)  # tree: every, subroot, base, Tree
-    heads = tops.mapValues(lambda v: v[:2])
-    last = climb(heads, n_trees, held)
-    root = subroots(heads, last).first()[1][1]
-    start = spark.sparkContext.parallelize([(0, (every, None, ()))], 1)
+    levels = climb(leaves.map(lambda r: (r[0], (Tree(r[1], r[2]), r[3]))), total, _height(largest), held)
+    order = trees.select("base", "tree").rdd.map(lambda r: (r[0], ("tree", r[1])))
+    subs = levels[-1].mapValues(lambda v: ("subroot", v[1]))
+    every, spread = Tree(0, n_trees), _dealt(total, 0)
+
+    def named(values: Iterable) -> tuple:
+        found = dict(values)
+        return found["tree"], found["subroot"]
+
+    tops = _held(order.union(subs).groupByKey(*spread).mapValues(named), held, checkpoint=True)  # base: tree, subroot
+    last = climb(tops.map(lambda x: (x[1][0], (every, x[1][1]))), n_trees, _height(n_trees), held)
+    root = last[-1].first()[1][1]
+    start = spark.sparkContext.parallelize([(0, (None, ()))], 1)
 
     def to_trees(item: tuple) -> list:
         at, (children, _, steps) = item
-        if children is None:
-            return [(at, ("steps", steps))]
-        return [(at + k, ("steps", ((k, _others(children, k)), *steps))) for k in range(len(children) // 64)]
+        return [(at + k, ("steps", ((k, _others(children, k)), *steps))) for k in range(len(children) // 64)] or [(at, ("steps", steps))]
 
-    def with_steps_of_tree(values: Iterable) -> tuple:
+    def with_base(values: Iterable) -> tuple:
         found = {v[0]: v[1:] for v in values}
-        _, subroot, base, tree = found["tree"]
-        return base, (tree, subroot, found["steps"][0])
+        base, subroot = found["tree"]
+        return base, (subroot, found["steps"][0])
 
-    known = descend(last, start, n_trees, held).flatMap(to_trees).union(tops.mapValues(lambda v: ("tree", *v)))
-    starts = _kept(known.groupByKey(*_dealt(n_trees, 0)).map(lambda x: with_steps_of_tree(x[1])), held)
-    runs = descend(levels, starts, total, held).mapValues(lambda v: ("run", *v))
+    known = descend(last, start, n_trees).flatMap(to_trees).union(tops.map(lambda x: (x[1][0], ("tree", x[0], x[1][1]))))
+    starts = _held(known.groupByKey(*_dealt(n_trees, 0)).map(lambda x: with_base(x[1])), held)
+    runs = descend(levels, starts, total).mapValues(lambda v: ("run", *v))
 
     def to_run(r: tuple) -> tuple:
         run, place = Tree(r[1], r[2]).parent(r[0], 0)
@@ -204,7 +209,7 @@ def prove(rows: DataFrame, with_steps: bool = False) -> DataFrame:
         met = list(item[1])
         _, children, subroot, above = next(v for v in met if v[0] == "run")
         for _, place, leaf, tried, doc_id in (v for v in met if v[0] == "leaf"):
-            steps = above if children is None else ((place, _others(children, place)), *above)
+            steps = ((place, _others(children, place)), *above) if children else above
             folded = fold(tried, steps)
             row = doc_id, leaf, subroot, root, digest(x for _, x in steps), folded, folded == root
             yield (*row, list(steps)) if with_steps else row
