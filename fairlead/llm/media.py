@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.llm.stage import attach, drop, real_id, semi, stage, with_keys
+from fairlead.llm.numbering import with_keys
+from fairlead.llm.stage import attach, drop, semi, stage
 
 UNIT = 64
 CUT_BITS, SHORTEST, LONGEST = 10, 256, 8192
@@ -91,13 +92,13 @@ def _stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Write ``docs(doc_id, text)`` -> manifests(doc_id, n_bytes, medium, digests) and the store of distinct media.
+    """Write ``docs(doc_id, text)``, every doc_id given, -> manifests(doc_id, n_bytes, medium, digests) and the store of distinct media.
 
     The store has doc_id (the smallest of a medium's), ``head`` and ``samples``, a medium's stored form, the samples those
     of the chunks stored here; digests in order and ``other``, the places of chunks stored elsewhere.  Each distinct
     chunk of the corpus is stored once.
     """
-    docs = with_keys(docs.select("doc_id", "text"))
+    docs = docs.select("doc_id", "text")
     manifests = stage(docs.mapInPandas(_manifests, "doc_id long, n_bytes long, medium binary, digests array<binary>"), "manifests")
     media = manifests.groupBy("medium").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
     media = stage(media, "media")
@@ -162,9 +163,11 @@ def media_documents(docs: DataFrame) -> DataFrame:
     rows are taken to differ in doc_id.  media_bytes and media_sha256 are those of the stored form as read back: its
     head and the samples stored with it.
     """
+    docs, restore = with_keys(docs.select("doc_id", "text"))
     manifests, stored = store(docs)
     found = stage(read_features(stored).drop("doc_id").dropDuplicates(["medium"]), "features")
     drop(stored)
-    return manifests.select("doc_id", "n_bytes", "medium").join(found, "medium").select(
-        real_id("doc_id").alias("doc_id"), "n_bytes", "payload_bytes", F.lower(F.hex("medium")).alias("payload_sha256"), "tail_crc32", "media_bytes",
+    out = manifests.select("doc_id", "n_bytes", "medium").join(found, "medium").select(
+        "doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("medium")).alias("payload_sha256"), "tail_crc32", "media_bytes",
         "media_sha256", "feature")
+    return restore(out, "doc_id")

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fairlead.llm.linking import link_components, shared_members
-from fairlead.llm.stage import drop, once, real_id, semi, stage, with_keys
+from fairlead.llm.numbering import with_keys
+from fairlead.llm.stage import drop, once, semi, stage
 from fairlead.llm.words import minhashes, shingles
 
 CHUNKS, WIDTH = 10, 4
@@ -126,7 +127,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     where no row of theirs has one; equal ones count as one row.  A row repeated whole gets its result each time, and other
     rows are taken to differ in doc_id.
     """
-    docs = with_keys(docs.select("doc_id", "text"))
+    docs, restore = with_keys(docs.select("doc_id", "text"))
     sigs = stage(
         docs.mapInPandas(_signatures, "doc_id long, n_shingles long, digest binary, keys array<long>"),
         "signatures",
@@ -144,4 +145,5 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     named = stage(classes.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("component_id")), "named")
     out = sigs.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select(real_id("doc_id").alias("doc_id"), "n_shingles", real_id(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return restore(out, "doc_id", "component_id")

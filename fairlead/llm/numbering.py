@@ -1,15 +1,15 @@
-"""Numbers for the rows of a table in its order, without a task that sees them all."""
+"""Numbers for the rows of a table in its order, without a task that sees them all; keys for rows that may lack an id."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fairlead.llm.stage import attach, stage
+from fairlead.llm.stage import KEYLESS, attach, stage
 
 #: Rows of a range of the sort.
 RANGE_ROWS = 100_000
@@ -41,3 +41,26 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     above = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_part", above.alias("_above"))
     return attach(placed, starts, "_part", "inner").withColumn("number", F.col("_above") + F.col("_at")).drop("_part", "_at", "_above")
+
+
+def with_keys(docs: DataFrame) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs(doc_id, text)`` whose doc_id is a key that every row has, and a function that makes ids of key columns again.
+
+    Without null ids the keys are the ids.  Otherwise ids are numbered in their order, and a row without one has a key from its
+    text, above all numbers; equal texts have equal keys.  ``restore(df, *columns)`` makes such keys null.
+    """
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    if not docs.where("doc_id is null").select("doc_id").head(1):
+        return docs, lambda df, *columns: df
+    ids = stage(docs.select("doc_id").where("doc_id is not null").distinct(), "ids")
+    ids = stage(numbered(ids, ["doc_id"]), "ids")
+    key = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(KEYLESS - 1)).bitwiseOR(F.lit(KEYLESS))
+    keyed = attach(docs, ids, "doc_id").withColumn("doc_id", F.coalesce("number", key)).drop("number")
+
+    def restore(df: DataFrame, *columns: str) -> DataFrame:
+        order = df.columns
+        for c in columns:
+            df = attach(df, ids.select(F.col("number").alias(c), F.col("doc_id").alias("_id")), c).drop(c).withColumnRenamed("_id", c)
+        return df.select(order)
+
+    return keyed, restore

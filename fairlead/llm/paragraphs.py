@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from fairlead.llm.linking import link_components, shared_members
 from fairlead.llm.minhash import jaccard_links, prefix_pairs
-from fairlead.llm.stage import attach, drop, once, real_id, stage, with_keys
+from fairlead.llm.numbering import with_keys
+from fairlead.llm.stage import attach, drop, once, stage
 from fairlead.llm.words import minhash_ranges, mix, powers, shingle_hashes, shingles, word_spans
 
 #: Paragraphs of fewer words are left alone.
@@ -171,7 +172,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 75, min_words: int = MIN
     others.  Other columns are not read.
     """
     bands, rows = tune_bands(percent / 100)
-    docs = with_keys(docs.select("doc_id", "text"))
+    docs, restore = with_keys(docs.select("doc_id", "text"))
     schema = "doc_id long, whole boolean, start int, end int, d1 long, d2 long, keys array<long>"
     found = stage(
         docs.mapInPandas(_paragraphs(min_words, bands, rows), schema)
@@ -193,9 +194,9 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 75, min_words: int = MIN
     out = stage(found.select("doc_id", "whole", "start", "end", "pid", "d1", "d2").join(named, ["whole", "d1", "d2"]), "repeats")
     first = out.groupBy("root").agg(F.min(F.struct("doc_id", "start", "pid")).alias("first"), F.count("*").alias("n_copies"))
     first = stage(first, "first")  # so that a root that many share is split in the join
-    return out.join(first, "root").select(
-        real_id("doc_id").alias("doc_id"), "whole", "start", "end", real_id("first.doc_id").alias("component_id"), "n_copies",
-        (F.col("pid") == F.col("first.pid")).alias("kept"))
+    out = out.join(first, "root").select(
+        "doc_id", "whole", "start", "end", F.col("first.doc_id").alias("component_id"), "n_copies", (F.col("pid") == F.col("first.pid")).alias("kept"))
+    return restore(out, "doc_id", "component_id")
 
 
 def without_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:

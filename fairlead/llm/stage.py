@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, NumericType, Stri
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
 #: Most characters of a plan's text that the driver keeps of each written table.
 PLAN_CHARS = 4096
-#: Where the keys of rows without a doc_id begin; doc_ids are taken to be smaller.
+#: Where the keys of rows without a doc_id begin, above the numbers that stand for doc_ids in tables with such rows.
 KEYLESS = 1 << 62
 
 
@@ -105,15 +105,3 @@ def _bytes(c: Column, kind: DataType) -> Column:
     if isinstance(kind, (StringType, BinaryType)):
         return F.coalesce(F.octet_length(c), F.lit(0))
     return F.lit(8)
-
-
-def with_keys(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` where a row without a doc_id has a key from its text, above every doc_id; equal texts have equal keys."""
-    key = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(KEYLESS - 1)).bitwiseOR(F.lit(KEYLESS))
-    return docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), key))
-
-
-def real_id(c: Column | str) -> Column:
-    """The doc_id that a key of ``with_keys`` stands for, null for rows that have none."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.when(c < KEYLESS, c)
