@@ -19,27 +19,33 @@ MAGIC = b"wvlt0001"
 #: Bits of a block; a multiple of 8.
 BLOCK = 1 << 16
 _HEAD = struct.Struct("<QQQQQ")  # width, ids, documents, where the documents begin, their bytes uncompressed
-_ZSTD = pa.Codec("zstd", 3)
+_ZSTD = pa.Codec("zstd", 1)
 
 
-def planes(ids: np.ndarray, width: int) -> Iterator[np.ndarray]:
-    """The bits of each plane, from the highest."""
+def planes(ids: np.ndarray, width: int) -> Iterator[list[np.ndarray]]:
+    """The bits of each plane, from the highest, in blocks; a block at a time goes to where the next plane has its ids."""
+    ids = ids.astype(np.uint16) if width <= 16 else ids
     for k in reversed(range(width)):
-        bit = (ids >> np.uint32(k)) & np.uint32(1) == 1
-        yield bit
-        ids = np.concatenate([ids[~bit], ids[bit]])
+        mask = ids.dtype.type(1 << k)
+        blocks = [ids[a : a + BLOCK] & mask != 0 for a in range(0, len(ids), BLOCK)]
+        yield blocks
+        after, zero = np.empty_like(ids), 0
+        one = len(ids) - sum(map(np.count_nonzero, blocks))
+        for b, bit in enumerate(blocks):
+            own, ups, downs = ids[b * BLOCK : (b + 1) * BLOCK], np.flatnonzero(bit), np.flatnonzero(~bit)
+            after[one : one + len(ups)], after[zero : zero + len(downs)] = own.take(ups), own.take(downs)
+            one, zero = one + len(ups), zero + len(downs)
+        ids = after
 
 
 def encode(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
     """The file of ``ids`` (unsigned, 32 bits), which are those of the documents one after another."""
     width = max(1, int(ids.max(initial=0)).bit_length())
     out, at, ones, offsets = [], 0, [], []
-    for bit in planes(ids, width):
-        packed = np.packbits(bit)
-        counts = np.add.reduceat(bit, np.arange(0, len(bit), BLOCK), dtype=np.int64) if len(bit) else np.zeros(0, np.int64)
-        ones.append(np.concatenate([[0], np.cumsum(counts)]).astype("<u8"))
-        for b in range(0, len(packed), BLOCK // 8):
-            raw = packed[b : b + BLOCK // 8].tobytes()
+    for blocks in planes(ids, width):
+        ones.append(np.cumsum([0, *map(np.count_nonzero, blocks)]).astype("<u8"))
+        for bit in blocks:
+            raw = np.packbits(bit).tobytes()
             small = _ZSTD.compress(raw, asbytes=True)
             out.append(small if len(small) < len(raw) else raw)
             offsets.append(at)
@@ -88,7 +94,7 @@ class TokenFile:
             n = min(BLOCK, self.n - b * BLOCK)
             raw, size = self._read(at, end - at), -(-n // 8)
             raw = raw if len(raw) == size else _ZSTD.decompress(raw, size, asbytes=True)
-            self._last = (k, np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool))
+            self._last = (k, np.unpackbits(np.frombuffer(raw, np.uint8), count=n).view(bool))
         return self._last[1]
 
     def _by_block(self, blocks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -156,12 +162,14 @@ class TokenFile:
 
     def decode(self) -> np.ndarray:
         """All ids: from the last plane up, each plane says which ids of the order below it go where."""
-        ids = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.width <= 16 else np.uint32
+        ids = np.zeros(self.n, kind)
         for level in reversed(range(self.width)):
-            bit = np.concatenate([self.block(level, b) for b in range(self.blocks)]) if self.blocks else np.zeros(0, bool)
-            up = bit.astype(np.uint32) << np.uint32(self.width - 1 - level)
-            zeros = int(self.zeros[level])
-            up[~bit] |= ids[:zeros]
-            up[bit] |= ids[zeros:]
+            up, mine, zero, one = np.empty_like(ids), kind(1 << (self.width - 1 - level)), 0, int(self.zeros[level])
+            for b in range(self.blocks):
+                bit, own = self.block(level, b), up[b * BLOCK : (b + 1) * BLOCK]
+                ups, downs = np.flatnonzero(bit), np.flatnonzero(~bit)
+                own[ups], own[downs] = ids[one : one + len(ups)] | mine, ids[zero : zero + len(downs)]
+                one, zero = one + len(ups), zero + len(downs)
             ids = up
-        return ids
+        return ids.astype(np.uint32)
