@@ -11,7 +11,6 @@ import os
 import re
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain, filterfalse
 
@@ -26,15 +25,16 @@ from fairlead.llm.stage import attach, filesystem, new_path, stage
 from fairlead.llm.wavelet import TokenFile, encode
 
 SHARD_BYTES, SHARD_TOKENS = 32 << 20, 1 << 23
-#: Words and parts of words whose ids a task remembers, and how many new ones are encoded as one text.
-KNOWN, TOGETHER = 400_000, 2048
+#: Units of text whose ids a task remembers, and how many new ones are encoded as one text.
+KNOWN, TOGETHER = 600_000, 2048
 #: Texts are encoded together up to so many characters.
-LOT = 4 << 20
-#: A space before a character that no tokenizer takes for white space, where a byte-level piece always begins; other spaces.
-_CUT, _OTHER = re.compile(r" (?=[^\s\u180e\u200b\ufeff])"), re.compile(r" (?:[\s\u180e\u200b\ufeff]|$)")
-#: Words of Latin letters, other ASCII marks but the apostrophe, and single line ends; and their parts, which are pieces or runs of them.
+LOT = 2 << 20
+#: Units between which a byte-level tokenizer never joins: Latin letters, or ASCII marks but the apostrophe, each with one space
+#: before it; a single line end; and else all white space up to a word with that word.
 _L, _M = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-@\[-`{-~"
-_PLAIN, _PARTS = re.compile(rf"(?:[{_L}{_M}]+|\n(?=[{_L}{_M}]))+"), re.compile(rf" ?(?:[{_L}]+|[{_M}]+)|\n")
+_UNIT = re.compile(rf" ?[{_L}]++(?=[{_M} \n]|\Z)| ?[{_M}]++(?=[{_L} \n]|\Z)|\n(?=[{_L}{_M}])|\s*\S+|\s+")
+#: What a special token begins with, and characters that are white space to some and not to others.
+_STRANGE = re.compile("<\\||[\x1c-\x1f\u180e\u200b\ufeff]")
 _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
 
@@ -49,60 +49,43 @@ def _byte_lengths(vocab: dict[str, int]) -> np.ndarray:
 def byte_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit bytes, for a byte-level tokenizer file.
 
-    The tokenizer's own rule begins a new piece at a space that a visible character follows, around a single line end, and
-    between letters and marks.  So what stands after such a space, up to the next, is put together from parts, each encoded once
-    for all texts of a call, many as one text, and remembered.  Texts that may hold special tokens are encoded whole.
+    The tokenizer splits texts by a rule before it encodes, and never joins across units of _UNIT.  So each unit is encoded
+    once for all texts of a call, many as one text, and remembered.  Texts that match _STRANGE are encoded whole.
     """
     if path in _encoders:
         return _encoders[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tok, known, parts = Tokenizer.from_file(path), {}, {}
+    tok, known = Tokenizer.from_file(path), {}
     lengths = _byte_lengths(tok.get_vocab())
 
     def ids(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def each(words: list[str], space: bool) -> Iterator[tuple[str, bytes]]:
-        """The ids of each word with a space before it, or of each as it is: they are encoded as one text, with spaces or line ends
-        between, which is cut by the bytes that its ids stand for."""
-        lots = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-        for lot, data in zip(lots, ids([" " + " ".join(x) if space else "\n".join(x) + "\n" for x in lots]), strict=True):
-            ends = np.cumsum([len(w.encode()) + 1 for w in lot])
+    def learn(units: list[str]) -> None:
+        """Units with a visible character at both ends, but for a space before it, are encoded as one text with line ends between,
+        which is cut by the bytes that its ids stand for."""
+        alone = [u for u in units if u[-1].isspace() or u[: 1 + (u[0] == " ")].strip(" ").isspace()]
+        known.update(zip(alone, ids(alone), strict=True))
+        units = [u for u in units if u not in known]
+        lots = [units[i : i + TOGETHER] for i in range(0, len(units), TOGETHER)]
+        for lot, data in zip(lots, ids(["\n".join(x) + "\n" for x in lots]), strict=True):
+            ends = np.cumsum([len(u.encode()) + 1 for u in lot])
             reach = np.cumsum(lengths[np.frombuffer(data, "<u4")])
             at = np.searchsorted(reach, ends)
             if not (reach[at] == ends).all():
-                raise ValueError(f"{path} joins words")
-            cuts = (4 * (at + 1)).tolist()
-            yield from zip(lot, map(data.__getitem__, map(slice, [0, *cuts], cuts if space else [c - 4 for c in cuts])), strict=True)
-
-    def learn(words: list[str]) -> None:
-        plain, other = {}, []
-        for w in words:
-            if _PLAIN.fullmatch(w):
-                plain[w] = _PARTS.findall(" " + w)
-            else:
-                other.append(w)
-        if len(parts) > KNOWN:
-            parts.clear()
-        parts.update(each(list({p for ps in plain.values() for p in ps if p not in parts} - {"\n"}), False))
-        parts["\n"] = ids(["\n"])[0]
-        for w, ps in plain.items():
-            known[w] = b"".join(map(parts.__getitem__, ps))
-        known.update(each(other, True))
+                raise ValueError(f"{path} joins across line ends")
+            starts = [0, *(4 * (at + 1)).tolist()]
+            known.update(zip(lot, map(data.__getitem__, map(slice, starts, (4 * at).tolist())), strict=True))
 
     def encoded(texts: list[str]) -> list[bytes]:
-        if len(known) > KNOWN:
-            known.clear()
-        split = [None if "<|" in t else _CUT.split(t) if _OTHER.search(t) else t.split(" ") for t in texts]
-        heads = iter(ids([s.pop(0) if s else t for t, s in zip(texts, split, strict=True)]))
-        new = Counter(filterfalse(known.__contains__, chain.from_iterable(s for s in split if s)))
-        learn(list(new))
-        out = [next(heads) if not s else b"".join([next(heads), *map(known.__getitem__, s)]) for s in split]
-        for w, n in new.items():
-            if n == 1:  # most words that come once in a call do not come again soon
-                del known[w]
+        nonlocal known
+        split = [None if _STRANGE.search(t) else _UNIT.findall(t) for t in texts]
+        learn(list(set(filterfalse(known.__contains__, chain.from_iterable(s for s in split if s)))))
+        out = [ids([t])[0] if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+        if len(known) > KNOWN:  # what this call has used is kept
+            known = {u: known[u] for s in split if s for u in s}
         return out
 
     _encoders[path] = encoded
