@@ -1,4 +1,4 @@
-"""Keyed telemetry tables, track files, grid files and synthetic telemetry."""
+"""Keyed telemetry tables, track files and synthetic telemetry."""
 
 from __future__ import annotations
 
@@ -24,22 +24,6 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema=SAMPLES, header=True, enforceSchema=False)
 
 
-def read_grid(spark: SparkSession, path: str, fields: list[str]) -> tuple[DataFrame, dict[str, object]]:
-    """A gridded npz file as rows (it, iy, ix, fields) and its other entries; NaN stays NaN."""
-    with np.load(path, allow_pickle=False) as z:
-        given = {k: z[k] for k in z.files}
-    nt, ny, nx = given[fields[0]].shape
-    columns = [*(x.ravel().tolist() for x in np.indices((nt, ny, nx))), *(given[f].ravel().astype(float).tolist() for f in fields)]
-    schema = "it int, iy int, ix int, " + ", ".join(f"{f} double" for f in fields)
-    rows = spark.createDataFrame(list(zip(*columns, strict=True)), schema)  # tuples, as pandas would make NaN null
-    return rows, {k: v.item() if v.ndim == 0 else v.tolist() for k, v in given.items() if k not in fields}
-
-
-def write_grid(grid: DataFrame, path: str) -> None:
-    """A grid as Parquet by time; the job's commit makes the new version visible at once."""
-    grid.write.mode("overwrite").partitionBy("it").parquet(path)
-
-
 def keep_last(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """One row for each key, that with the largest ``order``; a grouped maximum, so a hot key is combined before it moves."""
     rest = [c for c in rows.columns if c not in keys]

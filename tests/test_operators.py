@@ -209,17 +209,6 @@ def test_plan_voyage(spark):
         voyage.check_endpoints(spark, voyage.Request((30.05, 0.04), (42.0, 8.0), 1, 1), spatial.Waters([[(30.0, 0.0), (30.1, 0.0), (30.1, 0.1), (30.0, 0.1)]]))
 
 
-def test_grid_file_keeps_nan(spark, tmp_path):
-    import numpy as np
-
-    values = np.array([[[1.0, np.nan]], [[2.0, 3.0]]])
-    np.savez(tmp_path / "g.npz", hs_m=values, hours=np.array([0.0, 6.0]), lat0=41.0)
-    rows, rest = store.read_grid(spark, str(tmp_path / "g.npz"), ["hs_m"])
-    assert rows.where(F.isnan("hs_m")).count() == 1 and rows.where(F.col("hs_m").isNull()).count() == 0 and rest["lat0"] == 41.0
-    store.write_grid(rows, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
-
-
 def test_region_packs(spark, tmp_path):
     text = """pack_id: p\nname: P\nbbox: [6.7, 40.75, 10.15, 44.0]\nref_lat_deg: 42.3\ncoastline_path: c\nbathymetry_path: b\nnogo_path: n\ntss_path: t
 weather_npz_path: w\nports:\n  a: [43.5, 7.1]\ndefault_origin: [43.55, 7.17]\nlegacy_corridors:\n  - origin: [43.55, 7.17]\n    destination: [41.13, 9.55]\n    corridor: corridor_west\n"""
