@@ -50,4 +50,74 @@ OP8 = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coal
   SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN first < page_id THEN first END AS refers_to FROM p LEFT JOIN f ON f.d = p.d AND n >= 100"""
 
-SQL = {"op5_minhash_near_dedup": OP5, "op6_quality_rules": OP6, "op8_warc": OP8}
+def _crc32(points: str) -> str:
+    """CRC-32 of a list of bytes, eight bits a step: the register's low byte chooses by its bits."""
+    table = []
+    for k in range(8):
+        c = 1 << k
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    low = "xor(a, b)"
+    mixed = "a >> 8"
+    for k, c in enumerate(table):
+        mixed = f"xor({mixed}, ({low} >> {k} & 1) * {c})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {points}), lambda a, b: {mixed}), 4294967295::BIGINT)"
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _leaf(text: str) -> str:
+    fields = [f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+def _levels(name: str, many: int) -> str:
+    """From {name}0(tree, i, d, n) the runs {name}_r0 ... of each level and the last level, many levels up."""
+    return "".join(f""",
+  {name}_r{k} AS (SELECT tree, i // 8 AS p, n, list(d ORDER BY i) AS l FROM {name}{k} GROUP BY tree, i // 8, n),
+  {name}{k + 1} AS (SELECT tree, p AS i, CASE WHEN n > 1 THEN sha256(array_to_string(l, '')) ELSE l[1] END AS d, CAST(ceil(n / 8e0) AS BIGINT) AS n FROM {name}_r{k})""" for k in range(many))
+
+
+def _paths(source: str, name: str, at: str, tree: str, many: int) -> str:
+    """Folds column f and gathers column proof along the runs of ``name``, from {source}0 to {source}{many}."""
+    out = ""
+    for k in range(many):
+        place = f"(x.{at} // {8 ** k} % 8)"
+        left, right = f"array_to_string(l[1:{place}], '')", f"array_to_string(l[{place} + 2:], '')"
+        out += f""",
+  {source}{k + 1} AS (SELECT x.* EXCLUDE (f, proof), CASE WHEN r.n > 1 THEN sha256({left} || f || {right}) ELSE f END AS f, CASE WHEN r.n > 1 THEN proof || {left} || {right} ELSE proof END AS proof
+    FROM {source}{k} x JOIN {name}_r{k} r ON r.tree = {tree} AND r.p = x.{at} // {8 ** (k + 1)})"""
+    return out
+
+
+#: Levels of the SQL: enough for 8 ** LEVELS rows of one lang and 8 ** TOP langs.
+LEVELS, TOP = 7, 3
+
+OP12 = f"""WITH t AS (SELECT doc_id, lang, {_leaf("text")} AS leaf, CASE WHEN {_crc32("list_transform(range(1, len(CAST(doc_id AS VARCHAR)) + 1), lambda j: CAST(ascii(CAST(doc_id AS VARCHAR)[j]) AS BIGINT))")} % 3 = 0
+    THEN {_leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} END AS tried FROM documents),
+  a AS (SELECT doc_id, leaf, coalesce(tried, leaf) AS f, '' AS proof, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM t),
+  n0 AS (SELECT tree, i, leaf AS d, count(*) OVER (PARTITION BY tree) AS n FROM a){_levels("n", LEVELS)},
+  m0 AS (SELECT 0 AS tree, tree AS i, d, count(*) OVER () AS n FROM n{LEVELS}){_levels("m", TOP)},
+  x0 AS (SELECT * FROM a){_paths("x", "n", "i", "x.tree", LEVELS)},
+  y0 AS (SELECT * FROM x{LEVELS}){_paths("y", "m", "tree", "0", TOP)}
+  SELECT doc_id, leaf, n{LEVELS}.d AS subroot, m{TOP}.d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = m{TOP}.d AS verified
+  FROM y{TOP} y JOIN n{LEVELS} ON n{LEVELS}.tree = y.tree, m{TOP}"""
+
+_BYTES = "flatten(list_transform(range(1, len(s) + 1), lambda j: CASE WHEN unicode(s[j]) < 128 THEN [unicode(s[j])::BIGINT] ELSE [192 + (unicode(s[j]) >> 6)::BIGINT, 128 + (unicode(s[j]) & 63)::BIGINT] END))"
+
+OP13 = f"""WITH RECURSIVE r AS (SELECT doc_id, translate(u.r, '{_UPPER}', '{_LOWER}') AS w, count(*) AS k FROM documents, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) u(r) GROUP BY ALL),
+  h AS (SELECT w, k, {_crc32(_BYTES)} AS h FROM (SELECT *, CAST(doc_id AS VARCHAR) || ':' || w AS s FROM r)),
+  c AS (SELECT CASE WHEN h % 97 = 0 THEN w[1:h % len(w)] || w[h % len(w) + 2:] ELSE w END AS word, k FROM h),
+  v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM c GROUP BY word HAVING sum(k) >= 3 AND length(word) >= 5),
+  e AS (SELECT word, n, i, word[1:i] || word[i + 2:] AS s FROM v, unnest(range(length(word))) u(i)),
+  near AS (SELECT a.word, b.word AS other, b.n FROM e a JOIN e b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+    UNION SELECT e.word, v.word, v.n FROM e JOIN v ON v.word = e.s UNION SELECT v.word, e.word, e.n FROM e JOIN v ON v.word = e.s),
+  best AS (SELECT word, other, n, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, other) = 1),
+  f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 2 * v.n THEN other END AS form, CASE WHEN best.n >= 2 * v.n THEN best.n END AS form_n FROM v LEFT JOIN best USING (word)),
+  up AS (SELECT word, word AS root FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL),
+  last AS (SELECT up.word, up.root FROM up JOIN f ON f.word = up.root WHERE f.form IS NULL)
+  SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f JOIN last USING (word)"""
+
+SQL = {"op5_minhash_near_dedup": OP5, "op6_quality_rules": OP6, "op8_warc": OP8, "op12_merkle_manifest": OP12, "op13_spelling_variants": OP13}

@@ -264,3 +264,15 @@ def test_equal_hashes_link_nothing(spark, monkeypatch):
     full = variants.shared_keys
     monkeypatch.setattr(variants, "shared_keys", lambda keys: full(keys.withColumn("key", F.col("key") % 2)))
     assert {tuple(r) for r in variants.spelling_variants(docs).collect()} == plain_variants(rows)
+
+
+@pytest.mark.parametrize("name", ["op12_merkle_manifest", "op13_spelling_variants"])
+def test_matches_sql(spark, data, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{data}/documents.parquet'")
+    mine = entry.queries()[name](spark, data)
+    other = con.sql(entry.oracle_sql()[name])
+    assert sorted(mine.columns) == sorted(other.columns)
+    assert Counter(map(tuple, mine.select(sorted(mine.columns)).collect())) == Counter(other.project(", ".join(sorted(mine.columns))).fetchall())
