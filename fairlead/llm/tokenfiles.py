@@ -26,7 +26,7 @@ from fairlead.llm.wavelet import TokenFile, encode
 
 SHARD_BYTES, SHARD_TOKENS = 32 << 20, 1 << 23
 #: Units of text whose ids a task remembers, and how many new ones are encoded as one text.
-KNOWN, TOGETHER = 600_000, 2048
+KNOWN, TOGETHER = 1_000_000, 2048
 #: Texts are encoded together up to so many characters.
 LOT = 2 << 20
 #: Units between which a byte-level tokenizer never joins: Latin letters, or ASCII marks but the apostrophe, each with one space
@@ -34,7 +34,7 @@ LOT = 2 << 20
 _L, _M = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-@\[-`{-~"
 _UNIT = re.compile(rf" ?[{_L}]++(?=[{_M} \n]|\Z)| ?[{_M}]++(?=[{_L} \n]|\Z)|\n(?=[{_L}{_M}])|\s*\S+|\s+")
 #: What a special token begins with, and characters that are white space to some and not to others.
-_STRANGE = re.compile("<\\||[\x1c-\x1f\u180e\u200b\ufeff]")
+_STRANGE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\u180e", "\u200b", "\ufeff")
 _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
 
@@ -50,7 +50,7 @@ def byte_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit bytes, for a byte-level tokenizer file.
 
     The tokenizer splits texts by a rule before it encodes, and never joins across units of _UNIT.  So each unit is encoded
-    once for all texts of a call, many as one text, and remembered.  Texts that match _STRANGE are encoded whole.
+    once for all texts of a call, many as one text, and remembered.  Texts with one of _STRANGE are encoded whole.
     """
     if path in _encoders:
         return _encoders[path]
@@ -81,7 +81,7 @@ def byte_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 
     def encoded(texts: list[str]) -> list[bytes]:
         nonlocal known
-        split = [None if _STRANGE.search(t) else _UNIT.findall(t) for t in texts]
+        split = [None if any(map(t.__contains__, _STRANGE)) else _UNIT.findall(t) for t in texts]
         learn(list(set(filterfalse(known.__contains__, chain.from_iterable(s for s in split if s)))))
         out = [ids([t])[0] if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
         if len(known) > KNOWN:  # what this call has used is kept
