@@ -32,7 +32,7 @@ LOT = 2 << 20
 #: Units between which a byte-level tokenizer never joins: Latin letters, or ASCII marks but the apostrophe, each with one space
 #: before it; a single line end; and else all white space up to a word with that word.
 _L, _M = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-@\[-`{-~"
-_UNIT = re.compile(rf" ?[{_L}]++(?=[{_M} \n]|\Z)| ?[{_M}]++(?=[{_L} \n]|\Z)|\n(?=[{_L}{_M}])|\s*\S+|\s+")
+_UNIT = re.compile(rf" ?[{_L}]++(?![^{_M} \n])| ?[{_M}]++(?![^{_L} \n])|\n(?=[{_L}{_M}])|\s*\S+|\s+")
 #: What a special token begins with, and characters that are white space to some and not to others.
 _STRANGE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\u180e", "\u200b", "\ufeff")
 _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
@@ -66,7 +66,7 @@ def byte_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     def learn(units: list[str]) -> None:
         """Units with a visible character at both ends, but for a space before it, are encoded as one text with line ends between,
         which is cut by the bytes that its ids stand for."""
-        alone = [u for u in units if u[-1].isspace() or u[: 1 + (u[0] == " ")].strip(" ").isspace()]
+        alone = [u for u in units if len(u) - len(u.strip()) > (u[0] == " ")]
         known.update(zip(alone, ids(alone), strict=True))
         units = [u for u in units if u not in known]
         lots = [units[i : i + TOGETHER] for i in range(0, len(units), TOGETHER)]
