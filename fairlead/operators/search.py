@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fairlead.functions.mission import leg_cost
@@ -62,20 +62,19 @@ def lost_to() -> Column:
     return F.coalesce(*[F.when(F.expr(b), name) for b, name in zip(broken, LIMITS, strict=True)])
 
 
-def prune_counts(pruned: list[DataFrame]) -> DataFrame:
+def prune_counts(spark, pruned: list[dict[str, int]]) -> DataFrame:
     """One row of LIMITS: the legs that each took in all layers of a search."""
-    whole = reduce(DataFrame.unionByName, pruned)
-    return whole.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in LIMITS])
+    return spark.createDataFrame([tuple(sum(p[x] for p in pruned) for x in LIMITS)], ", ".join(f"{x} long" for x in LIMITS))
 
 
 def cheapest(spark, lattice: Lattice, plan: Plan, graph: DataFrame | None = None, reachable: DataFrame | None = None,
-             bucket_h: float = BUCKET_H, any_end: bool = False, apart: bool = False, pruned: list[DataFrame] | None = None) -> DataFrame:
+             bucket_h: float = BUCKET_H, any_end: bool = False, apart: bool = False, pruned: list[dict[str, int]] | None = None) -> DataFrame:
     """The cheapest route to lane 0 of the last stage: one row, or none: cost, duration_h, fuel_kg, comfort, wear, max_hs, path.
 
     A label is kept for each (lane, hour of arrival): a dearer one that arrives earlier in the same hour is lost, as
     the definition of the result has it.  ``path`` lists stage, lane, place, time, speed and engines.  Ties go to the
     smaller previous lane, then speed, then engines.  ``any_end`` takes the cheapest lane where lane 0 has no label.
-    ``pruned`` gets, for each layer, how many legs each limit took (A14).  With ``apart`` a route keeps one speed and one engine count, and there is a row for each: run_speed_kn, run_engines.
+    ``pruned`` gets, for each layer, how many legs each limit took (A14), observed as the layer is written.  With ``apart`` a route keeps one speed and one engine count, and there is a row for each: run_speed_kn, run_engines.
     """
     c, run = F.col, ["run_speed_kn", "run_engines"] if apart else []
     graph = limited_edges(spark, lattice, plan) if graph is None else graph
@@ -94,28 +93,28 @@ def cheapest(spark, lattice: Lattice, plan: Plan, graph: DataFrame | None = None
         onward = layer.join(step, "lane")
         onward = onward.withColumns({"speed_kn": c("run_speed_kn"), "engines": c("run_engines"), "stw_ms": kn_to_ms(c("run_speed_kn"))}) if apart else _options(onward, plan)
         legs = evaluate(onward, plan.weather, plan.ship, lattice.ref_lat).withColumn("lost", lost_to())
-        legs = legs.where("lost is null") if pruned is None else legs
+        if pruned is not None:
+            seen = Observation()
+            legs = legs.observe(seen, *[F.count_if(c("lost") == x).alias(x) for x in LIMITS])
+        legs = legs.where("lost is null")
         t = c("t_h") + c("duration_h")
         here = F.struct(
             F.lit(i + 1).alias("stage"), c("next_lane").alias("lane"), c("q_lat").alias("lat"), c("q_lon").alias("lon"), t.alias("t_h"),
             c("speed_kn"), c("engines"))
         grown = legs.select(
-            *run, c("next_lane"), F.when(c("lost").isNull(), F.floor((t - plan.t0_h) / bucket_h)).alias("next_bucket"), "lost",
+            *run, c("next_lane"), F.floor((t - plan.t0_h) / bucket_h).alias("next_bucket"),
             F.struct(
                 (c("cost") + leg_cost(plan.weights, c("fuel_kg"), c("duration_h"), c("comfort"), c("wear"))).alias("cost"),
                 c("lane").alias("from_lane"), c("bucket"), c("speed_kn"), c("engines")).alias("rank"),
             F.struct(
                 t.alias("t_h"), (c("fuel") + c("fuel_kg")).alias("fuel"), (c("discomfort") + c("comfort")).alias("discomfort"),
                 (c("worn") + c("wear")).alias("worn"), F.greatest("worst_hs", "max_hs").alias("worst_hs"), F.concat("path", F.array(here)).alias("path")).alias("rest"))
-        counts = [] if pruned is None else [F.count_if(c("lost") == x).alias(x) for x in LIMITS]
-        best = grown.groupBy(*run, "next_lane", "next_bucket").agg(F.min_by(F.struct("rank", "rest"), "rank").alias("b"), *counts)
-        if pruned is not None:
-            best = cut(best)
-            pruned.append(best.agg(*[F.sum(x).alias(x) for x in LIMITS]))
-            best = best.where("next_bucket is not null")
+        best = grown.groupBy(*run, "next_lane", "next_bucket").agg(F.min_by(F.struct("rank", "rest"), "rank").alias("b"))
         layer = best.select(*run, c("next_lane").alias("lane"), c("next_bucket").alias("bucket"), c("b.rank.cost").alias("cost"), "b.rest.*")
-        if (i + 1) % CUT_EVERY == 0:
+        if pruned is not None or (i + 1) % CUT_EVERY == 0:
             layer = cut(layer)
+        if pruned is not None:
+            pruned.append(seen.get)
     goal = F.struct(c("lane") != 0, "cost", "bucket") if any_end else F.struct("cost", "bucket")
     last = layer if any_end else layer.where("lane = 0")
     return last.groupBy(*run).agg(F.min_by(F.struct(*last.columns), goal).alias("b")).where("b is not null").select(

@@ -8,7 +8,7 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.functions import clock, fields, geo, mission, n2k, twin, units
+from fairlead.functions import clock, fields, geo, mission, n2k, sql, twin, units
 from fairlead.functions import grid as g
 from fairlead.operators import clipping, fitting, imports, interp, lattice, legs, ranking, search, segments, spatial, tracks
 from fairlead.plans import projection as P
@@ -832,3 +832,20 @@ def charted_legs(spark, d):
     known = legs.edge_limits(rows, _chart(spark, d), 5.0)
     return rows.join(known, ["p_lat", "p_lon", "q_lat", "q_lon"]).select(
         "place_id", "navigable", "depth_ok", F.greatest(F.lit(1), F.ceil(nm / 0.25)).cast("long").alias("n_points"))
+
+
+_HOME = "41.13e0", "9.55e0"
+
+
+@query("WITH " + P.TELEMETRY + f""" SELECT event_id, round(sqrt(pow(({_HOME[1]} - lon_deg) * 60e0 * cos(radians(42.3e0)), 2) + pow(({_HOME[0]} - lat_deg) * 60e0, 2)), 4) AS nm,
+    round({mod360(f"degrees(atan2(({_HOME[1]} - lon_deg) * cos(radians(42.3e0)), {_HOME[0]} - lat_deg))")}, 4) AS bearing, round({ENC}, 4) AS encounter,
+    round({CALM} + {ADDED}, 4) AS power_kw, round(stw_ms / {units.KN_TO_MS}e0, 6) AS stw_kn, CAST(((event_id * 7919) % 536870912) // 67108864 % 8 AS INTEGER) AS priority FROM tele""")
+def sql_functions(spark, d):
+    """The scalar functions called from SQL text over the telemetry."""
+    sql.register(spark)
+    P.telemetry(spark, d).createOrReplaceTempView("fairlead_telemetry")
+    return spark.sql("""
+      SELECT event_id, round(distance_nm(lat_deg, lon_deg, 41.13D, 9.55D, 42.3D), 4) AS nm, round(bearing_deg(lat_deg, lon_deg, 41.13D, 9.55D, 42.3D), 4) AS bearing,
+        round(encounter_angle(heading_deg, wave_from_deg), 4) AS encounter, round(total_power_kw(stw_ms / 2, hs_m, period_peak_s, wave_from_deg, heading_deg), 4) AS power_kw,
+        round(ms_to_kn(stw_ms), 6) AS stw_kn, can_priority((event_id * 7919) % 536870912) AS priority
+      FROM fairlead_telemetry""")
