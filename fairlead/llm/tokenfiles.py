@@ -12,7 +12,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain, filterfalse
+from contextlib import suppress
 
 import numpy as np
 import pandas as pd
@@ -46,6 +46,15 @@ def _byte_lengths(vocab: dict[str, int]) -> np.ndarray:
     return out
 
 
+def _places(items: list, what: object) -> Iterator[int]:
+    """Where ``what`` stands in a list."""
+    at = -1
+    with suppress(ValueError):
+        while True:
+            at = items.index(what, at + 1)
+            yield at
+
+
 def byte_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit bytes, for a byte-level tokenizer file.
 
@@ -82,8 +91,12 @@ def byte_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     def encoded(texts: list[str]) -> list[bytes]:
         nonlocal known
         split = [None if any(map(t.__contains__, _STRANGE)) else _UNIT.findall(t) for t in texts]
-        learn(list(set(filterfalse(known.__contains__, chain.from_iterable(s for s in split if s)))))
-        out = [ids([t])[0] if s is None else b"".join(map(known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+        found = [s and list(map(known.get, s)) for s in split]
+        gaps = [(f, i, s[i]) for f, s in zip(found, split, strict=True) if s for i in _places(f, None)]
+        learn(list({u for _, _, u in gaps}))
+        for f, i, u in gaps:
+            f[i] = known[u]
+        out = [ids([t])[0] if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
         if len(known) > KNOWN:  # what this call has used is kept
             known = {u: known[u] for s in split if s for u in s}
         return out
