@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fairlead.functions import clock, fields, geo, mission, n2k, sql, twin, units
 from fairlead.functions import grid as g
-from fairlead.operators import clipping, fitting, imports, interp, lattice, legs, ranking, search, segments, spatial, tracks
+from fairlead.operators import clipping, fitting, fleet, imports, interp, lattice, legs, ranking, search, segments, spatial, tracks
 from fairlead.plans import projection as P
 from fairlead.sources import geography
 from fairlead.sources import telemetry as store
@@ -849,3 +849,58 @@ def sql_functions(spark, d):
         round(encounter_angle(heading_deg, wave_from_deg), 4) AS encounter, round(total_power_kw(stw_ms / 2, hs_m, period_peak_s, wave_from_deg, heading_deg), 4) AS power_kw,
         round(ms_to_kn(stw_ms), 6) AS stw_kn, can_priority((event_id * 7919) % 536870912) AS priority
       FROM fairlead_telemetry""")
+
+
+#: Requests of the fleet query: stages 6 nm apart, a lane 3 nm to either side, turns of a lane; at most so many stages.
+_ALONG, _ACROSS, _SIDE, _STAGES = 6.0, 3.0, 1, 4
+_REQ = P.PLACES + """, req AS (SELECT *, sqrt(pow((d_lon - o_lon) * 60e0 * cos(radians(42.3e0)), 2) + pow((d_lat - o_lat) * 60e0, 2)) AS total FROM (SELECT place_id AS request_id, lat_deg AS o_lat, lon_deg AS o_lon,
+    lat_deg + (place_id % 7 - 3) * 0.08e0 AS d_lat, lon_deg + (place_id % 5 - 2) * 0.1e0 AS d_lon FROM places))"""
+
+
+def _fleet_sql(scenario: str, speeds: list[float], engines: list[int]) -> str:
+    """Layer after layer for all requests; a label for each request, lane and hour; ties go by previous lane, bucket, speed, engines."""
+    side = lambda stage: f"(CASE WHEN {stage} = 0 OR {stage} = last THEN 0 ELSE {_SIDE} END)"
+    at = lambda stage, lane: (
+        f"o_lat + (d_lat - o_lat) * ({stage}) / last + dx / size * ({lane} * {_ACROSS}e0) / 60e0",
+        f"o_lon + (d_lon - o_lon) * ({stage}) / last - dy / size * ({lane} * {_ACROSS}e0) / (60e0 * cos(radians(42.3e0)))")
+    (p_lat, p_lon), (q_lat, q_lon) = at("stage", "lane"), at("stage + 1", "next_lane")
+    sql = _REQ + f""", way AS (SELECT *, greatest(1, CAST(round(total / {_ALONG}e0) AS INTEGER)) AS last, (d_lon - o_lon) * cos(radians(42.3e0)) AS dx, d_lat - o_lat AS dy,
+    sqrt(pow((d_lon - o_lon) * cos(radians(42.3e0)), 2) + pow(d_lat - o_lat, 2)) AS size FROM req WHERE total > 0e0),
+  edge AS (SELECT request_id, last, stage, lane, next_lane, {p_lat} AS p_lat, {p_lon} AS p_lon, {q_lat} AS q_lat, {q_lon} AS q_lon
+    FROM way, unnest(range(last)) a(stage), unnest(range(-{_SIDE}, {_SIDE + 1})) b(lane), unnest(range(-{_SIDE}, {_SIDE + 1})) c(next_lane)
+    WHERE abs(lane) <= {side("stage")} AND abs(next_lane) <= {side("(stage + 1)")} AND abs(lane - next_lane) <= 1),
+  spots AS (SELECT *, greatest(1, ceil(sqrt(pow((q_lon - p_lon) * 60e0 * cos(radians(42.3e0)), 2) + pow((q_lat - p_lat) * 60e0, 2)) / 0.25e0)) AS n FROM edge),
+  spot AS (SELECT request_id, stage, lane, next_lane, p_lat + (q_lat - p_lat) * (i / n) AS lat_deg, p_lon + (q_lon - p_lon) * (i / n) AS lon_deg FROM spots, unnest(range(1, CAST(n AS BIGINT) + 1)) u(i)),
+  open AS (SELECT request_id, stage, lane, next_lane FROM spot GROUP BY ALL HAVING NOT bool_or({_land_sql()} OR {_box_sql()})),
+  graph AS (SELECT edge.* FROM edge JOIN open USING (request_id, stage, lane, next_lane)),
+  l0 AS (SELECT DISTINCT request_id, 0 AS lane, 0 AS bucket, 0e0 AS cost, 0e0 AS t_h, 0e0 AS fuel, 0e0 AS discomfort, 0e0 AS worn, 0e0 AS worst, '0' AS lanes, '' AS runs, 99 AS last FROM graph WHERE stage = 0)"""
+    for i in range(_STAGES):
+        step = f"(SELECT l.* EXCLUDE (last), g.last, g.next_lane, g.p_lat, g.p_lon, g.q_lat, g.q_lon, o.speed_kn, o.stw_ms, o.engines FROM l{i} l JOIN graph g USING (request_id, lane), {_options_sql(speeds, engines)} o WHERE g.stage = {i} AND l.last > {i})"
+        sql += f""", s{i} AS (SELECT *, cost + 0.8e0 * fuel_kg + 10e0 * duration_h * 60e0 + 15e0 * comfort + 9e0 * wear AS total, CAST(floor(t_h + duration_h) AS BIGINT) AS next_bucket
+    FROM {legs_sql(step, scenario)} WHERE NOT slam AND NOT overload),
+  l{i + 1} AS (SELECT request_id, next_lane AS lane, next_bucket AS bucket, total AS cost, t_h + duration_h AS t_h, fuel + fuel_kg AS fuel, discomfort + comfort AS discomfort, worn + wear AS worn,
+    greatest(worst, max_hs) AS worst, lanes || ',' || next_lane AS lanes, runs || CASE WHEN runs = '' THEN '' ELSE ',' END || CAST(speed_kn AS INTEGER) || '/' || engines AS runs, last FROM s{i}
+    QUALIFY row_number() OVER (PARTITION BY request_id, next_lane, next_bucket ORDER BY total, lane, bucket, speed_kn, engines) = 1)"""
+    ends = " UNION ALL ".join(f"SELECT * FROM l{i} WHERE last = {i} AND lane = 0" for i in range(1, _STAGES + 1))
+    return sql + f", done AS ({ends}) SELECT request_id, {_ROUTE_SQL} FROM done QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY cost, bucket) = 1"
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    k = C("place_id")
+    return P.places(spark, d).select(
+        k.alias("request_id"), C("lat_deg").alias("o_lat"), C("lon_deg").alias("o_lon"), (C("lat_deg") + (k % 7 - 3) * 0.08).alias("d_lat"),
+        (C("lon_deg") + (k % 5 - 2) * 0.1).alias("d_lon"))
+
+
+@query("WITH " + _fleet_sql("mistral", [10.0, 12.0], [1, 2]))
+def fleet_min_cost(spark, d):
+    """The cheapest route of a request from every supplier place, all at once and with bounds."""
+    plan = _plan("mistral")
+    edges = fleet.open_edges(fleet.graph(_requests(spark, d), _ALONG, _ACROSS, _SIDE, _ACROSS, 42.3), plan)
+    return _route(fleet.bounded_routes(edges, plan))
+
+
+@query("WITH " + _fleet_sql("mistral", [10.0], [1]).partition(",\n  spots AS")[0] + " SELECT request_id, stage, lane, next_lane, round(q_lat, 6) AS q_lat, round(q_lon, 6) AS q_lon FROM edge")
+def fleet_graph(spark, d):
+    rows = fleet.graph(_requests(spark, d), _ALONG, _ACROSS, _SIDE, _ACROSS, 42.3)
+    return rows.select("request_id", *[C(c).cast("long").alias(c) for c in ("stage", "lane", "next_lane")], F.round("q_lat", 6).alias("q_lat"), F.round("q_lon", 6).alias("q_lon"))
