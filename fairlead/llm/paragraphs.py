@@ -118,9 +118,12 @@ def paragraph_sets(w: Words, first: np.ndarray, last: np.ndarray, bands: int, ro
     key = np.broadcast_to(np.arange(bands, dtype=np.uint64), sig.shape[:2])
     for r in range(rows):
         key = mix(key ^ sig[:, :, r]) + sig[:, :, r]
-    sets = [np.unique(h[a:b]) for a, b in cuts.reshape(-1, 2)]
-    starts = np.cumsum([0, *map(len, sets[:-1])])
-    flat = np.concatenate(sets)
+    sizes = cuts[1::2] - cuts[::2]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    each = h[np.arange(len(owner)) + np.repeat(cuts[::2] - np.cumsum(sizes) + sizes, sizes)]
+    each = each[np.lexsort((each, owner))]
+    new = np.append(True, (each[1:] != each[:-1]) | (owner[1:] != owner[:-1]))  # each shingle of a paragraph once
+    flat, starts = each[new], np.searchsorted(owner[new], np.arange(len(sizes)))
     return np.stack([np.add.reduceat(mix(flat ^ np.uint64(salt)), starts) for salt in _SALTS], axis=1), key
 
 

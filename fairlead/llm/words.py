@@ -29,9 +29,12 @@ def powers(base: int, n: int) -> np.ndarray:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,5 +105,9 @@ def minhash_ranges(hashes: np.ndarray, cuts: np.ndarray, count: int, seed: int =
     """As ``minhashes``, a row for each range of ``hashes``; ``cuts`` has first and end of each, first before end, in order."""
     a, b = _coefficients(count, seed)
     safe = np.append(hashes, hashes[-1:])  # an end may stand one past the last
-    out = [np.minimum.reduceat(safe * a[i] + b[i], cuts)[::2] for i in range(count)]
-    return mix(np.stack(out, axis=1)) & np.uint64(0xFFFF)
+    out, each = np.empty((count, len(cuts) // 2), np.uint64), np.empty_like(safe)
+    for i in range(count):
+        np.multiply(safe, a[i], out=each)
+        each += b[i]
+        out[i] = np.minimum.reduceat(each, cuts)[::2]
+    return mix(out.T) & np.uint64(0xFFFF)
