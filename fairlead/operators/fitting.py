@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fairlead.functions import twin
 from fairlead.sources.specs import DEFAULT, ENGINE, Vessel
@@ -54,13 +55,30 @@ def validation_by_vessel(held: DataFrame, params: DataFrame, ship: dict = DEFAUL
     return validation(rows, Vessel(get), ["vessel_id"])
 
 
+def _smallest(rows: DataFrame, bucket: Column, key: Column, n: int) -> Column:
+    """Whether a row is among the ``n`` smallest by ``key``, of which ``bucket`` is the beginning.
+
+    Rows are counted by bucket; those below the bucket that the n-th is in are in, those above out, and only that
+    bucket's are put in order.  A table with the result reads its rows once more and moves none.
+    """
+    counts = rows.groupBy(bucket.alias("b")).agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.orderBy("b"))  # one row a bucket
+    edge = counts.withColumn("upto", upto).where(F.col("upto") >= n).orderBy("b").first()
+    if edge is None:
+        return F.lit(bool(n))
+    left = n - (edge["upto"] - edge["k"])
+    last = rows.where(bucket == edge["b"]).select(key.alias("k")).orderBy("k").limit(left).agg(F.max("k").alias("k")).first()["k"]
+    end = F.struct(*[F.lit(v).alias(f) for f, v in last.asDict().items()]).cast(rows.select(key.alias("k")).schema["k"].dataType)
+    return (bucket < edge["b"]) | ((bucket == edge["b"]) & (key <= end))
+
+
 def holdout_rows(segments: DataFrame, order: list[str], fraction: float = 0.2, seed: int = 7) -> DataFrame:
     """``segments`` with is_holdout for that share of the rows (L7), at least one, chosen by a seeded hash of ``order``; ties go by ``order``."""
     wanted = segments.count() * fraction
-    n = max(1, int(wanted + 0.5)) if wanted else 0
-    key = F.struct(F.xxhash64(F.lit(seed), *order).alias("h"), *order)
-    last = segments.select(key.alias("k")).orderBy("k").limit(n).agg(F.max("k").alias("k"))
-    return segments.crossJoin(F.broadcast(last)).withColumn("is_holdout", F.coalesce(key <= F.col("k"), F.lit(False))).drop("k")  # one row
+    if not wanted:
+        return segments.withColumn("is_holdout", F.lit(False))
+    h = F.xxhash64(F.lit(seed), *order)
+    return segments.withColumn("is_holdout", _smallest(segments, F.shiftright(h, 48), F.struct(h.alias("h"), *order), max(1, int(wanted + 0.5))))
 
 
 def holdout_groups(segments: DataFrame, by: str, fraction: float = 0.2, seed: int = 7) -> DataFrame:
@@ -78,9 +96,8 @@ def holdout_groups(segments: DataFrame, by: str, fraction: float = 0.2, seed: in
         raise ValueError(f"a holdout needs two groups of {by} at least, not {n}")
     if int(n * fraction) == 0:
         raise ValueError(f"{fraction} of {n} groups of {by} is no group")
-    key = F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(by).cast("string"))).alias("h"), F.col(by).alias("g"))
-    chosen = groups.select(by, key.alias("_key")).orderBy("_key").limit(int(n * fraction)).select(by, F.lit(True).alias("_held"))
-    return segments.join(chosen, by, "left").withColumn("is_holdout", F.coalesce("_held", F.lit(False))).drop("_held")
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(by).cast("string")))
+    return segments.withColumn("is_holdout", _smallest(groups, F.substring(h, 1, 4), F.struct(h.alias("h"), F.col(by).alias("g")), int(n * fraction)))
 
 
 def engine_configurations(segments: DataFrame, by: list[str] = ()) -> DataFrame:
