@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TRACK = "t_epoch_s double, lat_deg double, lon_deg double, hs_m double, period_peak_s double, period_mean_s double, wave_from_deg double, wind_u_ms double, wind_v_ms double"
 SAMPLES = "t_h double, stw_ms double, heading_deg double, active_engines int, fuel_kg_per_h double, hs_m double, period_peak_s double, wave_from_deg double"
@@ -51,18 +52,34 @@ def with_motion(table: DataFrame) -> DataFrame:
     return table.withColumn("motion", whole).drop(*MOTION).orderBy("timestamp")
 
 
+#: Kinds of spoilt blocks: speed and heading wander with every sample, or one sample's fuel jumps.
+JUNK = ["manoeuvre", "tank_transfer"]
+WANDER_MS, WANDER_DEG, JUMPS = 3.0, 60.0, (0.4, 1.8)
+
+
 def synthetic_samples(spark: SparkSession, speeds_kn: list[float], engines: list[int], waves_m: list[float], fuel: Column, per: int = 15,
-                      every_s: float = 60.0, gap_s: float = 240.0, noise: float = 0.03, seed: int = 3) -> DataFrame:
-    """Steady blocks of ``per`` samples for every speed, engine count and wave height, ``gap_s`` apart.
+                      every_s: float = 60.0, gap_s: float = 240.0, noise: float = 0.03, seed: int = 3, speed_noise_ms: float = 0.0, wave_noise_m: float = 0.0,
+                      junk: float = 0.0) -> DataFrame:
+    """Steady blocks of ``per`` samples for every speed, engine count and wave height, ``gap_s`` apart, in a seeded order.
 
-    ``fuel`` is a column over stw_ms, hs_m and active_engines; noise is seeded by row.
+    ``fuel`` is a column over the true stw_ms, hs_m and active_engines; what is recorded has noise, seeded by row: of fuel as a share,
+    of speed and wave height in their units (waves not below 0).  A share ``junk`` of the blocks is spoilt, and column junk says how: in
+    a manoeuvre every sample's speed and heading wander, in a tank transfer the middle sample's fuel jumps.
     """
     blocks = [(i, s, n, h) for i, (s, n, h) in enumerate((s, n, h) for s in speeds_kn for n in engines for h in waves_m)]
     rows = spark.createDataFrame(blocks, "block int, speed_kn double, active_engines int, hs_m double")
+    u = lambda k, *of: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), *of), F.lit(1_000_003)) + 0.5) / 1_000_003.0
+    place = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), F.lit(0), "block"), "block")) - 1  # one row a block
+    rows = rows.withColumns({"place": place, "junk": F.when(u(9, "block") < junk, F.when(u(10, "block") < 0.5, JUNK[0]).otherwise(JUNK[1]))})
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
-    t = F.col("block") * (per * every_s + gap_s) + F.col("k") * every_s
-    rows = rows.withColumns({
-        "t_s": t, "stw_ms": F.col("speed_kn") * 0.514444, "heading_deg": F.lit(180.0), "period_peak_s": F.lit(7.0), "wave_from_deg": F.lit(0.0)})
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "block", "k"), F.lit(1_000_003)) + 0.5) / 1_000_003.0
-    normal = F.sqrt(-2.0 * F.log(u(1))) * F.cos(2.0 * np.pi * u(2))
-    return rows.withColumn("fuel_kg_per_h", fuel * (1.0 + noise * normal)).drop("speed_kn", "k")
+    own = lambda n: u(n, "block", "k")
+    normal = lambda n: F.sqrt(-2.0 * F.log(own(n))) * F.cos(2.0 * np.pi * own(n + 1))
+    t = F.col("place") * (per * every_s + gap_s) + F.col("k") * every_s
+    rows = rows.withColumns({"t_s": t, "stw_ms": F.col("speed_kn") * 0.514444, "period_peak_s": F.lit(7.0), "wave_from_deg": F.lit(0.0)})
+    astray, jump = F.col("junk") == JUNK[0], (F.col("junk") == JUNK[1]) & (F.col("k") == per // 2)
+    wander = lambda n, most: F.when(astray, (2.0 * own(n) - 1.0) * most).otherwise(0.0)
+    spoilt = F.when(jump, F.when(own(13) < 0.5, JUMPS[0]).otherwise(JUMPS[1])).otherwise(1.0)
+    rows = rows.withColumn("fuel_kg_per_h", fuel * (1.0 + noise * normal(1)) * spoilt)  # of the true values
+    return rows.withColumns({
+        "stw_ms": F.col("stw_ms") + speed_noise_ms * normal(3) + wander(11, WANDER_MS), "hs_m": F.greatest(F.lit(0.0), F.col("hs_m") + wave_noise_m * normal(5)),
+        "heading_deg": F.pmod(180.0 + wander(12, WANDER_DEG), F.lit(360.0))}).drop("speed_kn", "k", "place")

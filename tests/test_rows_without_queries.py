@@ -60,6 +60,26 @@ def test_synthetic_samples(spark):
     assert rows.groupBy("block").agg((F.max("t_s") - F.min("t_s")).alias("d")).where("d <> 199 * 60").count() == 0
 
 
+def test_spoilt_blocks(spark):
+    """No manoeuvre gives a segment; a tank transfer is left out of those around it; other blocks give one each."""
+    from fairlead.operators.segments import steady_segments
+
+    rows = store.synthetic_samples(spark, [8.0 + 0.5 * i for i in range(12)], [1, 2], [0.5, 1.0], F.lit(100.0), noise=0.005, speed_noise_ms=0.01, wave_noise_m=0.05, junk=0.4).cache()
+    kinds = {r.block: r.junk for r in rows.select("block", "junk").distinct().collect()}
+    assert {None, *store.JUNK} == set(kinds.values()) and 5 < sum(k is not None for k in kinds.values()) < 35
+    assert rows.agg(F.min("hs_m")).first()[0] >= 0 and rows.groupBy("block").agg(F.stddev("hs_m").alias("s")).agg(F.avg("s")).first()[0] == pytest.approx(0.05, rel=0.2)
+    found = steady_segments(rows.withColumns({"vessel_id": F.lit(1), "tie": F.lit(0)}), ["vessel_id"], "tie").collect()
+    spans = {r.block: (r.a, r.b) for r in rows.groupBy("block").agg(F.min("t_s").alias("a"), F.max("t_s").alias("b")).collect()}
+    held = {b: sorted((s.t_start_s, s.t_end_s, s.n_samples) for s in found if x <= s.t_start_s and s.t_end_s <= y) for b, (x, y) in spans.items()}
+    for b, kind in kinds.items():
+        if kind is None:
+            assert held[b] == [(*spans[b], 15)]
+        elif kind == "tank_transfer":
+            assert sum(n for _, _, n in held[b]) == 14
+        else:
+            assert sum(n for _, _, n in held[b]) < 8
+
+
 SQUARE = [(41.0, 7.0), (41.0, 7.5), (41.5, 7.5), (41.5, 7.0)]
 
 
