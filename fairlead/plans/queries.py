@@ -240,10 +240,19 @@ def import_completeness(spark, d):
     return rows.agg(F.count("*").alias("n"), F.count_if(F.size("missing") > 0).alias("incomplete"))
 
 
-@query()
+_LOG = P.TELEMETRY + f""", log AS (SELECT * REPLACE (CAST(t_us // 1000000 AS DOUBLE) AS t_s, stw_ms * {units.IMPORT_KN_TO_MS}e0 AS stw_ms) FROM tele WHERE event_id % 5 <> 0)"""
+
+
+@query("WITH " + _LOG + RUNS[len(P.TELEMETRY):].replace("FROM tele WINDOW", "FROM log WINDOW") + """ SELECT CAST(vessel_id AS VARCHAR) AS vessel_id, t_start_s, t_end_s, active_engines, n_samples,
+  round(mean_stw_ms, 4) AS mean_stw_ms, round(mean_fuel_kg_per_h, 4) AS mean_fuel_kg_per_h, round(mean_hs_m, 4) AS mean_hs_m, round(mean_period_peak_s, 4) AS mean_period_peak_s,
+  round(cos(radians(mean_heading_deg)), 4) + 0e0 AS heading_cos, round((t_end_s - t_start_s) / 3600e0, 4) AS duration_h, 1e0 AS fuel_noise_multiplier FROM seg""")
 def rows_to_segments(spark, d):
+    """Rows of monitoring logs; those that lack a needed value, every fifth, go as the operator has it when not strict."""
     raw = _raw_logs(spark, d)
-    return imports.rows_to_segments(imports.monitoring(raw), segments.Limits(max_gap_s=P.GAP_S), strict=False)
+    found = imports.rows_to_segments(imports.monitoring(raw), segments.Limits(max_gap_s=P.GAP_S), strict=False)
+    means = ["mean_stw_ms", "mean_fuel_kg_per_h", "mean_hs_m", "mean_period_peak_s", "duration_h", "fuel_noise_multiplier"]
+    return found.select("vessel_id", "t_start_s", "t_end_s", "active_engines", "n_samples", *[r4(c).alias(c) for c in means],
+                        r4(F.cos(F.radians("mean_heading_deg"))).alias("heading_cos"))
 
 
 def _axes() -> interp.Axes:
