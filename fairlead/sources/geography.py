@@ -13,8 +13,11 @@ from fairlead.functions.grid import fraction, nearest_index
 from fairlead.operators.cut import cut
 from fairlead.operators.interp import Axes, cells, sample
 from fairlead.operators.spatial import ring_tiles, rings_by_strip, strips
+from fairlead.sources.gridfile import grid_entries, grid_shapes, read_slices
 
 _POINTS = "array<array<double>>"
+#: Lines of latitude of a depth grid that a task reads.
+LINES = 64
 
 
 def read_rings(spark: SparkSession, coastlines: list[str] = (), zones: list[str] = ()) -> DataFrame:
@@ -37,25 +40,25 @@ def read_rings(spark: SparkSession, coastlines: list[str] = (), zones: list[str]
 
 
 def read_depths(spark: SparkSession, path: str) -> tuple[DataFrame, Axes, bool]:
-    """(iy, ix, elevation_m, is_land), axes and whether the file has a land raster, of one npz grid: one row a cell, a line of latitude a task.
+    """(iy, ix, elevation_m, is_land), axes and whether the file has a land raster, of one npz grid: one row a cell, LINES lines of latitude a task.
 
-    The file lies where the tasks can read it; without a raster is_land is null.
+    The driver reads the axes only.  Without a raster is_land is null.
     """
-    with np.load(path) as f:
-        axes = Axes((float(f["lat0"]), float(f["dlat"]), int(f["nlat"])), (float(f["lon0"]), float(f["dlon"]), int(f["nlon"])))
-        raster = "land_mask" in f.files
+    at, raster = grid_entries(path, 0), "land_mask" in grid_shapes(path)
+    axes = Axes((float(at["lat0"]), float(at["dlat"]), int(at["nlat"])), (float(at["lon0"]), float(at["dlon"]), int(at["nlon"])))
 
     def lines(batches):
         import pandas as pd
 
-        with np.load(path) as f:
-            heights, land = f["elevation_m"], f["land_mask"] if raster else None
         for pdf in batches:
-            for iy in pdf["id"]:
-                row = np.asarray(heights[iy], float)
-                yield pd.DataFrame({"iy": np.full(len(row), iy), "ix": np.arange(len(row)), "elevation_m": row, "is_land": [None] * len(row) if land is None else land[iy].astype(bool)})
-
-    rows = spark.range(axes.lat[2]).mapInPandas(lines, "iy int, ix int, elevation_m double, is_land boolean")
+            for block in pdf["id"]:
+                heights = read_slices(path, "elevation_m", block * LINES, LINES).astype(float)
+                iy, ix = np.indices(heights.shape)
+                land = read_slices(path, "land_mask", block * LINES, LINES).astype(bool).ravel() if raster else [None] * heights.size
+                yield pd.DataFrame({"iy": iy.ravel() + block * LINES, "ix": ix.ravel(), "elevation_m": heights.ravel(), "is_land": land})
+
+    blocks = -(-axes.lat[2] // LINES)
+    rows = spark.range(0, blocks, 1, blocks).mapInPandas(lines, "iy int, ix int, elevation_m double, is_land boolean")
     return rows, axes, raster
 
 

@@ -48,9 +48,9 @@ def grid_shapes(path: str) -> dict[str, tuple[int, ...]]:
     return shapes
 
 
-def grid_entries(path: str) -> dict[str, object]:
-    """The entries of under three dimensions: axes, hours, where the grid comes from."""
-    small = [k for k, shape in grid_shapes(path).items() if len(shape) < 3]
+def grid_entries(path: str, dimensions: int = 2) -> dict[str, object]:
+    """The entries of at most so many dimensions: axes, hours, where the grid comes from."""
+    small = [k for k, shape in grid_shapes(path).items() if len(shape) <= dimensions]
     out = {}
     with _open(path) as z:
         for k in small:
@@ -60,15 +60,20 @@ def grid_entries(path: str) -> dict[str, object]:
     return out
 
 
-def read_step(path: str, field: str, step: int) -> np.ndarray:
-    """One time step of a field, as doubles; nothing after it is read."""
+def read_slices(path: str, field: str, first: int, count: int) -> np.ndarray:
+    """``count`` slices of an entry's leading axis from ``first`` on; nothing after them is read."""
     with _open(path) as z, z.open(f"{field}.npy") as entry:
         shape, kind = _header(entry)
         size = int(np.prod(shape[1:])) * kind.itemsize
-        left = step * size
+        count, left = max(0, min(count, shape[0] - first)), first * size
         while left:
             left -= len(entry.read(min(left, _SKIP)))
-        return np.frombuffer(entry.read(size), kind).astype(float).reshape(shape[1:])
+        return np.frombuffer(entry.read(count * size), kind).reshape(count, *shape[1:])
+
+
+def read_step(path: str, field: str, step: int) -> np.ndarray:
+    """One time step of a field, as doubles."""
+    return read_slices(path, field, step, 1)[0].astype(float)
 
 
 @dataclass
