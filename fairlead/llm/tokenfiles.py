@@ -33,6 +33,8 @@ LOT = 2 << 20
 #: before it; a single line end; and else all white space up to a word with that word.
 _L, _M = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-@\[-`{-~"
 _UNIT = re.compile(rf" ?[{_L}]++(?![^{_M} \n])| ?[{_M}]++(?![^{_L} \n])|\n(?=[{_L}{_M}])|\s*\S+|\s+")
+#: A space between visible characters, where a unit always begins; longer texts are cut there.
+_CUT, LONG = re.compile(r"(?<=\S) (?=\S)"), 1 << 20
 #: What a special token begins with, and characters that are white space to some and not to others.
 _STRANGE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\u180e", "\u200b", "\ufeff")
 _encoders: dict[str, Callable[[list[str]], list[bytes]]] = {}
@@ -55,6 +57,19 @@ def _places(items: list, what: object) -> Iterator[int]:
             yield at
 
 
+def _strange(text: str) -> bool:
+    return any(map(text.__contains__, _STRANGE))
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A long text in pieces of about LONG characters, cut where a unit begins."""
+    at = 0
+    while len(text) - at > LONG and (m := _CUT.search(text, at + LONG)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 def byte_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit bytes, for a byte-level tokenizer file.
 
@@ -88,9 +103,9 @@ def byte_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
             starts = [0, *(4 * (at + 1)).tolist()]
             known.update(zip(lot, map(data.__getitem__, map(slice, starts, (4 * at).tolist())), strict=True))
 
-    def encoded(texts: list[str]) -> list[bytes]:
+    def some(texts: list[str]) -> list[bytes]:
         nonlocal known
-        split = [None if any(map(t.__contains__, _STRANGE)) else _UNIT.findall(t) for t in texts]
+        split = [None if _strange(t) else _UNIT.findall(t) for t in texts]
         found = [s and list(map(known.get, s)) for s in split]
         gaps = [(f, i, s[i]) for f, s in zip(found, split, strict=True) if s for i in _places(f, None)]
         learn(list({u for _, _, u in gaps}))
@@ -101,6 +116,10 @@ def byte_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
             known = {u: known[u] for s in split if s for u in s}
         return out
 
+    def encoded(texts: list[str]) -> list[bytes]:
+        done = iter(some([t for t in texts if len(t) <= LONG or _strange(t)]))
+        return [next(done) if len(t) <= LONG or _strange(t) else b"".join(some([p])[0] for p in _pieces(t)) for t in texts]
+
     _encoders[path] = encoded
     return encoded
 

@@ -85,6 +85,16 @@ def test_byte_encoder_is_the_tokenizers(text):
     assert np.frombuffer(tokenfiles.byte_encoder(path)([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_long_texts_are_cut_where_units_begin(byte_bpe, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenfiles, "LONG", 30)
+    tok = Tokenizer.from_file(byte_bpe)
+    for text in [*TEXTS, "a\n\n b  c d's \t e " * 40, "漢字 かな 1.5 x" * 20]:
+        assert np.frombuffer(tokenfiles.byte_encoder(byte_bpe)([text, "short"])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert len(list(tokenfiles._pieces("word " * 100))) > 10
+
+
 def expected_tokens(rows, path):
     from tokenizers import Tokenizer
 
