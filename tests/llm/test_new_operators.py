@@ -286,3 +286,19 @@ def test_matches_sql(spark, data, name):
     other = con.sql(entry.oracle_sql()[name])
     assert sorted(mine.columns) == sorted(other.columns)
     assert Counter(map(tuple, mine.select(sorted(mine.columns)).collect())) == Counter(other.project(", ".join(sorted(mine.columns))).fetchall())
+
+
+def test_ids_of_the_whole_range_beside_rows_without_one(spark):
+    """Media, near duplicates and paragraphs keep ids of 2 ** 62 and more, and the least and largest, with and without null ids."""
+    from fairlead.llm import media, minhash, paragraphs
+
+    text = " ".join(f"word{i}" for i in range(60))
+    ids = [2**62 + 5, 2**63 - 1, -(2**63), 3]
+    for more in ([], [(None, text), (None, "other words")]):
+        docs = spark.createDataFrame([(i, text) for i in ids] + more, "doc_id long, text string")
+        near = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+        assert near == Counter([(i, -(2**63), i == -(2**63)) for i in ids] + [(None, -(2**63), False), (None, None, True)][: len(more)])
+        assert Counter(r.doc_id for r in media.media_documents(docs).collect()) == Counter([*ids, *[None] * len(more)])
+        found = [r for r in paragraphs.repeated_paragraphs(docs).collect() if r.whole]
+        assert {r.doc_id for r in found} == {*ids, *([None] if more else [])} and {r.component_id for r in found} == {-(2**63)}
+        assert [r.doc_id for r in found if r.kept] == [-(2**63)]
