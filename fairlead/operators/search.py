@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.functions.mission import leg_cost
@@ -62,9 +62,9 @@ def lost_to() -> Column:
     return F.coalesce(*[F.when(F.expr(b), name) for b, name in zip(broken, LIMITS, strict=True)])
 
 
-def prune_counts(spark, pruned: list[dict[str, int]]) -> DataFrame:
+def prune_counts(pruned: list[dict[str, int]]) -> DataFrame:
     """One row of LIMITS: the legs that each took in all layers of a search."""
-    return spark.createDataFrame([tuple(sum(p[x] for p in pruned) for x in LIMITS)], ", ".join(f"{x} long" for x in LIMITS))
+    return SparkSession.active().createDataFrame([tuple(sum(p[x] for p in pruned) for x in LIMITS)], ", ".join(f"{x} long" for x in LIMITS))
 
 
 def cheapest(spark, lattice: Lattice, plan: Plan, graph: DataFrame | None = None, reachable: DataFrame | None = None,

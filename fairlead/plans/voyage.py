@@ -131,7 +131,7 @@ def plan_voyage(spark: SparkSession, request: Request, weather: legs.Weather, wa
     pool = ranking.eta_pool(every)
     neutral = replace(plan, weights=weights_of(50, 50, ship), speeds_kn=[BASELINE_KN], engines=[BASELINE_ENGINES])
     baseline = _candidate(search.cheapest(spark, grid, neutral, graph), "baseline", waters.ref_lat)
-    counts = search.prune_counts(spark, pruned)
+    counts = search.prune_counts(pruned)
     gaps = counts.select(F.lit(0).alias("request_id"), F.col("missing_weather").alias("n"))
     found = ranking.diagnostics(every, gaps)
     floors = ranking.below_floor(ceilings, min(speeds)).select(F.lit(0).alias("request_id"), F.concat_ws(":", "code", F.col("engines").cast("string")).alias("code"), F.col("ceiling_kn").alias("detail"))
