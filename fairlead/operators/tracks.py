@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fairlead.functions.units import bearing, distance_nm, signed_turn
+from fairlead.functions.units import bearing, distance_nm, exact_bearing, signed_turn
 
 BAND, BAND_LON, TURN_DEG = (41.3, 43.0), 9.0, 8.0
 
@@ -27,9 +27,17 @@ def track_distance(points: DataFrame, by: str, seq: str, ref_lat: float = 42.3)
 
 
 def alterations(points: DataFrame, by: str, seq: str, ref_lat: float = 42.3, least_deg: float = TURN_DEG) -> DataFrame:
-    """Where the course changes by more than ``least_deg``: the point, the courses before and after, the turn."""
+    """Where the course changes by more than ``least_deg``: the point, the courses before and after, the turn.
+
+    Courses are correctly rounded, as a way straight back is a turn of 180 or -180 by their last bits.
+    """
     order = Window.partitionBy(by).orderBy(seq)
-    legs = with_legs(points, by, seq, ref_lat).withColumn("next_course_deg", F.lead("course_deg").over(order))
+    ahead = [F.lead(c).over(order).alias(f"_{c}") for c in ("lat_deg", "lon_deg")]
+    behind = [F.lag(c).over(order).alias(f"_was_{c}") for c in ("lat_deg", "lon_deg")]
+    here, was, to = ((F.col(f"{x}lat_deg"), F.col(f"{x}lon_deg")) for x in ("", "_was_", "_"))
+    legs = with_legs(points, by, seq, ref_lat).select("*", *ahead, *behind).withColumns({
+        "course_deg": exact_bearing(*was, *here, ref_lat), "next_course_deg": exact_bearing(*here, *to, ref_lat)})
+    legs = legs.drop("_lat_deg", "_lon_deg", "_was_lat_deg", "_was_lon_deg")
     return legs.withColumn("turn_deg", signed_turn(F.col("course_deg"), F.col("next_course_deg"))).where(F.abs("turn_deg") > least_deg)
 
 
