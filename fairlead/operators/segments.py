@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fairlead.functions.units import SEGMENT_MS_TO_KN, angle_between, wrap_bearing
+from fairlead.functions.units import SEGMENT_MS_TO_KN, angle_between, cosine, sine, wrap_bearing
 
 
 @dataclass(frozen=True)
@@ -21,7 +21,8 @@ class Limits:
 
 
 def circular_mean(x: Column) -> Column:
-    return wrap_bearing(F.degrees(F.atan2(F.avg(F.sin(F.radians(x))), F.avg(F.cos(F.radians(x))))))
+    """Direction of the mean of unit vectors; of opposite ones nearly nothing but their rounding is left, so that must be right."""
+    return wrap_bearing(F.degrees(F.atan2(F.avg(sine(x)), F.avg(cosine(x)))))
 
 
 def breaks(order: Window, limits: Limits) -> Column:
