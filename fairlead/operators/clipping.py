@@ -57,6 +57,11 @@ def ring_area(points: Column) -> Column:
     return F.abs(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)) / 2.0
 
 
+def shapes(rings: DataFrame) -> DataFrame:
+    """``rings(ring, points)`` -> the same with one row for each different ``points``, that of the smallest ring."""
+    return rings.groupBy("points").agg(F.min("ring").alias("ring")).select("ring", "points")
+
+
 def ring_edges(rings: DataFrame, *keep: str) -> DataFrame:
     """``rings(ring, points)`` as rows of edges, as ``spatial.edge_table`` has them: from each point to the one before it."""
     rows = rings.where("size(points) > 2").select("ring", *keep, "points", F.posexplode("points").alias("i", "p"))

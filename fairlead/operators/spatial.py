@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from fairlead.functions import geo
 from fairlead.functions.units import distance_nm
+from fairlead.operators.clipping import ring_edges, shapes
+from fairlead.operators.cut import cut
 
 #: Degrees of the tiles by which points and rings meet.
 TILE = 0.25
@@ -81,6 +83,17 @@ def rings_at(points: DataFrame, edges: DataFrame, key: str | list[str] = "point_
     return rings_by_strip(points, cut_up, ring_tiles(cut_up), key)
 
 
+def rings_of_places(points: DataFrame, rings: DataFrame, key: str) -> DataFrame:
+    """As ``rings_at`` for ``rings(ring, points)``, each different place tested once against each different shape.
+
+    What is tested grows with the places and shapes; only the rows returned are one for each point and ring.  Both tables of what was found are written first, so that small ones go to the points and these stay where they are.
+    """
+    place, different = ["lat_deg", "lon_deg"], cut(shapes(rings))
+    held = rings_at(points.select(*place).distinct(), ring_edges(different), place).withColumnRenamed("ring", "_shape")
+    same = rings.join(different.withColumnRenamed("ring", "_shape"), "points").select("_shape", "ring")
+    return points.select(key, *place).join(cut(held), place).join(cut(same), "_shape").select(key, "ring")
+
+
 def rings_by_strip(points: DataFrame, cut_up: DataFrame, near: DataFrame, key: str | list[str] = "point_id") -> DataFrame:
     """As ``rings_at``, for coastlines too large for an expression: ``cut_up`` is from ``strips`` and ``near`` from ``ring_tiles``.
 

@@ -126,3 +126,27 @@ def test_plan_on_a_chart_is_the_literal_one(spark, files):
         chart_of(spark, files, box=(5.45, 40.7, 11.55, 45.8))
     with pytest.raises(Exception, match="no geography covers"):
         voyage.check_endpoints(spark, voyage.Request((52.9, 7.2), (42.7, 7.3), 1, 1), chart_of(spark, files))
+
+
+def test_edges_of_boxes_are_in_them(spark):
+    from fairlead.operators.interp import Axes
+
+    depths = spark.range(12).selectExpr("cast(id div 4 as int) iy", "cast(id % 4 as int) ix", "-50D elevation_m", "cast(null as boolean) is_land")
+    land = clipping.ring_edges(rings_frame(spark, [LAND[0]]).withColumn("kind", F.lit("land")), "kind")
+    chart = geography.Chart.of(land, depths, Axes((41.0, 1.0, 3), (7.0, 1.0, 4)), False, nogo_boxes=[(9.21, 41.29, 9.31, 41.36)])
+    points = spark.createDataFrame([(41.36, 9.25), (41.29, 9.31), (41.3601, 9.25), (42.7, 7.3)], "lat_deg double, lon_deg double")
+    found = {r.lat_deg: (r.is_land, r.is_nogo, r.is_navigable) for r in chart.features(points).collect()}
+    assert found == {41.36: (False, True, False), 41.29: (False, True, False), 41.3601: (False, False, True), 42.7: (True, False, False)}
+
+
+def test_equal_rings_and_places_are_tested_once(spark, monkeypatch):
+    """Every point and ring is found, and the strips are made of different rings only and meet different places only."""
+    rng = np.random.default_rng(3)
+    rings = [star(rng, 9, 41.5, 7.5, 0.4) for _ in range(4)] * 5 + [None, []]
+    places = [(float(a), float(b)) for a, b in zip(41.1 + 0.8 * rng.random(12), 7.1 + 0.8 * rng.random(12), strict=True)]
+    points = spark.createDataFrame([(i, *places[i % 12]) for i in range(36)] + [(36, None, 7.5)], "event_id int, lat_deg double, lon_deg double")
+    met, was = [], spatial.rings_at
+    monkeypatch.setattr(spatial, "rings_at", lambda p, e, key: met.append((p.count(), e.count())) or was(p, e, key))
+    got = {tuple(r) for r in spatial.rings_of_places(points, rings_frame(spark, rings), "event_id").collect()}
+    assert got == {(i, k) for i in range(36) for k, r in enumerate(rings) if r and inside(*places[i % 12], r)} and len(got) > 60
+    assert met == [(13, 36)]
