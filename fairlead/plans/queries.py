@@ -775,8 +775,7 @@ def _odd(points: str, source: str, by: str, lat: str = "lat_deg", lon: str = "lo
 @query("WITH " + P.TELEMETRY + ", " + P.VERTICES + " SELECT event_id, ring FROM " + _odd("tele", "ring_edge", "event_id"))
 def rings_by_strips(spark, d):
     """Whole telemetry against rings whose number grows with the customers."""
-    edges = clipping.ring_edges(P.rings(spark, d))
-    return spatial.rings_at(P.telemetry(spark, d), edges, "event_id")
+    return spatial.rings_of_places(P.telemetry(spark, d), P.rings(spark, d), "event_id")
 
 
 _CLIP = (7.4, 41.3, 9.2, 42.9)
@@ -804,11 +803,9 @@ def clipped_rings(spark, d):
 
 
 def _chart(spark: SparkSession, d: str) -> geography.Chart:
-    """Land from the customers, the boxes as zones, and a depth grid without a land raster."""
-    land = clipping.ring_edges(P.rings(spark, d).withColumn("kind", F.lit("land")), "kind")
-    corners = {-1 - i: [(s, w), (s, e), (n, e), (n, w)] for i, (w, s, e, n) in enumerate(P.BOXES)}
-    zones = spatial.edge_table(spark, corners).withColumns({"kind": F.lit("zone"), "ring": C("ring").cast("long")})
-    return geography.Chart.of(land.unionByName(zones), P.depths(spark), interp.Axes(P.DEPTH_LAT, P.DEPTH_LON), False)
+    """Land from the customers, each shape once, the boxes, and a depth grid without a land raster."""
+    land = clipping.ring_edges(clipping.shapes(P.rings(spark, d)).withColumn("kind", F.lit("land")), "kind")
+    return geography.Chart.of(land, P.depths(spark), interp.Axes(P.DEPTH_LAT, P.DEPTH_LON), False, nogo_boxes=P.BOXES)
 
 
 def _depth_sql(lat: str, lon: str, source: str, by: str) -> str:

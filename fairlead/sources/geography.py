@@ -88,8 +88,8 @@ def check_box(axes: Axes, box: tuple[float, float, float, float]) -> None:
 class Chart:
     """Waters kept as tables, of any size: what legs, lattices and plans ask of ``spatial.Waters`` they may ask of a chart.
 
-    Land is that of the nearest cell of the raster, or of the coastline where the grid has none; zones are no-go areas; depth
-    is interpolated, 0 on heights.  A point outside the grid fails.
+    Land is that of the nearest cell of the raster, or of the coastline where the grid has none; zones and boxes, these with
+    their edges, are no-go areas; depth is interpolated, 0 on heights.  A point outside the grid fails.
     """
 
     edges: DataFrame  # kind, and the columns of ``spatial.strips``
@@ -98,15 +98,16 @@ class Chart:
     axes: Axes
     raster: bool
     ref_lat: float
+    nogo_boxes: tuple[tuple[float, float, float, float], ...] = ()
 
     @classmethod
-    def of(cls, edges: DataFrame, depths: DataFrame, axes: Axes, raster: bool, ref_lat: float = 42.3) -> Chart:
+    def of(cls, edges: DataFrame, depths: DataFrame, axes: Axes, raster: bool, ref_lat: float = 42.3, nogo_boxes: tuple = ()) -> Chart:
         """``edges`` from ``read_rings`` and ``depths`` from ``read_depths``, prepared once for all later questions."""
         kinds = edges.select("kind", "ring").distinct()
         cut_up = cut(strips(edges))
         near = cut(ring_tiles(cut_up).join(kinds, "ring"))
         grid = cells(depths.withColumn("it", F.lit(0)), ["elevation_m"], axes).join(depths.select("iy", "ix", "is_land"), ["iy", "ix"])
-        return cls(cut_up, near, cut(grid), axes, raster, ref_lat)
+        return cls(cut_up, near, cut(grid), axes, raster, ref_lat, tuple(nogo_boxes))
 
     @classmethod
     def read(cls, spark: SparkSession, coastlines: list[str], zones: list[str], depths: str, box: tuple[float, float, float, float] | None = None,
@@ -138,7 +139,7 @@ class Chart:
         else:
             deep = deep.join(self._inside(own, "land", key).withColumn("_land", F.lit(True)), key, "left")
         found = deep.join(self._inside(own, "zone", key).withColumn("_zone", F.lit(True)), key, "left").select(
-            *key, F.coalesce("_land", F.lit(False)).alias("is_land"), F.coalesce("_zone", F.lit(False)).alias("is_nogo"),
+            *key, F.coalesce("_land", F.lit(False)).alias("is_land"), (F.coalesce("_zone", F.lit(False)) | geo.in_any_box(*at, self.nogo_boxes)).alias("is_nogo"),
             F.greatest(F.lit(0.0), -F.col("elevation_m")).alias("depth_m"))
         return found.withColumn("is_navigable", ~(F.col("is_land") | F.col("is_nogo")))
 
