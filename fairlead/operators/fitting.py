@@ -105,19 +105,20 @@ def engine_configurations(segments: DataFrame, by: list[str] = ()) -> DataFrame:
     return segments.groupBy(*by, "active_engines").agg(F.count("*").alias("n_segments"))
 
 
-def _powers(pdf: pd.DataFrame, calm: dict[str, float], added: dict[str, float], ship: dict) -> np.ndarray:
-    hull, v = ship["hull"], pdf["mean_stw_ms"].to_numpy()
+def _powers(pdf: dict[str, np.ndarray], calm: dict[str, np.ndarray], added: dict[str, np.ndarray], ship: dict) -> np.ndarray:
+    """Power of each segment, a row for each value of the parameters where these are columns of values."""
+    hull, v = ship["hull"], pdf["mean_stw_ms"]
     froude = v / np.sqrt(twin.GRAVITY * hull["length_wl_m"]) / ship["calm_resistance"]["hull_speed_froude"]
     base = (calm["linear_coefficient"] * v**2 + calm["cubic_coefficient"] * v**3) * (1 + calm["steepening_coefficient"] * froude ** calm["steepening_exponent"])
-    enc = np.abs((((pdf["mean_heading_deg"] - pdf["mean_wave_from_deg"]) % 360 + 540) % 360 - 180).to_numpy()) / 180.0
-    r = (pdf["mean_period_peak_s"].to_numpy() / added["period_reference_s"]) ** 2
+    enc = np.abs(((pdf["mean_heading_deg"] - pdf["mean_wave_from_deg"]) % 360 + 540) % 360 - 180) / 180.0
+    r = (pdf["mean_period_peak_s"] / added["period_reference_s"]) ** 2
     turn = added["following_factor"] + (added["head_factor"] - added["following_factor"]) * enc**1.6
-    force = added["scale"] * twin.SEAWATER * twin.GRAVITY * pdf["mean_hs_m"].to_numpy() ** 2 * hull["beam_wl_m"] ** 2 / hull["length_wl_m"] * r / (1 + (r - 1) ** 2) * turn
+    force = added["scale"] * twin.SEAWATER * twin.GRAVITY * pdf["mean_hs_m"] ** 2 * hull["beam_wl_m"] ** 2 / hull["length_wl_m"] * r / (1 + (r - 1) ** 2) * turn
     return np.where(v > 0, base, 0.0) + force * v / 1000.0
 
 
-def _fuel(pdf: pd.DataFrame, calm: dict[str, float], added: dict[str, float], ship: dict) -> np.ndarray:
-    n = pdf["active_engines"].to_numpy()
+def _fuel(pdf: dict[str, np.ndarray], calm: dict[str, np.ndarray], added: dict[str, np.ndarray], ship: dict) -> np.ndarray:
+    n = pdf["active_engines"]
     share = _powers(pdf, calm, added, ship) / n
     load = share / ship["engines"][0]["mcr_kw"]
     rate = calm["sfoc_base_g_per_kwh"] * (1 + calm["sfoc_curvature"] * (load - calm["sfoc_min_load_fraction"]) ** 2)
@@ -125,17 +126,22 @@ def _fuel(pdf: pd.DataFrame, calm: dict[str, float], added: dict[str, float], sh
 
 
 def least_squares(residuals, x: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Levenberg-Marquardt steps kept within bounds; derivatives by differences."""
-    damp, r = 1e-3, residuals(x)
+    """Levenberg-Marquardt steps kept within bounds; derivatives by differences.
+
+    ``residuals`` takes a table with a row of parameters for each of several trials and returns a row for each: all derivatives are
+    one call, and while no step is taken they stay as they are.
+    """
+    damp, r, normal = 1e-3, residuals(x[None])[0], None
     for _ in range(rounds):
-        step = np.maximum(np.abs(x), 1e-3) * 1e-6
-        jac = np.stack([(residuals(x + step * e) - r) / step[i] for i, e in enumerate(np.eye(len(x)))], axis=1)
-        normal, slope = jac.T @ jac, jac.T @ r
+        if normal is None:
+            step = np.maximum(np.abs(x), 1e-3) * 1e-6
+            jac = ((residuals(x + np.diag(step)) - r) / step[:, None]).T
+            normal, slope = jac.T @ jac, jac.T @ r
         moved = np.clip(x - np.linalg.solve(normal + damp * np.diag(np.diag(normal)), slope), low, high)
-        new = residuals(moved)
+        new = residuals(moved[None])[0]
         if new @ new < r @ r:
             small = r @ r - new @ new < 1e-12 * (r @ r)
-            x, r, damp = moved, new, damp / 3
+            x, r, damp, normal = moved, new, damp / 3, None
             if small:
                 break
         else:
@@ -145,6 +151,9 @@ def least_squares(residuals, x: np.ndarray, low: np.ndarray, high: np.ndarray, r
     return x
 
 
+_MEANS = ["mean_stw_ms", "mean_heading_deg", "mean_wave_from_deg", "mean_period_peak_s", "mean_hs_m", "active_engines", "mean_fuel_kg_per_h"]
+
+
 def fit_vessels(segments: DataFrame, ship: dict = DEFAULT, near_calm_m: float = NEAR_CALM_M) -> DataFrame:
     """vessel_id, param, value, shift (in standard deviations of its prior), n_calm, n_waves: one fit for each vessel.
 
@@ -153,28 +162,32 @@ def fit_vessels(segments: DataFrame, ship: dict = DEFAULT, near_calm_m: float =
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        noise = pdf["fuel_noise_multiplier"] if "fuel_noise_multiplier" in pdf else 1.0
-        pdf = pdf.assign(_sd=np.maximum(NOISE_FLOOR, NOISE * pdf["mean_fuel_kg_per_h"] * noise))
-        quiet = pdf[pdf["mean_hs_m"] <= near_calm_m]
-        if quiet.empty:
-            raise ValueError(f"vessel {pdf['vessel_id'].iloc[0]} has no segment with waves up to {near_calm_m} m")
+        rows = {c: pdf[c].to_numpy() for c in _MEANS}
+        noise = pdf["fuel_noise_multiplier"].to_numpy() if "fuel_noise_multiplier" in pdf else 1.0
+        rows["_sd"] = np.maximum(NOISE_FLOOR, NOISE * rows["mean_fuel_kg_per_h"] * noise)
+        calm_rows = rows["mean_hs_m"] <= near_calm_m
+        quiet = {c: v[calm_rows] for c, v in rows.items()}
+        vessel, n_calm = pdf["vessel_id"].iloc[0], int(calm_rows.sum())
+        if not n_calm:
+            raise ValueError(f"vessel {vessel} has no segment with waves up to {near_calm_m} m")
         known = {"calm": {k: p[0] for k, p in CALM.items()}, "added": {k: p[0] for k, p in ADDED.items()}}
         out = []
-        for part, table, rows in (("calm", CALM, quiet), ("added", ADDED, pdf)):
+        for part, table, own in (("calm", CALM, quiet), ("added", ADDED, rows)):
             names, (mean, sd, low, high) = list(table), (np.array(x) for x in zip(*table.values(), strict=True))
 
-            def residuals(x: np.ndarray, part=part, names=names, rows=rows, mean=mean, sd=sd) -> np.ndarray:
-                tried = known | {part: dict(zip(names, x, strict=True))}
-                miss = (_fuel(rows, tried["calm"], tried["added"], ship) - rows["mean_fuel_kg_per_h"].to_numpy()) / rows["_sd"].to_numpy()
-                return np.concatenate([miss, (x - mean) / sd])
+            def residuals(x: np.ndarray, part=part, names=names, own=own, mean=mean, sd=sd) -> np.ndarray:
+                tried = known | {part: dict(zip(names, x.T[:, :, None], strict=True))}
+                miss = (_fuel(own, tried["calm"], tried["added"], ship) - own["mean_fuel_kg_per_h"]) / own["_sd"]
+                return np.concatenate([miss, (x - mean) / sd], axis=1)
 
             x = least_squares(residuals, mean.copy(), low, high)
             known[part] = dict(zip(names, x.tolist(), strict=True))
-            out += [(pdf["vessel_id"].iloc[0], k, float(v), float((v - m) / s), len(quiet), len(pdf)) for k, v, m, s in zip(names, x, mean, sd, strict=True)]
+            out += [(vessel, k, float(v), float((v - m) / s), n_calm, len(pdf)) for k, v, m, s in zip(names, x, mean, sd, strict=True)]
         return pd.DataFrame(out, columns=["vessel_id", "param", "value", "shift", "n_calm", "n_waves"])
 
     kind = segments.schema["vessel_id"].dataType.simpleString()
-    return segments.groupBy("vessel_id").applyInPandas(fit, f"vessel_id {kind}, param string, value double, shift double, n_calm long, n_waves long")
+    needed = segments.select("vessel_id", *[c for c in (*_MEANS, "fuel_noise_multiplier") if c in segments.columns])
+    return needed.groupBy("vessel_id").applyInPandas(fit, f"vessel_id {kind}, param string, value double, shift double, n_calm long, n_waves long")
 
 
 def fitted_spec(params: dict[str, float], ship: dict = DEFAULT) -> dict:

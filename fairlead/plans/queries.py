@@ -7,6 +7,7 @@ from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fairlead.functions import clock, fields, geo, mission, n2k, sql, twin, units
 from fairlead.functions import grid as g
@@ -703,8 +704,8 @@ def holdout_group_split(spark, d):
 @query()
 def fit_vessels(spark, d):
     s = _segments(spark, d).withColumn("mean_stw_ms", C("mean_stw_ms") / 2.0)
-    quiet = s.where(C("mean_hs_m") <= fitting.NEAR_CALM_M).select("vessel_id").distinct()
-    return fitting.fit_vessels(s.join(quiet, "vessel_id", "left_semi"))
+    calmest = F.min("mean_hs_m").over(Window.partitionBy("vessel_id"))
+    return fitting.fit_vessels(s.withColumn("calmest", calmest).where(C("calmest") <= fitting.NEAR_CALM_M))
 
 
 def _le(start: int, size: int) -> str:
