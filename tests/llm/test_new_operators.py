@@ -302,3 +302,35 @@ def test_ids_of_the_whole_range_beside_rows_without_one(spark):
         found = [r for r in paragraphs.repeated_paragraphs(docs).collect() if r.whole]
         assert {r.doc_id for r in found} == {*ids, *([None] if more else [])} and {r.component_id for r in found} == {-(2**63)}
         assert [r.doc_id for r in found if r.kept] == [-(2**63)]
+
+
+def test_surplus_of_counts_is_no_more_than_edits(spark):
+    import random
+
+    from fairlead.llm import fuzzylines
+
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("abcdez 1é") for _ in range(draw.randrange(0, 300))) for _ in range(30)] + ["a" * 500, "b" * 126, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "norm string").withColumns(fuzzylines.counted(F.col("norm")))
+    pairs = rows.alias("one").crossJoin(rows.alias("two")).select("one.norm", F.col("two.norm").alias("other"), F.expr(fuzzylines.surplus("one", "two")).alias("s"),
+                                                                F.levenshtein("one.norm", "two.norm").alias("d"))
+    for r in pairs.collect():
+        assert r.s == sum(max(0, min(r.norm.count(c), 127) - min(r.other.count(c), 127)) for c in fuzzylines.COUNTS) <= r.d
+
+
+def test_fuzzy_lines_of_a_large_bucket_that_share_nothing_else(spark, monkeypatch):
+    """Each pair meets in one key only, which forty lines have: it was dropped before."""
+    from fairlead.llm import fuzzylines, linking
+
+    shared = [(1, i, 100) for i in range(40)]
+    members = spark.createDataFrame(shared, "key long, id long, chars int")
+    wanted = {(a, a + 1) for a in range(0, 40, 2)}
+    verify = lambda pairs: pairs.where("b = a + 1 and a % 2 = 0")
+    none = spark.createDataFrame([], "a long, b long")
+    for block in (4096, 7):
+        monkeypatch.setattr(linking, "BLOCK", block)
+        roots = linking.link_components(linking.stage(members, "members"), verify, close=F.col("one.near") == F.col("two.near"), links=none,
+                                        roots=linking.stage(spark.createDataFrame([], "id long, root long"), "roots"),
+                                        sign=lambda rows: rows.withColumn("near", F.floor(F.col("id") / 2)))
+        assert {(r.root, r.id) for r in roots.collect() if r.root != r.id} == wanted
+    assert fuzzylines.SMALL < 40
