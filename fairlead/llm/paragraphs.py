@@ -42,6 +42,18 @@ def tune_bands(threshold: float = 0.75, recall: float = RECALL, most: int = 16)
     raise ValueError("no number of bands reaches this recall")
 
 
+def least_of_neighbours(key: np.ndarray, width: int) -> np.ndarray:
+    """Places of the least of any ``width`` neighbours (or of all, if fewer), the first of equal ones, in order and each once."""
+    width, reach = min(width, len(key)), 1
+    at, low = np.arange(len(key)), key
+    while reach < width:  # the least of ``reach`` neighbours from each place on; windows may overlap
+        step = min(reach, width - reach)
+        left = low[:-step] <= low[step:]
+        at, low = np.where(left, at[:-step], at[step:]), np.where(left, low[:-step], low[step:])
+        reach += step
+    return at[np.append(True, at[1:] != at[:-1])]  # windows further on have no earlier place
+
+
 class Words:
     """Words of a text: their hashes, places in bytes, and the number of line ends before each byte."""
 
@@ -77,9 +89,9 @@ def sentence_runs(w: Words, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.
     starts = np.flatnonzero(np.concatenate([[True], stop[:-1]]) | broken)
     ends = np.append(starts[1:], len(h))  # of the sentences, in words
     key = mix(h[starts] ^ np.append(h[1:], np.uint64(0))[starts])
-    wide = np.lib.stride_tricks.sliding_window_view(np.pad(key, STARTS - 1, constant_values=np.iinfo(np.uint64).max), STARTS)
-    chosen = np.unique(np.clip(np.arange(len(wide)) + wide.argmin(axis=1) - STARTS + 1, 0, len(starts) - 1))
-    at = starts[chosen]
+    wide = np.full(len(key) + 2 * (STARTS - 1), np.iinfo(np.uint64).max)
+    wide[STARTS - 1 : 1 - STARTS] = key
+    at = starts[np.maximum(least_of_neighbours(wide, STARTS) - STARTS + 1, 0)]
     upto = ends[np.minimum(np.searchsorted(ends, at + min_words), len(ends) - 1)]
     good = upto - at >= min_words
     return at[good], upto[good]
@@ -89,8 +101,7 @@ def word_windows(w: Words, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.n
     """First words and ends of the chosen windows of ``min_words`` words: one of any ``min_words`` + 1 neighbours."""
     m = len(w.hashes) - min_words + 1
     key = mix(w.hashes[:m] ^ np.append(w.hashes[1:], np.uint64(0))[:m])
-    wide = np.lib.stride_tricks.sliding_window_view(key, min(m, min_words + 1))
-    at = np.unique(np.arange(len(wide)) + wide.argmin(axis=1))
+    at = least_of_neighbours(key, min_words + 1)
     return at, at + min_words
 
 

@@ -15,6 +15,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _STEP = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK = 1 << 20
+#: Of at most so many hashes all minima are taken in one call.
+_NARROW = 1024
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -106,6 +108,8 @@ def minhash_ranges(hashes: np.ndarray, cuts: np.ndarray, count: int, seed: int =
     a, b = _coefficients(count, seed)
     safe = np.append(hashes, hashes[-1:])  # an end may stand one past the last
     out, each = np.empty((count, len(cuts) // 2), np.uint64), np.empty_like(safe)
+    if len(safe) <= _NARROW:  # all at once, as calls then cost more than the work in them
+        return mix(np.minimum.reduceat(safe * a[:, None] + b[:, None], cuts, axis=1)[:, ::2].T) & np.uint64(0xFFFF)
     for i in range(count):
         np.multiply(safe, a[i], out=each)
         each += b[i]

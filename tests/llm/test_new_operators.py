@@ -334,3 +334,18 @@ def test_fuzzy_lines_of_a_large_bucket_that_share_nothing_else(spark, monkeypatc
                                         sign=lambda rows: rows.withColumn("near", F.floor(F.col("id") / 2)))
         assert {(r.root, r.id) for r in roots.collect() if r.root != r.id} == wanted
     assert fuzzylines.SMALL < 40
+
+
+def test_least_of_neighbours_and_minima_in_one_call():
+    """Places as a plain search finds them, ties to the first; minima of short texts in one call as those of long ones."""
+    from fairlead.llm import paragraphs, words
+
+    rng = np.random.default_rng(3)
+    for n, width in [(1, 3), (2, 26), (25, 26), (26, 26), (27, 26), (300, 26), (300, 3), (40, 1)]:
+        for top in (3, 2**63):
+            key = rng.integers(0, top, n, dtype=np.uint64)
+            w = min(n, width)
+            assert paragraphs.least_of_neighbours(key, width).tolist() == sorted({i + int(np.argmin(key[i : i + w])) for i in range(n - w + 1)})
+    h = rng.integers(0, 2**63, 2 * words._NARROW, dtype=np.uint64)
+    cuts = np.array([0, 7, 7, 300, 310, 311, 500, 700])
+    assert np.array_equal(words.minhash_ranges(h[:700], cuts, 20), words.minhash_ranges(h, cuts, 20))
