@@ -349,3 +349,41 @@ def test_least_of_neighbours_and_minima_in_one_call():
     h = rng.integers(0, 2**63, 2 * words._NARROW, dtype=np.uint64)
     cuts = np.array([0, 7, 7, 300, 310, 311, 500, 700])
     assert np.array_equal(words.minhash_ranges(h[:700], cuts, 20), words.minhash_ranges(h, cuts, 20))
+
+
+def test_fuzzy_lines_of_the_same_frequent_words_meet_seldom(spark, monkeypatch):
+    """Lines of some frequent words in any order shared thousands of keys: keys now say which words follow one another."""
+    import random
+
+    from fairlead.llm import fuzzylines
+
+    draw, staged = random.Random(2), {}
+    words = "the of and to in that was with from this have they which their there about would other these first".split()
+    rows = [(i, " ".join(draw.choices(words, k=40))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1].replace(rows[i][1][50:53], "zq ", 1)) for i in range(20)]
+    kept = fuzzylines.stage
+    monkeypatch.setattr(fuzzylines, "stage", lambda df, name: staged.setdefault(name, kept(df, name)) if name == "members" else kept(df, name))
+    monkeypatch.setattr(fuzzylines, "drop", lambda table: None)
+    gone = {r.doc_id for r in fuzzylines.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
+    assert gone == {1000 + i for i in range(20)}
+    assert staged["members"].count() < 12 * 2 * 20 + 100
+
+
+def test_fuzzy_lines_with_all_edits_in_one_place(spark):
+    """A seventh of a long line is another text, at its start, its end or within: the cheap tests of its ends lose none, nor does a run moved by an insertion."""
+    import random
+
+    from fairlead.llm import fuzzylines
+
+    draw = random.Random(4)
+    text = lambda n: " ".join("".join(draw.choice("abcdefghijklmnopqrst") for _ in range(draw.randint(3, 8))) for _ in range(n))[:n * 6].strip()
+    rows, pairs = [], []
+    for n in (20, 60, 200):
+        for at in (0, 0.3, 0.5, 0.86):
+            a = text(n)
+            cut, long = int(at * len(a)), int(0.14 * len(a))
+            for b in (a[:cut] + text(n)[:long] + a[cut + long :], a[:cut] + a[cut + long :], a[:cut] + text(n)[:long] + a[cut:]):
+                rows += [(len(rows), a + str(len(rows))), (len(rows) + 1, b + str(len(rows)))]
+                pairs.append(len(rows) - 1)
+    gone = {r.doc_id for r in fuzzylines.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
+    assert set(pairs) <= gone
